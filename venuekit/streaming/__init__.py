@@ -1,0 +1,5 @@
+"""Intentionally empty: the workload being re-expressed is batch only.
+
+Every operator in :mod:`venuekit.functions` is a plain column expression, so it
+can be applied unchanged to a streaming DataFrame.
+"""
