@@ -8,10 +8,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from venuekit.functions.scalars import yes_no
 
+QUOTE = '"'
+
 
 def write_csv(df: DataFrame, path: str) -> str:
     """Header CSV, one file per task, written so that :func:`venuekit.sources.readers.read_csv` reads it back."""
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    (
+        df.write.mode("overwrite")
+        .option("header", True)
+        .option("quote", QUOTE)
+        .option("escape", QUOTE)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
     return path
 
 
