@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.stat import ChiSquareTest
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from venuekit.operators.ranking import modes, quantiles_by_column, sorted_codes
 
@@ -133,7 +133,7 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def crosstab_wide(df: DataFrame, a: str, b: str, values: Sequence[str]) -> DataFrame:
     """One column per given value of ``b``, zero filled."""
-    return df.dropna(subset=[a, b]).groupBy(a).pivot(b, list(values)).agg(F.count("*")).fillna(0)
+    return df.dropna(subset=[a, b]).groupBy(a).pivot(b, list(values)).agg(F.count(F.lit(1))).fillna(0)
 
 
 def expected_counts(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -170,14 +170,12 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     ratio = joined.agg(
         F.sum(F.col("n") * F.col("n") / (F.col("r").cast("double") * F.col("c"))).alias("ratio"),
         # in a 2x2 table |o - e| is the same in every cell
-        F.max(F.col("n") - F.col("r").cast("double") * F.col("c") / sizes.select("total").scalar()).alias("gap"),
-        F.min(F.col("n") - F.col("r").cast("double") * F.col("c") / sizes.select("total").scalar()).alias("low_gap"),
-        F.sum_distinct(F.lit(0)).alias("_zero"),
+        F.max(F.abs(F.col("n") - F.col("r").cast("double") * F.col("c") / sizes.select("total").scalar())).alias("gap"),
     )
     total = sizes.select("total").scalar().cast("double")
     dof = (sizes.select("n_rows").scalar() - 1) * (cols.agg(F.count("*")).scalar() - 1)
     raw = total * (F.col("ratio") - 1)
-    gap = F.greatest(F.abs("gap"), F.abs("low_gap"))
+    gap = F.col("gap")
     shrink = F.pow((gap - F.least(F.lit(0.5), gap)) / gap, 2)
     corrected = F.when((dof == 1) & (gap > 0), raw * shrink).otherwise(raw)
     return ratio.select(corrected.alias("chi2"), dof.cast("long").alias("dof"))
@@ -251,8 +249,3 @@ def type_profile(df: DataFrame) -> DataFrame:
         *[F.lit(types[c]).alias(f"{c}__type") for c in columns],
     )
     return _unpivot_aggregate(row, columns, ["type", "non_null"])
-
-
-def running_total(df: DataFrame, by: Sequence[str], order: Sequence[Column], column: str, name: str) -> DataFrame:
-    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(column).over(window))

@@ -24,21 +24,28 @@ def explode_keywords(df: DataFrame, column: str, keep: Sequence[str], name: str
     return df.select(*keep, F.explode(L.split_list(column)).alias(name))
 
 
-def budgeted_text(reviews: DataFrame, keys: Sequence[str], review_id: str, text: str,
-                  budget: int = K.REVIEW_WORD_BUDGET, name: str = "clean_review") -> DataFrame:
-    """Reviews of a group in pseudo-random order, joined until the word budget would be exceeded.
+def within_budget(reviews: DataFrame, keys: Sequence[str], review_id: str, text: str,
+                  budget: int = K.REVIEW_WORD_BUDGET) -> DataFrame:
+    """Reviews of a group in pseudo-random order with their running word total, up to the budget.
 
-    Every kept text has at least one word, so only the first ``budget`` texts of a
-    group can count. They are found by the salted cut, which keeps a hot group out of
-    any single task before the running sum is taken.
+    Texts without a word are left out, so only the first ``budget`` texts of a group can
+    count. They are found by the salted cut, which keeps a hot group out of any single
+    task before the running sum is taken.
     """
-    rows = reviews.select(*keys, review_id, F.col(text).alias("_t"), X.word_count(text).alias("_w"))
+    rows = reviews.select(*keys, review_id, text, X.word_count(text).alias("_w"))
     rows = rows.filter(F.col("_w") > 0).withColumn("_h", row_hash(review_id))
-    first = top_k(rows, keys, [F.col("_h"), F.col(review_id)], budget, salt=[review_id], rank="_rank")
-    running = Window.partitionBy(*keys).orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
-    kept = first.withColumn("_sum", F.sum("_w").over(running)).filter(F.col("_sum") <= budget)
-    ordered = F.array_sort(F.collect_list(F.struct("_rank", "_t")))
-    return kept.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["_t"]), " ").alias(name))
+    first = top_k(rows, keys, [F.col("_h"), F.col(review_id)], budget, salt=[review_id])
+    running = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    totals = first.withColumn("words_so_far", F.sum("_w").over(running))
+    return totals.filter(F.col("words_so_far") <= budget).drop("_w", "_h")
+
+
+def budgeted_text(reviews: DataFrame, keys: Sequence[str], review_id: str, text: str,
+                  budget: int = K.REVIEW_WORD_BUDGET, name: str = "clean_review") -> DataFrame:
+    """The reviews within the budget joined to one text per group, at most ``budget`` of them."""
+    kept = within_budget(reviews, keys, review_id, text, budget)
+    ordered = F.array_sort(F.collect_list(F.struct("rank", text)))
+    return kept.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x[text]), " ").alias(name))
 
 
 def venue_rollup(scored: DataFrame, keys: Sequence[str] = VENUE_KEY) -> DataFrame:
