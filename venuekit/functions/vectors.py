@@ -20,8 +20,3 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     """0 when either vector is all zero."""
     scale = norm(a) * norm(b)
     return F.when(scale > 0, dot(a, b) / scale).otherwise(0.0)
-
-
-def unit(a: Column | str) -> Column:
-    length = norm(a)
-    return F.transform(_col(a), lambda x: F.when(length > 0, x / length).otherwise(0.0))

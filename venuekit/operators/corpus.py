@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from venuekit.functions import constants as K, lists as L, scalars as S, text as X
-from venuekit.functions.vectors import unit
 
 META_FIELDS = {
     "doc_type": "string", "name": "string", "location": "string", "cuisines": "string", "rest_type": "string",
@@ -160,16 +161,11 @@ def sentence_chunks(docs: DataFrame, key: str, text: str, size: int = K.CHUNK_SI
 
 def hashed_vectors(docs: DataFrame, key: str, text: str, dims: int = K.VECTOR_DIMS, keep: Sequence[str] = (),
                    name: str = "embedding") -> DataFrame:
-    """Unit vectors by signed feature hashing of terms and bigrams, without any model or corpus state.
+    """Unit vectors by feature hashing of terms and bigrams; map-only, without model or corpus state.
 
-    Slots are summed per document on the map side; at most ``dims`` rows per document
-    are gathered into its array. Texts without terms get the zero vector.
+    Texts without terms get the zero vector.
     """
-    terms = X.with_bigrams(X.index_terms(text))
-    slots = docs.select(key, F.explode(terms).alias("_t")).select(key, F.xxhash64("_t").alias("_x"))
-    slot = F.pmod("_x", F.lit(dims)).cast("int")
-    sign = F.when(F.shiftright("_x", 40) % 2 == 0, 1).otherwise(-1)
-    sums = slots.groupBy(key, slot.alias("_slot")).agg(F.sum(sign).cast("double").alias("_v"))
-    entries = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_v"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
-    return docs.select(key, *keep).join(entries, key, "left").select(key, *keep, unit(dense).alias(name))
+    terms = docs.select(key, *keep, X.with_bigrams(X.index_terms(text)).alias("_terms"))
+    counted = HashingTF(numFeatures=dims, inputCol="_terms", outputCol="_counts").transform(terms)
+    scaled = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit").transform(counted)
+    return scaled.select(key, *keep, vector_to_array("_unit").alias(name))
