@@ -11,15 +11,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from venuekit.functions import scalars as S
 from venuekit.operators.ranking import sorted_codes
 from venuekit.operators.relational import lookup_code
+from venuekit.session import materialize
 
 MISSING_LABEL = "nan"
 MAX_LABELS = 5_000
 
 
 def label_codes(df: DataFrame, column: str, code: str | None = None) -> DataFrame:
-    """Code table of a column: sorted distinct values, missing counted as the value ``nan``."""
+    """Code table of a column: sorted distinct values, missing counted as the value ``nan``.
+
+    Stored in the shared folder, because scoring must reuse the training codes.
+    """
     filled = df.select(F.coalesce(F.col(column).cast("string"), F.lit(MISSING_LABEL)).alias(column))
-    return sorted_codes(filled.distinct(), column, code or f"{column}_code")
+    return materialize(sorted_codes(filled.distinct(), column, code or f"{column}_code"), "codes")
 
 
 def encode_labels(df: DataFrame, codes: DataFrame, column: str, unseen: int = -1) -> DataFrame:
@@ -39,14 +43,19 @@ def one_hot_long(df: DataFrame, train: DataFrame, key: str, columns: Sequence[st
     return rows.join(known, ["column", "value"]).select(key, "column", "value")
 
 
-def distinct_labels(df: DataFrame, column: str, limit: int = MAX_LABELS) -> list[str]:
-    """Sorted array elements, as needed for a column layout; refuses more than ``limit``."""
-    found = df.select(F.explode(column).alias("v")).distinct().limit(limit + 1).collect()
+def distinct_values(df: DataFrame, column: str, limit: int = MAX_LABELS) -> list[str]:
+    """Sorted distinct values as strings, as needed for a column layout; refuses more than ``limit``."""
+    found = df.select(F.col(column).cast("string").alias("v")).distinct().dropna().limit(limit + 1).collect()
     if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} labels; use multi_label_stage for a sparse vector")
+        raise ValueError(f"{column} has more than {limit} values; use a sparse vector stage instead")
     return sorted(row["v"] for row in found)
 
 
+def distinct_labels(df: DataFrame, column: str, limit: int = MAX_LABELS) -> list[str]:
+    """Sorted distinct elements of an array column, under the same limit."""
+    return distinct_values(df.select(F.explode(column).alias("v")), "v", limit)
+
+
 def binarize_labels(df: DataFrame, column: str, labels: Sequence[str], prefix: str = "label_") -> DataFrame:
     """A 0/1 column per label of an array column."""
     flags = [F.array_contains(column, v).cast("int").alias(prefix + v) for v in labels]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from venuekit.functions.scalars import round_even
 from venuekit.operators.ranking import exact_median, modes
 from venuekit.operators.relational import attach_group_statistic
+from venuekit.session import materialize
 
 
 def fill_median(df: DataFrame, column: str, fit_on: DataFrame | None = None) -> DataFrame:
@@ -28,8 +29,11 @@ def fill_mode(df: DataFrame, column: str, fit_on: DataFrame | None = None) -> Da
 
 
 def fill_group_mode(df: DataFrame, column: str, by: str, sentinel: str = "Unknown") -> DataFrame:
-    """Mode of the row's group, ``sentinel`` if the group has none; rows without a group stay as they are."""
-    table = modes(df.filter(F.col(by).isNotNull()), column, [by], "_mode")
+    """Mode of the row's group, ``sentinel`` if the group has none; rows without a group stay as they are.
+
+    The modes are stored first, so that their real size decides how they are joined.
+    """
+    table = materialize(modes(df.filter(F.col(by).isNotNull()), column, [by], "_mode"), "modes")
     filled = F.when(F.col(by).isNotNull(), F.coalesce(column, "_mode", F.lit(sentinel))).otherwise(F.col(column))
     return attach_group_statistic(df, table, [by]).withColumn(column, filled).select(*df.columns)
 

@@ -129,22 +129,20 @@ def _with_blocks(q, x, n_queries, k, metric, payload, skip_self, out_type) -> Da
     return qb.groupBy("_qb", "_xb").cogroup(xb.groupBy("_qb", "_xb")).applyInPandas(meet, out_type)
 
 
-def vote(neighbors: DataFrame, label: str, weights: str = "uniform", k: int | None = None) -> DataFrame:
-    """Majority class of the (first ``k``) neighbours; equal votes go to the smallest class.
+def vote(neighbors: DataFrame, label: str, weights: str = "uniform", by: Sequence[str] = ()) -> DataFrame:
+    """Majority class of the neighbours; equal votes go to the smallest class.
 
     With ``distance`` weights a vote counts ``1/distance``, and neighbours at distance
     zero outvote all others.
     """
-    rows = neighbors if k is None else neighbors.filter(F.col("rank") <= k)
     zero = F.col("score") == 0
     if weights == "uniform":
-        votes = rows.groupBy("query_id", label).agg(F.lit(0).alias("_exact"), F.count("*").cast("double").alias("_v"))
+        exact, weight = F.lit(0), F.count("*").cast("double")
     else:
-        votes = rows.groupBy("query_id", label).agg(
-            F.count_if(zero).alias("_exact"), F.sum(F.when(~zero, 1.0 / F.col("score")).otherwise(0.0)).alias("_v")
-        )
+        exact, weight = F.count_if(zero), F.sum(F.when(~zero, 1.0 / F.col("score")).otherwise(0.0))
+    votes = neighbors.groupBy(*by, "query_id", label).agg(exact.alias("_exact"), weight.alias("_v"))
     best = F.min(F.struct((-F.col("_exact")).alias("e"), (-F.round("_v", DIGITS)).alias("v"), F.col(label).alias("y")))
-    return votes.groupBy("query_id").agg(best["y"].alias("prediction"))
+    return votes.groupBy(*by, "query_id").agg(best["y"].alias("prediction"))
 
 
 def knn_classify(train: DataFrame, test: DataFrame, key: str, features: str, label: str, k: int,

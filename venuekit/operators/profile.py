@@ -230,14 +230,7 @@ def category_lists(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Kept as rows: a column may hold any number of distinct values.
     """
     values = stack_values(df, columns).filter(F.col("value").isNotNull()).distinct()
-    keyed = values.withColumn("_key", F.concat_ws("\u0001", "column", "value"))
-    # positions restart per column: subtract the smallest code of the column
-    codes = sorted_codes(keyed.select("_key"), "_key", "_code", prefix=64)
-    coded = keyed.join(codes, "_key")
-    first = coded.groupBy("column").agg(F.min("_code").alias("_first"))
-    return coded.join(first, "column").select(
-        "column", "value", (F.col("_code") - F.col("_first")).cast("int").alias("position")
-    )
+    return sorted_codes(values, "value", "position", by=["column"])
 
 
 def type_profile(df: DataFrame) -> DataFrame:

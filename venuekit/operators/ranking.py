@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from venuekit.session import materialize
+
 HASH_DIGITS = 4
 SKETCH_ACCURACY = 100_000
 SKETCH_MARGIN = 2.0 / SKETCH_ACCURACY
@@ -78,25 +80,31 @@ def hash_cut(df: DataFrame, key: Sequence[str], take: Callable[[Column], Column]
 
 def hash_take(df: DataFrame, key: Sequence[str], take: Callable[[Column], Column], flag: str,
               by: Sequence[str] = (), where: Column | None = None) -> DataFrame:
-    """Mark exactly ``take(n)`` pseudo-random rows (per stratum); a map-only step after the cut is known."""
+    """Mark exactly ``take(n)`` pseudo-random rows (per stratum); a map-only step after the cut is known.
+
+    Cuts of strata are stored first: their measured size then decides at planning time
+    whether the join broadcasts them, so the big side need not be shuffled.
+    """
     population = df if where is None else df.filter(where)
     cut = hash_cut(population, key, take, by)
     if by:
-        keyed = df.join(cut.select(*by, F.col("cut").alias("_cut")), list(by), "left")
+        strata = materialize(cut.select(*by, F.col("cut").alias("_cut")), "cuts")
+        keyed = df.join(strata, list(by), "left")
         return keyed.withColumn(flag, F.coalesce(row_hash(*key) <= F.col("_cut"), F.lit(False))).drop("_cut")
     return df.withColumn(flag, F.coalesce(row_hash(*key) <= cut.select("cut").scalar(), F.lit(False)))
 
 
-def sorted_codes(values: DataFrame, column: str, code: str = "code", prefix: int = 2) -> DataFrame:
-    """0-based rank of distinct values in byte order, ranked separately per leading characters."""
+def sorted_codes(values: DataFrame, column: str, code: str = "code", by: Sequence[str] = (), prefix: int = 2) -> DataFrame:
+    """0-based rank of distinct values in byte order (per ``by``), ranked separately per leading characters."""
+    cell = [*by, "_prefix"]
     keyed = values.filter(F.col(column).isNotNull()).withColumn("_prefix", F.substring(column, 1, prefix))
-    sizes = keyed.groupBy("_prefix").agg(F.count("*").alias("_n"))
+    sizes = keyed.groupBy(*cell).agg(F.count("*").alias("_n"))
     # one row per distinct prefix
-    before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = F.row_number().over(Window.partitionBy("_prefix").orderBy(column))
-    ranked = keyed.withColumn("_rn", within).join(offsets, "_prefix")
-    return ranked.select(column, (F.col("_offset") + F.col("_rn") - 1).cast("int").alias(code))
+    before = Window.partitionBy(*by).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy(*cell).orderBy(column))
+    ranked = keyed.withColumn("_rn", within).join(offsets, cell)
+    return ranked.select(*by, column, (F.col("_offset") + F.col("_rn") - 1).cast("int").alias(code))
 
 
 def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float]) -> DataFrame:

@@ -52,12 +52,14 @@ def venue_rollup(scored: DataFrame, keys: Sequence[str] = VENUE_KEY) -> DataFram
     """Averages, label counts, tier, positive ratio and quality flag per venue.
 
     ``scored`` holds one row per review: keys, ``sentiment_compound``,
-    ``sentiment_label``, ``n_words``, ``n_chars``. Rows without a key are dropped.
+    ``sentiment_label``, ``n_words``, ``n_chars``. Rows without a key are dropped. Scores have
+    four decimals and are added as integers, so the mean does not depend on the order of rows.
     """
     label = F.col("sentiment_label")
+    points = F.round(F.col("sentiment_compound") * 10_000).cast("long")
     rows = scored.dropna(subset=list(keys))
     agg = rows.groupBy(*keys).agg(
-        F.avg("sentiment_compound").alias("avg_sentiment_score"),
+        (F.sum(points) / F.count("sentiment_compound") / 10_000).alias("avg_sentiment_score"),
         F.count_if(label == "Positive").alias("positive_review_count"),
         F.count_if(label == "Negative").alias("negative_review_count"),
         F.count_if(label == "Neutral").alias("neutral_review_count"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from venuekit.functions import scalars as S
-from venuekit.operators.features import binarize_labels, distinct_labels, standardize
+from venuekit.operators.features import binarize_labels, distinct_labels, distinct_values, standardize
 from venuekit.operators.impute import impute_fitted
 from venuekit.operators.metrics import classification_metrics, comparison
 from venuekit.operators.neighbors import nearest, vote
@@ -18,6 +18,7 @@ from venuekit.session import materialize
 # Neighbour counts and vote weights of the search grid.
 NEIGHBOR_GRID = [3, 5, 7, 9, 11, 15]
 WEIGHT_GRID = ["uniform", "distance"]
+FOLDS = 5
 NUMERIC = ["votes", "cost"]
 CATEGORICAL = ["online_order", "book_table", "category", "listing"]
 
@@ -40,26 +41,25 @@ def feature_vectors(df: DataFrame, train: DataFrame, labels: Sequence[str], cate
     return hot.withColumn("features", F.array(*parts))
 
 
-def tune(train: DataFrame, label: str, labels: Sequence, k_max: int = max(NEIGHBOR_GRID)) -> DataFrame:
+def tune(train: DataFrame, label: str, labels: Sequence) -> DataFrame:
     """Macro-F1 of every (k, weights) over the group folds.
 
     One neighbour search per fold with the largest ``k`` serves the whole grid, since the
     nearest 3 of 15 are the nearest 3.
     """
-    results = None
-    folds = sorted(r["fold"] for r in train.select("fold").distinct().collect())
-    for i in folds:
+    found = None
+    for i in range(FOLDS):
         held, rest = train.filter(F.col("fold") == i), train.filter(F.col("fold") != i)
-        found = nearest(held, rest, "row_id", "features", "row_id", "features", k_max, payload=[label])
-        truth = held.select(F.col("row_id").alias("query_id"), F.col(label).alias("actual"))
-        found = materialize(found.withColumnRenamed(label, "voted"), "neighbors")
-        for k in NEIGHBOR_GRID:
-            for weights in WEIGHT_GRID:
-                voted = vote(found, "voted", weights, k).join(truth, "query_id").select(
-                    F.lit(k).alias("k"), F.lit(weights).alias("weights"), F.lit(i).alias("fold"), "actual", "prediction"
-                )
-                results = voted if results is None else results.unionByName(voted)
-    per_fold = classification_metrics(results, "actual", "prediction", labels, "macro", by=["k", "weights", "fold"])
+        near = nearest(held, rest, "row_id", "features", "row_id", "features", max(NEIGHBOR_GRID), payload=[label])
+        near = near.withColumnRenamed(label, "voted").withColumn("fold", F.lit(i))
+        found = near if found is None else found.unionByName(near)
+    found = materialize(found, "neighbors")
+    sizes = F.explode(F.filter(F.array(*[F.lit(k) for k in NEIGHBOR_GRID]), lambda k: F.col("rank") <= k))
+    rows = found.withColumn("k", sizes)
+    votes = [vote(rows, "voted", w, ["k", "fold"]).withColumn("weights", F.lit(w)) for w in WEIGHT_GRID]
+    truth = train.select(F.col("row_id").alias("query_id"), F.col(label).alias("actual"))
+    pairs = votes[0].unionByName(votes[1]).join(truth, "query_id")
+    per_fold = classification_metrics(pairs, "actual", "prediction", labels, "macro", by=["k", "weights", "fold"])
     return per_fold.groupBy("k", "weights").agg(F.avg("f1").alias("mean_f1"))
 
 
@@ -78,9 +78,9 @@ def compare_variants(clean: DataFrame, target: str, labels: Sequence) -> DataFra
         train = rows.filter(~F.col("is_test"))
         filled = impute_fitted(rows, train, NUMERIC, CATEGORICAL) if name == "imputed" else rows
         known = filled.filter(~F.col("is_test"))
-        values = {c: sorted(r[0] for r in known.select(F.col(c).cast("string")).distinct().collect()) for c in CATEGORICAL}
+        values = {c: distinct_values(known, c) for c in CATEGORICAL}
         ready = materialize(
-            group_folds(feature_vectors(filled, known, tags, values), "name").select(
+            group_folds(feature_vectors(filled, known, tags, values), "name", FOLDS).select(
                 "row_id", "fold", "features", target, "is_test", "is_complete"
             ),
             f"features-{name}",

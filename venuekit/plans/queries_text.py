@@ -104,18 +104,18 @@ def t1_documents(spark, sf):
     return score_reviews(document_reviews(spark, sf), "review_id", "text")
 
 
-_ROLLUP = """SELECT name, location, count(*) AS total_reviews_parsed, avg(compound) AS s,
+_ROLLUP = """SELECT name, location, count(*) AS total_reviews_parsed, sum(CAST(round(compound * 10000) AS BIGINT)) / count(*) / 10000 AS s,
  count(*) FILTER (WHERE label = 'Positive') AS positive_review_count, count(*) FILTER (WHERE label = 'Negative') AS negative_review_count,
  count(*) FILTER (WHERE label = 'Neutral') AS neutral_review_count, avg(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))
  AS avg_review_length, avg(length(text)) AS avg_character_count FROM scored JOIN {source} ON k = {key}
  WHERE name IS NOT NULL AND location IS NOT NULL GROUP BY name, location"""
 _ROLLUP_COLUMNS = """name, location, total_reviews_parsed, positive_review_count, negative_review_count, neutral_review_count,
- round(s, 6) AS avg_sentiment_score, round(avg_review_length, 6) AS avg_review_length, round(avg_character_count, 6) AS avg_character_count,
+ s AS avg_sentiment_score, round(avg_review_length, 6) AS avg_review_length, round(avg_character_count, 6) AS avg_character_count,
  CASE WHEN round(s, 9) >= 0.5 THEN 'Highly Positive' WHEN round(s, 9) >= 0.2 THEN 'Positive' WHEN round(s, 9) >= -0.05 THEN 'Mixed'
  WHEN round(s, 9) >= -0.2 THEN 'Negative' ELSE 'Highly Negative' END AS dominant_sentiment,
  round_even(positive_review_count / total_reviews_parsed * 1000, 0) / 1000 AS positive_ratio,
  CASE WHEN total_reviews_parsed < 3 THEN 'low' ELSE 'normal' END AS review_quality_flag"""
-_MEANS = ["avg_sentiment_score", "avg_review_length", "avg_character_count"]
+_MEANS = ["avg_review_length", "avg_character_count"]
 
 
 @query(
