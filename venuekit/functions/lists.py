@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from venuekit.functions.scalars import _cased, _col, null_if, strip, to_double
+from venuekit.functions.scalars import _cased, _col, let, null_if, strip, to_double
 
 # Fixed patterns of a list literal: quoted strings may hold escaped quotes. Possessive
 # quantifiers keep the Java matcher iterative, so long reviews cannot overflow its stack.
@@ -40,7 +40,6 @@ def ordered_union(a: Column | str, b: Column | str) -> Column:
 
 def _decode_marked(c: Column, marker: str, digits: int) -> Column:
     """Replace ``marker`` + hex digits by the character it names."""
-    pieces = F.split(c, marker)
     pad = "0" * (4 - digits)
 
     def one(piece: Column, i: Column) -> Column:
@@ -49,12 +48,10 @@ def _decode_marked(c: Column, marker: str, digits: int) -> Column:
         known = piece.rlike(f"^[0-9a-fA-F]{{{digits}}}")
         return F.when(i == 0, piece).when(known, F.concat(char, F.substr(piece, F.lit(digits + 1)))).otherwise(piece)
 
-    return F.when(F.size(pieces) > 1, F.array_join(F.transform(pieces, one), "")).otherwise(c)
+    return F.array_join(F.transform(F.split(c, marker), one), "")
 
 
-def unquote(c: Column) -> Column:
-    """Value of a quoted string literal: quotes dropped, escapes resolved."""
-    body = F.substr(c, F.lit(2), F.length(c) - 2)
+def _resolve(body: Column) -> Column:
     out = F.replace(body, F.lit("\\\\"), F.lit(_SLASH))
     for escape, char in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\'", "'"), ('\\"', '"')):
         out = F.replace(out, F.lit(escape), F.lit(char))
@@ -62,6 +59,11 @@ def unquote(c: Column) -> Column:
     return F.when(F.instr(body, "\\") > 0, F.replace(out, F.lit(_SLASH), F.lit("\\"))).otherwise(body)
 
 
+def unquote(c: Column) -> Column:
+    """Value of a quoted string literal: quotes dropped, escapes resolved."""
+    return let(let(c, lambda q: F.substr(q, F.lit(2), F.length(q) - 2)), _resolve)
+
+
 def _items(c: Column, pattern: str) -> Column:
     """All matches, or an empty array when anything but commas stands between them."""
     clean = F.regexp_replace(c, pattern, "").rlike(_ONLY_COMMAS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -15,6 +15,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind an expensive value once for an expression that mentions it several times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column | str) -> Column:
     """Trim every kind of blank at both ends."""
     return F.btrim(_col(c), F.lit(_BLANKS))

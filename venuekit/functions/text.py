@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from venuekit.functions import constants as K
-from venuekit.functions.scalars import _col, strip
+from venuekit.functions.scalars import _col, let, strip
 
 # Fixed patterns.
 _URL = r"http\S+|www\S+"
@@ -56,10 +56,14 @@ def index_terms(c: Column | str) -> Column:
 
 def with_bigrams(tokens: Column) -> Column:
     """Tokens followed by the pairs of neighbours."""
-    n = F.size(tokens)
-    left, right = F.slice(tokens, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(tokens, F.lit(2), n)
-    pairs = F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(n > 1, F.concat(tokens, pairs)).otherwise(tokens)
+
+    def extend(t: Column) -> Column:
+        n = F.size(t)
+        left, right = F.slice(t, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(t, F.lit(2), n)
+        pairs = F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b))
+        return F.when(n > 1, F.concat(t, pairs)).otherwise(t)
+
+    return let(tokens, extend)
 
 
 def sentiment_tokens(c: Column | str) -> Column:

@@ -14,8 +14,13 @@ BROADCAST_TERMS = 100_000
 
 
 def term_counts(docs: DataFrame, keys: Sequence[str], terms: Column) -> DataFrame:
-    """``(keys, term, tf)``; counted per document on the map side before the shuffle."""
-    return docs.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    """``(keys, term, tf)``; counted per document on the map side before the shuffle.
+
+    The explicit null filter is the one a later join on ``term`` would add; with it every
+    consumer plans the same exchange, and Spark runs it once.
+    """
+    exploded = docs.select(*keys, F.explode(terms).alias("term")).filter(F.col("term").isNotNull())
+    return exploded.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, n_docs: Column, max_df: float = K.MAX_DF, min_df: int = 1,

@@ -14,25 +14,27 @@ def default_lexicon(spark: SparkSession) -> DataFrame:
 
 
 def _context(tokens: Column) -> Column:
-    """Each token with the boost and the negation found among its three predecessors."""
+    """Each token with its three predecessors."""
 
     def one(token: Column, i: Column) -> Column:
-        before = [F.get(tokens, i - d) for d in (1, 2, 3)]
-        boost = sum(
-            (
-                F.when(w.isin(*K.BOOSTERS_UP), K.BOOST_STEP * damp)
-                .when(w.isin(*K.BOOSTERS_DOWN), -K.BOOST_STEP * damp)
-                .otherwise(0.0)
-                for w, damp in zip(before, K.BOOST_DAMPING)
-            ),
-            F.lit(0.0),
-        )
-        negated = F.coalesce(F.arrays_overlap(F.array(*before), F.array(*map(F.lit, K.NEGATIONS))), F.lit(False))
-        return F.struct(token.alias("word"), boost.alias("boost"), negated.alias("negated"))
+        before = [F.get(tokens, i - d).alias(f"before{d}") for d in (1, 2, 3)]
+        return F.struct(token.alias("word"), *before)
 
     return F.transform(tokens, one)
 
 
+def _signed_valence() -> Column:
+    """Valence of a lexicon hit after boosters and negation; NULL for other words."""
+    before = [F.col(f"before{d}") for d in (1, 2, 3)]
+    boost, negated = F.lit(0.0), F.lit(False)
+    for word, damp in zip(before, K.BOOST_DAMPING):
+        step = K.BOOST_STEP * damp
+        boost = boost + F.when(word.isin(*K.BOOSTERS_UP), step).when(word.isin(*K.BOOSTERS_DOWN), -step).otherwise(0.0)
+        negated = negated | F.coalesce(word.isin(*K.NEGATIONS), F.lit(False))
+    boosted = F.col("valence") + F.signum("valence") * boost
+    return F.when(F.col("valence").isNotNull(), F.when(negated, boosted * K.NEGATION_FACTOR).otherwise(boosted))
+
+
 def score_reviews(reviews: DataFrame, review_id: str, text: str, carry: Sequence[str] = (),
                   lexicon: DataFrame | None = None) -> DataFrame:
     """Compound score in [-1, 1] and three-way label per review.
@@ -44,14 +46,11 @@ def score_reviews(reviews: DataFrame, review_id: str, text: str, carry: Sequence
     marks = X.exclamations(text).alias("_marks")
     tokens = reviews.select(review_id, *carry, marks, X.sentiment_tokens(text).alias("_t"))
     words = tokens.select(review_id, *carry, "_marks", F.explode_outer(_context(F.col("_t"))).alias("_c"))
-    words = words.select(review_id, *carry, "_marks", "_c.word", "_c.boost", "_c.negated")
-    valence = F.col("valence")
-    boosted = valence + F.signum(valence) * F.col("boost")
-    signed = F.when(F.col("negated"), boosted * K.NEGATION_FACTOR).otherwise(boosted)
+    words = words.select(review_id, *carry, "_marks", "_c.*")
     sums = (
         words.join(lexicon, "word", "left")
         .groupBy(review_id, *carry, "_marks")
-        .agg(F.sum(F.coalesce(signed, F.lit(0.0))).alias("_s"), F.count("valence").alias("n_hits"))
+        .agg(F.coalesce(F.sum(_signed_valence()), F.lit(0.0)).alias("_s"), F.count("valence").alias("n_hits"))
     )
     total = F.col("_s") + F.signum(F.round("_s", 9)) * F.col("_marks") * K.EXCLAMATION_STEP
     compound = F.round(total / F.sqrt(total * total + K.NORMALIZER), 4)

@@ -8,7 +8,7 @@ from venuekit.functions import lists as L
 from venuekit.functions.constants import FAQS
 from venuekit.operators import corpus as D, search as Q
 from venuekit.operators.profile import pass_rates
-from venuekit.plans.registry import CLEAN, clean, query, rounded
+from venuekit.plans.registry import CLEAN, clean, documents, query, rounded
 from venuekit.sources.tables import table
 
 
@@ -81,20 +81,20 @@ SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, CAST(len(w[i * 540 + 1 : i * 540
  array_to_string(w[i * 540 + 1 : i * 540 + 600], ' ') AS chunk FROM i""",
 )
 def r02(spark, sf):
-    return D.word_windows(table(spark, sf, "documents"), "doc_id", "text")
+    return D.word_windows(documents(spark, sf), "doc_id", "text")
 
 
 @query("r02_sentence_chunks")
 def r02_sentences(spark, sf):
     """Packing is a fold over sentences; checked against a loop on a fixture."""
-    chunks = D.sentence_chunks(table(spark, sf, "documents"), "doc_id", "text")
+    chunks = D.sentence_chunks(documents(spark, sf), "doc_id", "text")
     return chunks.select("doc_id", "chunk_no", "n_words", F.length("chunk").alias("n_chars"))
 
 
 @query("r03_hashed_vectors")
 def r03(spark, sf):
     """Feature hashing uses Spark's own hash; checked against a loop on a fixture."""
-    return D.hashed_vectors(table(spark, sf, "documents"), "doc_id", "text")
+    return D.hashed_vectors(documents(spark, sf), "doc_id", "text")
 
 
 def _vectors(spark, sf):

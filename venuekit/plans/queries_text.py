@@ -9,7 +9,8 @@ from venuekit.operators import keywords as W
 from venuekit.operators.reviews import budgeted_text, explode_keywords, explode_reviews, venue_rollup
 from venuekit.operators.sentiment import score_reviews
 from venuekit.plans.enrichment import KEY, enrich, review_rows, source_counts, venue_profiles
-from venuekit.plans.registry import CLEAN, REVIEW_CTES, clean, document_reviews, query, rounded
+from venuekit.plans.registry import CLEAN, REVIEW_CTES, clean, document_reviews, documents, query, rounded
+from venuekit.session import spread
 from venuekit.sources.tables import table
 
 
@@ -35,12 +36,12 @@ def clean_text_sql(c: str) -> str:
 
 @query("c21_clean_text", f"SELECT doc_id, {clean_text_sql('text')} AS clean FROM documents")
 def c21(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.clean_text("text").alias("clean"))
+    return documents(spark, sf).select("doc_id", X.clean_text("text").alias("clean"))
 
 
 @query("c21_clean_markup", f"SELECT page_id, {clean_text_sql('html')} AS clean FROM pages")
 def c21_markup(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.clean_text("html").alias("clean"))
+    return spread(table(spark, sf, "pages")).select("page_id", X.clean_text("html").alias("clean"))
 
 
 @query("c19_explode_reviews", CLEAN + f", {REVIEW_CTES} SELECT review_id, name, location, text FROM reviews")

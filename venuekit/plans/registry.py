@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from venuekit.functions.constants import MISSING_TOKENS
 from venuekit.plans.cleaning import clean_venues
+from venuekit.session import spread
 from venuekit.sources.tables import VENUES_CTE, table, venues
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,9 +30,14 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_venues(venues(spark, sf_dir))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text table, spread over the cores when it comes in few splits."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def document_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read as reviews: a source in a language plays the venue."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("review_id"), F.col("source").alias("name"), F.col("lang").alias("location"), "text"
     )
 
