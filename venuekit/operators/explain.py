@@ -65,8 +65,11 @@ def permutation_importance(model: PipelineModel, df: DataFrame, columns: Sequenc
 
 def learning_curve(estimator: Estimator, train: DataFrame, key: Sequence[str], scoring: Evaluator, fold: str,
                    folds: int, fractions: Sequence[float]) -> DataFrame:
-    """Train and validation score per train fraction and fold; fractions are nested hash thresholds."""
-    share = F.conv(F.substring(row_hash(*key), 1, 15), 16, 10).cast("double") / float(16**15)
+    """Train and validation score per train fraction and fold; fractions are nested hash thresholds.
+
+    The hash is salted, because the test rows were already cut off by the plain one.
+    """
+    share = F.conv(F.substring(row_hash(*key, F.lit("learning-curve")), 1, 15), 16, 10).cast("double") / float(16**15)
     marked = train.withColumn("_share", share)
     rows = []
     for fraction in fractions:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
 )
@@ -15,11 +15,13 @@ from pyspark.ml.evaluation import (
     Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator,
 )
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
-from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasOutputCol, HasPredictionCol
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
 )
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SEED = 42
@@ -64,23 +66,36 @@ def random_forest_regressor(label: str, **params) -> RandomForestRegressor:
     return RandomForestRegressor(labelCol=label, seed=SEED, **params)
 
 
+class ArrayToVector(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Array column to dense vector inside a pipeline."""
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(self.getInputCol()))
+
+
 def rbf_features(columns: Sequence[str], gamma: float, dims: int = 100, out: str = "rbf") -> list:
     """Random Fourier features (Rahimi & Recht 2007) whose dot product approximates an RBF kernel.
 
-    Plain SQL cosines, so the stage is generated code and can be saved with its pipeline.
+    One SQL expression over a constant table of waves, so the stage is saved with its pipeline.
     """
     rng = np.random.default_rng(SEED)
     weights = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(dims, len(columns)))
     shifts = rng.uniform(0.0, 2.0 * np.pi, size=dims)
-    scale = float(np.sqrt(2.0 / dims))
-    waves = []
-    for i in range(dims):
-        inner = " + ".join(f"({w:.17g}D) * `{c}`" for w, c in zip(weights[i], columns))
-        waves.append(f"{scale:.17g}D * cos({inner} + {shifts[i]:.17g}D) AS `{out}_{i}`")
-    names = [f"{out}_{i}" for i in range(dims)]
+    number = lambda v: f"{float(v):.17g}D"
+    waves = ", ".join(
+        f"named_struct('w', array({', '.join(map(number, w))}), 'b', {number(b)})" for w, b in zip(weights, shifts)
+    )
+    point = ", ".join(f"cast(`{c}` as double)" for c in columns)
+    inner = f"aggregate(zip_with(r.w, array({point}), (a, x) -> a * x), 0D, (s, v) -> s + v)"
+    scaled = f"transform(array({waves}), r -> {number(np.sqrt(2.0 / dims))} * cos(r.b + {inner}))"
     return [
-        SQLTransformer(statement=f"SELECT *, {', '.join(waves)} FROM __THIS__"),
-        VectorAssembler(inputCols=names, outputCol=out),
+        SQLTransformer(statement=f"SELECT *, {scaled} AS `{out}_waves` FROM __THIS__"),
+        ArrayToVector(inputCol=f"{out}_waves", outputCol=out),
     ]
 
 
