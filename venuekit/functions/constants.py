@@ -54,6 +54,36 @@ FAQS = [
     ),
 ]
 
+# Phrases of the venue description, in order of use; an empty value is replaced by its fallback.
+NARRATIVE = {
+    "kind": " is a ",
+    "kind_fallback": "restaurant",
+    "place": " located in ",
+    "place_fallback": "an unspecified location",
+    "offer": ", offering ",
+    "offer_fallback": "a variety of cuisines",
+    "dishes": ". Popular or frequently ordered dishes include: ",
+    "dishes_fallback": "unspecified dishes",
+    "cost": ". The approximate cost for two people is ₹",
+    "rating": ". The overall user rating stands at ",
+    "number_fallback": "N/A",
+    "end": ". ",
+    "sentiment": "Overall customer feedback is predominantly ",
+    "keywords": "Common topics and key phrases in customer feedback include: ",
+    "menu": "Notable menu highlights include ",
+    "reviews": " Detailed customer review text: ",
+    "reviews_fallback": "No direct review text available.",
+}
+
+# Typed metadata of a document.
+META_FIELDS = {
+    "doc_type": "string", "name": "string", "location": "string", "cuisines": "string", "rest_type": "string",
+    "cost_for_two": "double", "rating": "double", "rating_is_imputed": "boolean", "online_order": "string",
+    "book_table": "string", "menu_available": "boolean", "sentiment_score": "double", "sentiment_label": "string",
+    "positive_ratio": "double", "keywords": "string", "dish_keywords": "string", "review_quality": "string",
+    "nlp_source": "string", "question": "string",
+}
+
 # English stop words that can survive the letters-only cleaning.
 STOP_WORDS = """
 i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers

@@ -10,15 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from venuekit.functions import constants as K, lists as L, scalars as S, text as X
 
-META_FIELDS = {
-    "doc_type": "string", "name": "string", "location": "string", "cuisines": "string", "rest_type": "string",
-    "cost_for_two": "double", "rating": "double", "rating_is_imputed": "boolean", "online_order": "string",
-    "book_table": "string", "menu_available": "boolean", "sentiment_score": "double", "sentiment_label": "string",
-    "positive_ratio": "double", "keywords": "string", "dish_keywords": "string", "review_quality": "string",
-    "nlp_source": "string", "question": "string",
-}
-
-
 def _number(c: str) -> Column:
     """A double as text: whole numbers without a fraction."""
     value = F.col(c)
@@ -27,35 +18,37 @@ def _number(c: str) -> Column:
 
 
 def narrative(df: DataFrame) -> Column:
-    """Descriptive text of a venue; absent columns and missing values fall back to set phrases."""
-
-    def text(name: str, fallback: str) -> Column:
-        return S.default(name, fallback) if name in df.columns else F.lit(fallback)
-
-    def clause(name: str, before: str) -> Column:
-        present = F.col(name) != "" if name in df.columns else F.lit(False)
-        value = F.col(name) if name in df.columns else F.lit("")
-        return F.when(present, F.concat(F.lit(before), value, F.lit("."))).otherwise("")
-
-    dishes = S.null_if(text("dish_liked", ""), "")
-    menu = L.string_items("menu_item") if "menu_item" in df.columns else F.array().cast("array<string>")
-    menu = F.array_join(F.coalesce(menu, F.array().cast("array<string>")), ", ")
-    own = F.array_join(L.review_texts("reviews_list", drop_marker=False), " ") if "reviews_list" in df.columns else F.lit("")
-    review = F.coalesce(S.null_if(text("clean_review", ""), ""), S.null_if(own, ""), F.lit("No direct review text available."))
-    parts = [
-        text("name", ""), F.lit(" is a "), text("rest_type", "restaurant"), F.lit(" located in "),
-        text("location", "an unspecified location"), F.lit(", offering "), text("cuisines", "a variety of cuisines"),
-        F.lit(". Popular or frequently ordered dishes include: "), F.coalesce(dishes, F.lit("unspecified dishes")),
-        F.lit(". The approximate cost for two people is ₹"),
-        F.coalesce(_number("cost_for_two"), F.lit("N/A")) if "cost_for_two" in df.columns else F.lit("N/A"),
-        F.lit(". The overall user rating stands at "),
-        F.coalesce(F.col("rate").cast("string"), F.lit("N/A")) if "rate" in df.columns else F.lit("N/A"),
-        F.lit(". "), clause("dominant_sentiment", "Overall customer feedback is predominantly "), F.lit(" "),
-        clause("keywords", "Common topics and key phrases in customer feedback include: "), F.lit(" "),
-        F.when(menu != "", F.concat(F.lit("Notable menu highlights include "), menu, F.lit("."))).otherwise(""),
-        F.lit(" Detailed customer review text: "), review,
+    """Descriptive text of a venue: one phrase per available column, set phrases where a value is missing."""
+    say, empty_list = K.NARRATIVE, F.array().cast("array<string>")
+
+    def value(name: str) -> Column:
+        """Text of a column, NULL when absent, missing or empty."""
+        return S.null_if(F.col(name).cast("string"), "") if name in df.columns else F.lit(None).cast("string")
+
+    def number(name: str) -> Column:
+        return F.coalesce(_number(name) if name in df.columns else F.lit(None), F.lit(say["number_fallback"]))
+
+    def sentence(phrase: str, body: Column) -> Column:
+        return F.when(S.null_if(body, "").isNotNull(), F.concat(F.lit(say[phrase]), body, F.lit("."))).otherwise("")
+
+    def joined(name: str, parse, sep: str) -> Column:
+        return F.array_join(F.coalesce(parse(name), empty_list), sep) if name in df.columns else F.lit("")
+
+    menu = joined("menu_item", L.string_items, ", ")
+    own = joined("reviews_list", lambda c: L.review_texts(c, drop_marker=False), " ")
+    rating = F.coalesce(value("rate"), F.lit(say["number_fallback"]))
+    described = [
+        ("kind", value("rest_type")), ("place", value("location")), ("offer", value("cuisines")), ("dishes", value("dish_liked")),
+    ]
+    opening = [
+        part for phrase, body in described for part in (F.lit(say[phrase]), F.coalesce(body, F.lit(say[f"{phrase}_fallback"])))
     ]
-    return F.concat(*parts)
+    figures = [F.lit(say["cost"]), number("cost_for_two"), F.lit(say["rating"]), rating, F.lit(say["end"])]
+    clauses = F.concat_ws(" ", sentence("sentiment", value("dominant_sentiment")), sentence("keywords", value("keywords")),
+                          sentence("menu", menu))
+    review = F.coalesce(value("clean_review"), S.null_if(own, ""), F.lit(say["reviews_fallback"]))
+    name = F.coalesce(value("name"), F.lit(""))
+    return F.concat(name, *opening, *figures, clauses, F.lit(say["reviews"]), review)
 
 
 def metadata(df: DataFrame) -> Column:
@@ -76,7 +69,7 @@ def metadata(df: DataFrame) -> Column:
             value = F.col(column) if column in df.columns else F.lit(None)
         return value.cast(kind).alias(name)
 
-    return F.struct(*[field(n, k) for n, k in META_FIELDS.items()])
+    return F.struct(*[field(n, k) for n, k in K.META_FIELDS.items()])
 
 
 def venue_documents(df: DataFrame, key: str) -> DataFrame:
@@ -89,7 +82,7 @@ def venue_documents(df: DataFrame, key: str) -> DataFrame:
 def faq_documents(spark: SparkSession, faqs: Sequence[tuple[str, str]] = K.FAQS) -> DataFrame:
     rows = spark.createDataFrame([(i, q, a) for i, (q, a) in enumerate(faqs)], "i int, q string, a string")
     fields = {"doc_type": F.lit("faq"), "question": F.col("q")}
-    meta = F.struct(*[fields.get(n, F.lit(None)).cast(k).alias(n) for n, k in META_FIELDS.items()])
+    meta = F.struct(*[fields.get(n, F.lit(None)).cast(k).alias(n) for n, k in K.META_FIELDS.items()])
     text = F.concat(F.lit("Q: "), F.col("q"), F.lit(" A: "), F.col("a"))
     return rows.select(F.concat(F.lit("faq-"), F.col("i").cast("string")).alias("doc_id"), text.alias("text"), meta.alias("meta"))
 
