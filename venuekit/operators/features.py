@@ -40,7 +40,7 @@ def one_hot_long(df: DataFrame, train: DataFrame, key: str, columns: Sequence[st
     known = train.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns
     ])).alias("_s")).select("_s.column", "_s.value").filter(F.col("value").isNotNull()).distinct()
-    return rows.join(known, ["column", "value"]).select(key, "column", "value")
+    return rows.join(materialize(known, "categories"), ["column", "value"]).select(key, "column", "value")
 
 
 def distinct_values(df: DataFrame, column: str, limit: int = MAX_LABELS) -> list[str]:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from venuekit.functions import constants as K, lists as L, text as X
 from venuekit.operators.profile import item_frequencies
 from venuekit.operators.ranking import first_by_key, top_k
+from venuekit.session import materialize
 
 BROADCAST_TERMS = 100_000
 
@@ -69,7 +70,7 @@ def dish_keywords(df: DataFrame, keys: Sequence[str], row_key: str, column: str,
     lists = df.filter(F.col(column).isNotNull()).select(
         *keys, row_key, L.split_list(column, "lower").alias("_dishes")
     )
-    frequency = item_frequencies(lists, "_dishes", "dish")
+    frequency = materialize(item_frequencies(lists, "_dishes", "dish"), "dish-frequency")
     first = first_by_key(lists.dropna(subset=list(keys)), keys, row_key)
     dishes = first.select(*keys, F.explode(F.array_distinct("_dishes")).alias("dish"))
     ranked = top_k(dishes.join(frequency, "dish"), keys, [F.desc("n"), F.asc("dish")], n)

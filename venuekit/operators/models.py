@@ -24,6 +24,8 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from venuekit.session import materialize
+
 SEED = 42
 
 
@@ -120,7 +122,7 @@ def support_vector_classifier(columns: Sequence[str], label: str, n_rows: int, c
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Row weights ``n / (classes * n_class)``, as for balanced classes."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
+    counts = materialize(df.groupBy(label).agg(F.count("*").alias("_n")), "class-counts")
     totals = counts.agg((F.sum("_n") / F.count("*")).alias("w")).scalar()
     return df.join(counts, label).withColumn(name, totals / F.col("_n")).drop("_n")
 

@@ -68,7 +68,8 @@ def hash_cut(df: DataFrame, key: Sequence[str], take: Callable[[Column], Column]
     boundary = totals.filter(edge).select(
         *by, "_bucket", "n", "n_take", (F.col("n_take") - F.col("_upto") + F.col("_n")).alias("_nth")
     )
-    inside = hashed.join(boundary if by else F.broadcast(boundary), [*by, "_bucket"])
+    # one row per stratum; stored first when there are strata, so that its real size is known
+    inside = hashed.join(materialize(boundary, "boundary") if by else F.broadcast(boundary), [*by, "_bucket"])
     nth = Window.partitionBy(*by, "_bucket").orderBy("_h")
     cut = (
         inside.withColumn("_rank", F.row_number().over(nth))

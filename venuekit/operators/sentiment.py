@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from venuekit.functions import constants as K, scalars as S, text as X
 
 
+BROADCAST_WORDS = 200_000
+
+
 def default_lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(K.VALENCE.items()), "word string, valence double")
 
@@ -39,10 +42,13 @@ def score_reviews(reviews: DataFrame, review_id: str, text: str, carry: Sequence
                   lexicon: DataFrame | None = None) -> DataFrame:
     """Compound score in [-1, 1] and three-way label per review.
 
-    Tokens meet the lexicon in an equi-join. All tokens of a review sit in one task,
-    so the map-side aggregation leaves one narrow row per review for the shuffle.
+    Tokens meet the lexicon in an equi-join, broadcast when the lexicon was counted to be
+    small. Tokens then stay where their review is, and the map-side aggregation leaves one
+    narrow row per review for the shuffle. A larger lexicon is joined by word.
     """
     lexicon = default_lexicon(reviews.sparkSession) if lexicon is None else lexicon
+    if lexicon.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        lexicon = F.broadcast(lexicon)
     marks = X.exclamations(text).alias("_marks")
     tokens = reviews.select(review_id, *carry, marks, X.sentiment_tokens(text).alias("_t"))
     words = tokens.select(review_id, *carry, "_marks", F.explode_outer(_context(F.col("_t"))).alias("_c"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from venuekit.operators.ranking import hash_cut, hash_take, row_hash
+from venuekit.session import materialize
 
 
 def random_split(df: DataFrame, test_size: float, key: Sequence[str], flag: str = "is_test") -> DataFrame:
@@ -51,7 +52,7 @@ def group_folds(df: DataFrame, group: str, k: int = 5, fold: str = "fold") -> Da
     turn, place = F.floor(rank / k), rank % k
     dealt = F.when(turn % 2 == 0, place).otherwise(k - 1 - place)
     folds = ranked.select(group, dealt.cast("int").alias(fold))
-    return df.join(folds, group)
+    return df.join(materialize(folds, "folds"), group)
 
 
 def row_folds(df: DataFrame, key: Sequence[str], k: int = 5, fold: str = "fold") -> DataFrame:

@@ -11,6 +11,7 @@ from venuekit.operators.features import encode_labels, label_codes
 from venuekit.operators.ranking import first_by_key, modes, row_hash, top_k
 from venuekit.operators.reviews import within_budget
 from venuekit.plans.registry import CLEAN, clean, query, rounded
+from venuekit.session import materialize
 from venuekit.sources.tables import table
 
 _HASH = "md5(CAST({c} AS VARCHAR))"
@@ -50,7 +51,7 @@ def j02(spark, sf):
 )
 def j04(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    found = modes(rows, "o_orderstatus", ["o_orderpriority"])
+    found = materialize(modes(rows, "o_orderstatus", ["o_orderpriority"]), "modes")
     return R.attach_group_statistic(rows, found, ["o_orderpriority"]).drop("o_orderstatus")
 
 
@@ -110,7 +111,7 @@ _TOP_TAGS = """freq AS (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS t
 )
 def w04(spark, sf):
     rows = clean(spark, sf).select("row_id", "tags")
-    frequency = P.item_frequencies(rows, "tags", "tag")
+    frequency = materialize(P.item_frequencies(rows, "tags", "tag"), "tag-frequency")
     tags = rows.select("row_id", F.explode(F.array_distinct("tags")).alias("tag")).join(frequency, "tag")
     return top_k(tags, ["row_id"], [F.desc("n"), F.asc("tag")], 2).select("row_id", "tag", "rank")
 
