@@ -95,17 +95,30 @@ def hash_take(df: DataFrame, key: Sequence[str], take: Callable[[Column], Column
     return df.withColumn(flag, F.coalesce(row_hash(*key) <= cut.select("cut").scalar(), F.lit(False)))
 
 
-def sorted_codes(values: DataFrame, column: str, code: str = "code", by: Sequence[str] = (), prefix: int = 2) -> DataFrame:
-    """0-based rank of distinct values in byte order (per ``by``), ranked separately per leading characters."""
-    cell = [*by, "_prefix"]
-    keyed = values.filter(F.col(column).isNotNull()).withColumn("_prefix", F.substring(column, 1, prefix))
-    sizes = keyed.groupBy(*cell).agg(F.count("*").alias("_n"))
-    # one row per distinct prefix
-    before = Window.partitionBy(*by).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = F.row_number().over(Window.partitionBy(*cell).orderBy(column))
-    ranked = keyed.withColumn("_rn", within).join(offsets, cell)
-    return ranked.select(*by, column, (F.col("_offset") + F.col("_rn") - 1).cast("int").alias(code))
+def ranked(values: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """0-based position of every row in a total order.
+
+    Rows are dealt out by range, stored, and ranked inside their own slice; the sizes of
+    the slices (one row per partition) give the offsets, so no task sees more than a slice.
+    """
+    dealt = values.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id())
+    slices = materialize(dealt, "slices")
+    sizes = slices.groupBy("_slice").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
+    placed = slices.withColumn("_rn", within).join(offsets, "_slice")
+    return placed.withColumn(name, F.col("_offset") + F.col("_rn") - 1).drop("_slice", "_rn", "_offset")
+
+
+def sorted_codes(values: DataFrame, column: str, code: str = "code", by: Sequence[str] = ()) -> DataFrame:
+    """0-based rank of distinct values in byte order (per ``by``), from one range-dealt order."""
+    known = values.filter(F.col(column).isNotNull()).select(*by, column)
+    placed = ranked(known, [F.col(c) for c in [*by, column]], "_at")
+    if not by:
+        return placed.select(column, F.col("_at").cast("int").alias(code))
+    starts = placed.groupBy(*by).agg(F.min("_at").alias("_start"))
+    return placed.join(starts, list(by)).select(*by, column, (F.col("_at") - F.col("_start")).cast("int").alias(code))
 
 
 def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float]) -> DataFrame:

@@ -59,10 +59,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing to the shared folder and reading back.
 
     Used where a result feeds several jobs (tuning folds, neighbour blocks); the
-    written table survives the loss of any executor.
+    written table survives the loss of any executor and goes when the session's JVM ends.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    stored = context._jvm.org.apache.hadoop.fs.Path(path)
+    stored.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(stored)
     return df.sparkSession.read.parquet(path)
 
 
