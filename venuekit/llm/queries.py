@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from venuekit.llm.decontaminate import contamination_report
 from venuekit.llm.mixing import mix
+from venuekit.llm.quality_rules import score_quality
 from venuekit.llm.registry import ORACLES, QUERIES, query
+from venuekit.llm.secrets import secret_report
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -68,3 +70,14 @@ HITS_SQL = f"""w AS (SELECT row_number() OVER () AS rid, doc_id, {SQL_NGRAM_WORD
 )
 def op2(spark, sf_dir):
     return contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
+
+
+@query("op6_quality_rules")
+def op6(spark, sf_dir):
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
+    return score_quality(read(spark, sf_dir, "documents")).select(*columns)
+
+
+@query("op7_secrets")
+def op7(spark, sf_dir):
+    return secret_report(read(spark, sf_dir, "documents"))
