@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from venuekit.llm.decontaminate import contamination_report
+from venuekit.llm.html_extract import extract_pages
 from venuekit.llm.line_dedup import dedup_lines
+from venuekit.llm.lm_score import score_documents
 from venuekit.llm.mixing import mix
 from venuekit.llm.near_dedup import near_duplicates
 from venuekit.llm.quality_rules import score_quality
@@ -112,3 +114,14 @@ LINES_SQL = r"""l AS (SELECT doc_id, i - 1 AS line_no, lines[i] AS line, list_fi
 )
 def op9(spark, sf_dir):
     return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query("op3_html_extract")
+def op3(spark, sf_dir):
+    return extract_pages(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op5_lm_score")
+def op5(spark, sf_dir):
+    good = read(spark, sf_dir, "labels").filter("quality = 1")
+    return score_documents(read(spark, sf_dir, "documents"), good).select("doc_id", "n_tokens", "target_bits", "background_bits", "score")
