@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from venuekit.llm.decontaminate import contamination_report
 from venuekit.llm.html_extract import extract_pages
+from venuekit.llm.language_id import identify_languages
 from venuekit.llm.line_dedup import dedup_lines
 from venuekit.llm.lm_score import score_documents
 from venuekit.llm.mixing import mix
@@ -13,6 +14,7 @@ from venuekit.llm.near_dedup import near_duplicates
 from venuekit.llm.quality_rules import score_quality
 from venuekit.llm.registry import ORACLES, QUERIES, query
 from venuekit.llm.secrets import secret_report
+from venuekit.llm.toxicity import score_toxicity
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -125,3 +127,17 @@ def op3(spark, sf_dir):
 def op5(spark, sf_dir):
     good = read(spark, sf_dir, "labels").filter("quality = 1")
     return score_documents(read(spark, sf_dir, "documents"), good).select("doc_id", "n_tokens", "target_bits", "background_bits", "score")
+
+
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    found = identify_languages(docs, F.coalesce(remainder != 2, F.lit(False)))
+    return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_toxicity")
+def op10(spark, sf_dir):
+    found = score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "p_insult", "p_contempt", "p_disgust", "p_toxic", "toxic")
