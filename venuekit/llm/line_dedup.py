@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from venuekit.llm.common import replace_columns
 from venuekit.operators.ranking import ranked
 from venuekit.session import materialize
 
-PERCENT, MIN_WORDS = 80, 5
+PERCENT, SHINGLE = 80, 5
 RARITY_BITS, BLOOM_BITS = 20, 24
 _OTHER_SPACE = r"[\x09-\x0D]"
 
@@ -45,17 +47,23 @@ def packed_lookup(table: Column, i: Column, cell_bits: int) -> Column:
     return F.call_function("shiftright", word, place).bitwiseAND(F.lit(2**cell_bits - 1))
 
 
+def shingles(words: Column, size: int, of: Callable[[Column], Column]) -> Column:
+    """Distinct runs of ``size`` words, each as ``of`` shows it."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: of(F.slice(words, i, size))))
+
+
 def _bucket(h: Column, bits: int) -> Column:
     return h.bitwiseAND(F.lit(2**bits - 1))
 
 
-def rarity_table(docs: DataFrame, text_col: str, bits: int = RARITY_BITS) -> Column:
-    """Binary logarithm (0 to 15) of the corpus count of the words in each of ``2^bits`` hash buckets.
+def rarity_table(docs: DataFrame, text_col: str, size: int = SHINGLE, bits: int = RARITY_BITS) -> Column:
+    """Step (0 to 15) on a logarithmic scale of the corpus count of the tokens in each of ``2^bits`` hash buckets.
 
-    All words of all texts are counted; the table has the same 0.5 MB whatever the corpus holds.
+    All tokens of all texts are counted; the table has the same 0.5 MB whatever the corpus holds.
     """
-    words = docs.select(F.explode(line_words(F.lower(text_col))).alias("w"))
-    counts = words.groupBy(_bucket(F.xxhash64("w"), bits).alias("i")).agg(F.count("*").alias("n"))
+    words = docs.select(_once("w", line_words(F.lower(text_col)))).filter(F.size("w") >= size)
+    hashed = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: _bucket(F.xxhash64(F.slice("w", i, size)), bits))).alias("i"))
+    counts = hashed.groupBy("i").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("n")).select("n").scalar()
     # logarithmic steps from the least count seen to the whole corpus
     step = F.greatest(F.log2(total.cast("double")) / 15, F.lit(1.0))
@@ -67,26 +75,25 @@ def _least_overlap(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100.0 - 1e-9).cast("int")
 
 
-def _line_table(docs: DataFrame, id_col: str, text_col: str, percent: int, min_words: int) -> DataFrame:
-    """``doc_id, dk, line_no, class, n, prefix`` of every line with enough words.
+def _line_table(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int) -> DataFrame:
+    """``doc_id, dk, line_no, class, n, prefix`` of every line with at least ``size`` words.
 
-    ``class`` is the 128-bit hash of the words in order. ``prefix`` holds 32-bit codes of the rarest
-    words: by the rarity table, then longer words first, then by hash, one order for the whole corpus.
+    The tokens of a line are its distinct runs of ``size`` words, ``n`` in number. ``class`` is the
+    128-bit hash of the words in order. ``prefix`` holds 32-bit codes of the rarest tokens: by the
+    rarity table, then by hash, one order for the whole corpus.
     """
-    rarity = rarity_table(docs, text_col)
+    rarity = rarity_table(docs, text_col, size)
     lines = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("dk"), F.posexplode(F.split(F.lower(text_col), "\n")).alias("line_no", "line")
     )
-    worded = lines.select("doc_id", "dk", "line_no", _once("w", line_words(F.col("line")))).filter(F.size("w") >= min_words)
+    worded = lines.select("doc_id", "dk", "line_no", _once("w", line_words(F.col("line")))).filter(F.size("w") >= size)
     code = F.unhex(F.md5(F.array_join("w", " ").cast("binary")))
-    sets = worded.select("doc_id", "dk", "line_no", code.alias("class"), _once("u", F.array_distinct("w")))
-    enough = sets.filter(F.size("u") >= min_words).withColumn("_rarity", rarity)
+    sets = worded.select("doc_id", "dk", "line_no", code.alias("class"), _once("u", shingles(F.col("w"), size, F.xxhash64)))
+    enough = sets.withColumn("_rarity", rarity)
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def key(h: Column) -> Column:
         rare = packed_lookup(F.col("_rarity"), _bucket(h, RARITY_BITS), 4)
-        long_first = F.lit(15).cast("long") - F.least(F.length(w), F.lit(15))
-        return F.shiftleft(rare, 36).bitwiseOR(F.shiftleft(long_first, 32)).bitwiseOR(F.shiftright(h, 30).bitwiseAND(F.lit(0xFFFFFFFF)))
+        return F.shiftleft(rare, 32).bitwiseOR(F.shiftright(h, 30).bitwiseAND(F.lit(0xFFFFFFFF)))
 
     n = F.size("u")
     head = F.slice(F.sort_array(F.transform("u", key)), F.lit(1), n - _least_overlap(n, percent) + 1)
@@ -103,8 +110,8 @@ def _may_match(percent: int) -> Column:
     return (short * 100 >= long * percent) & (bound >= need)
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The pairs ``x, y`` of line ids whose whole word sets are similar.
+def _similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, percent: int, size: int) -> DataFrame:
+    """The pairs ``x, y`` of line ids whose whole token sets are similar.
 
     The words are read again from the documents. A bit table of fixed size over the wanted lines keeps
     the others from being exchanged; what passes it by chance falls out in the join.
@@ -120,7 +127,8 @@ def _similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str,
     named = places.withColumnsRenamed({"doc_id": "_d", "dk": "_k", "line_no": "_l"})
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("dk") == F.col("_k")) & (F.col("line_no") == F.col("_l"))
     found = passed.join(named, same).groupBy("id").agg(F.min("line").alias("line"))
-    tokens = materialize(found.select("id", F.array_distinct(line_words(F.lower("line"))).alias("w")), "line-words")
+    worded = found.select("id", _once("v", line_words(F.lower("line"))))
+    tokens = materialize(worded.select("id", shingles(F.col("v"), size, lambda g: F.array_join(g, " ")).alias("w")), "line-tokens")
     both = pairs.join(tokens.select(F.col("id").alias("y"), F.col("w").alias("wy")), "y").join(
         tokens.select(F.col("id").alias("x"), F.col("w").alias("wx")), "x"
     )
@@ -129,19 +137,19 @@ def _similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str,
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
-                   min_words: int = MIN_WORDS) -> DataFrame:
+                   size: int = SHINGLE) -> DataFrame:
     """``doc_id, dk, gone``: per document the numbers of the lines that repeat an earlier one.
 
-    A line repeats an earlier line if their sets of lower-case words have a Jaccard similarity of at
-    least ``percent`` / 100. Lines stand in the order of id (nulls first), text hash and line number;
-    lines with fewer than ``min_words`` different words neither repeat nor are repeated.
+    A line repeats an earlier line if their sets of runs of ``size`` lower-case words have a Jaccard
+    similarity of at least ``percent`` / 100. Lines stand in the order of id (nulls first), text hash and
+    line number; lines with fewer than ``size`` words neither repeat nor are repeated.
 
     Lines with equal words are one class and only a class's first line is joined. Every first line
-    is compared with the earliest line of each of its prefix words; that settles most of a family of
+    is compared with the earliest line of each of its prefix tokens; that settles most of a family of
     copies with one comparison each. Only lines still without a match then meet all earlier lines that
-    share a prefix word and pass the length and positional filters. Candidates are verified on whole lines.
+    share a prefix token and pass the length and positional filters. Candidates are verified on whole lines.
     """
-    lines = materialize(_line_table(docs, id_col, text_col, percent, min_words), "lines")
+    lines = materialize(_line_table(docs, id_col, text_col, percent, size), "lines")
     order = F.struct("doc_id", "dk", "line_no")
     classes = lines.groupBy("class").agg(F.min(order).alias("o"), F.min_by(F.struct("n", "prefix"), order).alias("s"))
     flat = classes.select("class", "o.doc_id", "o.dk", "o.line_no", "s.n", "s.prefix")
@@ -153,14 +161,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = entries.select("code", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("p").alias("py"))
     stars = later.join(led, "code").filter((F.col("x") < F.col("y")) & _may_match(percent)).select("x", "y").distinct()
     tried = materialize(stars, "star-pairs")
-    first_hits = materialize(_similar(tried, docs, firsts, id_col, text_col, percent).select("y").distinct(), "matched")
+    first_hits = materialize(_similar(tried, docs, firsts, id_col, text_col, percent, size).select("y").distinct(), "matched")
 
     open_lines = firsts.join(first_hits.withColumnRenamed("y", "id"), "id", "left_anti")
     asked = open_lines.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.posexplode("prefix").alias("py", "code"))
     earlier = entries.select("code", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"))
     pairs = asked.join(earlier, "code").filter((F.col("x") < F.col("y")) & _may_match(percent)).select("x", "y").distinct()
     untried = materialize(pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
-    hits = first_hits.unionByName(_similar(untried, docs, firsts, id_col, text_col, percent).select("y").distinct())
+    hits = first_hits.unionByName(_similar(untried, docs, firsts, id_col, text_col, percent, size).select("y").distinct())
 
     kept = materialize(firsts.join(hits.withColumnRenamed("y", "id"), "id", "left_anti").select("class", "doc_id", "dk", "line_no"), "kept-lines")
     first = kept.select(F.col("class").alias("_c"), F.col("doc_id").alias("_d"), F.col("dk").alias("_k"), F.col("line_no").alias("_l"))

@@ -97,15 +97,16 @@ def op4(spark, sf_dir):
 
 LINES_SQL = r"""l AS (SELECT doc_id, i - 1 AS line_no, lines[i] AS line, list_filter(regexp_split_to_array(lower(lines[i]), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM docs) AS s) AS u),
- s AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS o, doc_id, line_no, list_sort(list_distinct(w)) AS w FROM l),
- f AS (SELECT w, min(o) AS o, len(w) AS n FROM s WHERE len(w) >= 5 GROUP BY w),
+ s AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS o, doc_id, line_no,
+  list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) AS w FROM l),
+ f AS (SELECT w, min(o) AS o, len(w) AS n FROM s WHERE len(w) >= 1 GROUP BY w),
  t AS (SELECT o, n, unnest(w) AS token FROM f),
  k AS (SELECT t.*, df FROM t JOIN (SELECT token, count(*) AS df FROM t GROUP BY token) AS c USING (token)),
  p AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY df, token) AS place FROM k QUALIFY place <= n - ceil(0.8 * n - 1e-9) + 1),
  pair AS (SELECT DISTINCT x.o AS x, y.o AS y FROM p x JOIN p y USING (token) WHERE x.o < y.o AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n),
  hit AS (SELECT DISTINCT y FROM pair JOIN f a ON a.o = x JOIN f b ON b.o = y
   WHERE 180 * len(list_intersect(a.w, b.w)) >= 80 * (a.n + b.n)),
- g AS (SELECT s.*, len(s.w) >= 5 AND (s.o <> f.o OR hit.y IS NOT NULL) AS gone FROM s LEFT JOIN f ON f.w = s.w LEFT JOIN hit ON hit.y = s.o),
+ g AS (SELECT s.*, len(s.w) >= 1 AND (s.o <> f.o OR hit.y IS NOT NULL) AS gone FROM s LEFT JOIN f ON f.w = s.w LEFT JOIN hit ON hit.y = s.o),
  edited AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
   coalesce(string_agg(line, chr(10) ORDER BY l.line_no) FILTER (NOT gone), '') AS text FROM g JOIN l USING (doc_id, line_no) GROUP BY doc_id)"""
 
