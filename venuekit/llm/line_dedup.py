@@ -63,7 +63,7 @@ def rarity_table(docs: DataFrame, text_col: str, size: int = SHINGLE, bits: int
     """
     words = docs.select(_once("w", line_words(F.lower(text_col)))).filter(F.size("w") >= size)
     hashed = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (size - 1)), lambda i: _bucket(F.xxhash64(F.slice("w", i, size)), bits))).alias("i"))
-    counts = hashed.groupBy("i").agg(F.count("*").alias("n"))
+    counts = materialize(hashed.groupBy("i").agg(F.count("*").alias("n")), "token-counts")
     total = counts.agg(F.sum("n").alias("n")).select("n").scalar()
     # logarithmic steps from the least count seen to the whole corpus
     step = F.greatest(F.log2(total.cast("double")) / 15, F.lit(1.0))
