@@ -12,10 +12,10 @@ BROADCAST_WINDOWS = 1_000_000
 
 
 def _ngrams(tokens: Column, n: int) -> Column:
-    """Array of (first word's index, hash) of the windows of ``n`` words."""
+    """Array of (first word's index, hash, ``n``) of the windows of ``n`` words."""
     starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    hashed = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i, n)).alias("h")))
-    return F.when(F.size(tokens) >= n, hashed).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
+    hashed = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i, n)).alias("h"), F.lit(n).alias("n")))
+    return F.when(F.size(tokens) >= n, hashed).otherwise(F.array().cast("array<struct<at:int,h:bigint,n:int>>"))
 
 
 def item_windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -50,27 +50,22 @@ def mark_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     )
     # position 0 stands for the document itself
     itself = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("_key").alias("h"), F.lit(0).alias("n")))
-    all_windows = [
-        F.transform(_ngrams(F.col("_w"), n), lambda x, n=n: F.struct(x["at"].alias("at"), x["h"].alias("h"), F.lit(n).alias("n")))
-        if len(lengths) > 1 else _ngrams(F.col("_w"), n)
-        for n in lengths
-    ]
-    if len(lengths) == 1:
-        itself = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("_key").alias("h")))
+    all_windows = [_ngrams(F.col("_w"), n) for n in lengths]
     exploded = tokens.select("doc_id", "_key", "_w", F.explode(F.concat(itself, *all_windows)).alias("_x"))
-    length = F.col("_x.n") if len(lengths) > 1 else F.lit(lengths[0] if lengths else 0)
-    placed = exploded.select(
-        "doc_id", "_key", "_w", F.col("_x.at").alias("at"), F.col("_x.h").alias("_h"),
-        F.when(F.col("_x.at") > 0, length).otherwise(F.lit(0)).alias("_n"),
-    )
+    placed = exploded.select("doc_id", "_key", "_w", F.col("_x.at").alias("at"), F.col("_x.h").alias("_h"), F.col("_x.n").alias("_n"))
+    said = F.array_join(F.slice("_w", F.greatest(F.col("at"), F.lit(1)), F.col("_n")), " ")
+    n_words = F.when(F.col("at") == 0, F.size("_w"))
+    if not small:  # what the shuffle moves for a window is its own words, never the document's
+        placed = placed.select("doc_id", "_key", "at", "_h", "_n", said.alias("_said"), n_words.alias("_words"))
+        said, n_words = F.col("_said"), F.col("_words")
     known = grams.withColumnsRenamed({"h": "_gh", "n": "_gn"})
     joined = placed.join(
         F.broadcast(known) if small else known,
         (F.col("_h") == F.col("_gh")) & (F.col("_n") == F.col("_gn")) & (F.col("at") > 0), "left",
     ).filter((F.col("at") == 0) | F.col("gram").isNotNull())
-    same = F.array_join(F.slice("_w", F.greatest(F.col("at"), F.lit(1)), F.col("_n")), " ") == F.col("gram")
+    same = said == F.col("gram")
     found = joined.select(
-        "doc_id", "_key", "at", F.when(F.col("at") == 0, F.size("_w")).alias("_words"),
+        "doc_id", "_key", "at", n_words.alias("_words"),
         F.when((F.col("at") > 0) & same, F.struct(F.col("at"), (F.col("at") + F.col("_n")).alias("end"))).alias("_span"),
         F.when((F.col("at") > 0) & same, F.col("items")).alias("_items"),
     )
