@@ -87,6 +87,12 @@ def test_group_folds_deal_back_and_forth(numbers):
     assert {r["g"]: r["fold"] for r in got} == want
 
 
+def test_group_folds_keep_rows_without_a_group(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, g string")
+    got = {r["id"]: r["fold"] for r in splits.group_folds(df, "g", 2).collect()}
+    assert len(got) == 3 and got[3] == -1 and got[1] >= 0 and got[2] >= 0
+
+
 def test_codes_follow_byte_order(spark):
     names = ["b", "a", "ab", "aa", "Z", "é", "abc", "ac", ""]
     df = spark.createDataFrame([(n,) for n in names], "n string")
@@ -112,6 +118,24 @@ def test_chi_square_with_one_degree_of_freedom_is_corrected(spark):
     assert got["dof"] == 1 and got["chi2"] == pytest.approx(want)
 
 
+def test_p_value_follows_the_corrected_statistic(spark):
+    cells = {("a", "x"): 10, ("a", "y"): 5, ("b", "x"): 4, ("b", "y"): 11}
+    df = spark.createDataFrame([k for k, n in cells.items() for _ in range(n)], "p string, q string")
+    got = profile.independence_test(df, "p", "q").first()
+    assert got["dof"] == 1 and not got["dependent"]
+    assert got["p_value"] == pytest.approx(math.erfc(math.sqrt(got["chi2"] / 2)))
+    for x in (0.1, 3.0, 40.0, 900.0):  # an even number of degrees has a finite sum
+        want = math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(5))
+        assert profile.chi_square_tail(x, 10) == pytest.approx(want)
+
+
+def test_very_large_counts_do_not_overflow(spark, monkeypatch):
+    big = spark.createDataFrame([(p, q, 4_000_000_000) for p in "ab" for q in "xyz"], "p string, q string, n long")
+    monkeypatch.setattr(profile, "crosstab", lambda df, a, b: df)
+    assert profile.chi_square(big, "p", "q").first()["chi2"] == pytest.approx(0)
+    assert {r["expected"] for r in profile.expected_counts(big, "p", "q").collect()} == {4e9}
+
+
 def test_group_mode_fill(spark):
     rows = [(1, "x", "p"), (2, "x", None), (3, "y", None), (4, None, None), (5, "x", "p"), (6, "x", "q")]
     df = spark.createDataFrame(rows, "id int, g string, v string")
@@ -224,6 +248,12 @@ def test_budget_stops_at_the_first_overflow(spark):
     assert reviews.budgeted_text(df, ["k"], "id", "t", 8).first()["clean_review"] == " ".join(want)
 
 
+def test_budget_keeps_groups_where_nothing_fits(spark):
+    df = spark.createDataFrame([("r1", "k", "a b c"), ("r2", "m", "a"), ("r3", "n", None)], "id string, k string, t string")
+    got = {r["k"]: r["clean_review"] for r in reviews.budgeted_text(df, ["k"], "id", "t", 2).collect()}
+    assert got == {"k": "", "m": "a", "n": ""}
+
+
 def test_tfidf_against_a_loop(spark):
     docs = {1: "aa bb aa", 2: "bb cc", 3: "bb dd dd dd", 4: "aa"}
     df = spark.createDataFrame(list(docs.items()), "id int, t string")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,67 +33,80 @@ def features_of(word: str) -> list[int]:
     return [zlib.crc32(n.encode("utf-8", "surrogatepass")) >> (32 - FEATURE_BITS) for n in names]
 
 
-def document_features(text: str) -> set[int]:
-    return {f for w in {w.lower() for w in _WORD.findall(text)} for f in features_of(w)}
+def document_features(text: str) -> np.ndarray:
+    """Distinct feature codes of a whole text, sorted."""
+    codes = {f for w in {w.lower() for w in _WORD.findall(text)} for f in features_of(w)}
+    return np.array(sorted(codes), np.int32)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights and intercept of a penalised logistic regression with balanced classes."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w, seen = np.zeros(x1.shape[1]), np.zeros(x1.shape[1])
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+def _probability(total: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
+def fit_logistic(rows: np.ndarray, cols: np.ndarray, width: int, dense: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Weights of a penalised logistic regression with balanced classes, from the documents marked in ``use``.
+
+    A document has the features ``cols`` at its places in ``rows``, ``width`` in all, and a row of ``dense``.
+    """
+    n, w, seen = len(y), np.zeros(width + dense.shape[1]), np.zeros(width + dense.shape[1])
+    yes, no = use & (y == 1), use & (y == 0)
+    weight = yes * (0.5 / max(1, yes.sum())) + no * (0.5 / max(1, no.sum()))
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        grad = x1.T @ (weight * (y - p)) - PENALTY * w
+        error = weight * (y - _probability(margins(rows, cols, n, dense, w)))
+        grad = np.concatenate([np.bincount(cols, error[rows], width), dense.T @ error]) - PENALTY * w
         seen += grad**2
         w += RATE * grad / (np.sqrt(seen) + 1e-8)
     return w
 
 
-def _probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+def margins(rows: np.ndarray, cols: np.ndarray, n: int, dense: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each document's features and of its ``dense`` values."""
+    width = len(w) - dense.shape[1]
+    return np.bincount(rows, w[cols], n) + dense @ w[width:]
 
 
-def fit_chain(texts: list[str], toxic: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+def fit_chain(texts: Iterator[str], toxic: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Chosen features, their weights per link, and per link the weights of earlier links and the intercept.
 
     A later link learns from out-of-fold probabilities of the earlier ones, so it sees them as they
-    will be on new documents.
+    will be on new documents. Documents are kept as arrays of feature codes, never as a matrix.
     """
     sets = [document_features(t) for t in texts]
-    seen, bad = Counter(), Counter()
-    for s, t in zip(sets, toxic):
-        seen.update(s)
-        if t:
-            bad.update(s)
-    n, n_bad = len(texts), max(1, int(toxic.sum()))
+    n, n_bad = len(sets), max(1, int(toxic.sum()))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate([*sets, np.empty(0, np.int32)])
+    del sets
+    owner = np.repeat(np.arange(n), sizes)
+    seen, bad = np.bincount(flat, minlength=2**FEATURE_BITS), np.bincount(flat[toxic[owner]], minlength=2**FEATURE_BITS)
     rate = n_bad / max(1, n)
-    z = {f: (bad[f] - c * rate) / np.sqrt(c * rate * (1 - rate) + 1e-9) for f, c in seen.items() if c >= MIN_DOCUMENTS}
-    chosen = sorted(sorted((f for f in z if z[f] > MIN_Z), key=lambda f: (-z[f], f))[:MAX_FEATURES])
-    place = {f: i for i, f in enumerate(chosen)}
-    x = np.zeros((n, len(chosen)), np.float32)
-    for row, s in enumerate(sets):
-        x[row, [place[f] for f in s if f in place]] = 1
+    z = np.where(seen >= MIN_DOCUMENTS, (bad - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1e-9), 0.0)
+    strong = np.flatnonzero(z > MIN_Z)
+    chosen = np.sort(strong[np.lexsort((strong, -z[strong]))][:MAX_FEATURES])
+    place = np.full(2**FEATURE_BITS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    used = place[flat] >= 0
+    rows, cols = owner[used], place[flat[used]]
     fold = np.arange(n) % FOLDS
-    earlier = np.zeros((n, 0), np.float32)
+    dense = np.ones((n, 1))  # earlier links, then the intercept
     link_weights = np.zeros((len(CHAIN), len(chosen)))
     chain_weights = np.zeros((len(CHAIN), len(CHAIN)))
     for link, name in enumerate(CHAIN):
-        marks = CATEGORIES.get(name)
-        wanted = {f for m in marks for f in features_of(m)[:1]} if marks else None
-        y = np.array([bool(t) and (wanted is None or bool(wanted & s)) for t, s in zip(toxic, sets)], np.float64)
-        data = np.hstack([x, earlier])
-        w = fit_logistic(data, y)
-        held = np.zeros(n, np.float32)
+        y = toxic.astype(np.float64)
+        if name in CATEGORIES:
+            marked = np.isin(flat, [features_of(m)[0] for m in CATEGORIES[name]])
+            y = y * (np.bincount(owner[marked], minlength=n) > 0)
+        w = fit_logistic(rows, cols, len(chosen), dense, y, np.ones(n, bool))
+        held = np.zeros(n)
         for f in range(FOLDS):
             inside = fold == f
             if inside.any() and not inside.all():
-                held[inside] = _probability(data[inside], fit_logistic(data[~inside], y[~inside]))
+                part = fit_logistic(rows, cols, len(chosen), dense, y, ~inside)
+                held[inside] = _probability(margins(rows, cols, n, dense, part))[inside]
         link_weights[link] = w[: len(chosen)]
         chain_weights[link, :link] = w[len(chosen) : -1]
         chain_weights[link, -1] = w[-1]
-        earlier = np.hstack([earlier, held[:, None]])
-    return chosen, link_weights, chain_weights
+        dense = np.hstack([dense[:, :-1], held[:, None], dense[:, -1:]])
+    return chosen.tolist(), link_weights, chain_weights
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -119,7 +131,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         data = pd.concat([*batches, pd.DataFrame({"i": [], "t": [], "y": []})]).sort_values(["i", "t"])
         if len(data):
-            chosen, links, chain = fit_chain(data["t"].tolist(), data["y"].to_numpy(dtype=int) > 0)
+            chosen, links, chain = fit_chain(iter(data["t"]), data["y"].to_numpy(dtype=int) > 0)
             yield pd.DataFrame([(chosen, links.ravel().tolist(), chain.ravel().tolist())], columns=["features", "links", "chain"])
 
     fitted = rows.coalesce(1).mapInPandas(fit, "features array<int>, links array<double>, chain array<double>").collect()

@@ -121,10 +121,10 @@ def support_vector_classifier(columns: Sequence[str], label: str, n_rows: int, c
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Row weights ``n / (classes * n_class)``, as for balanced classes."""
-    counts = materialize(df.groupBy(label).agg(F.count("*").alias("_n")), "class-counts")
+    """Row weights ``n / (classes * n_class)``, as for balanced classes; rows without a label weigh 0."""
+    counts = materialize(df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n")), "class-counts")
     totals = counts.agg((F.sum("_n") / F.count("*")).alias("w")).scalar()
-    return df.join(counts, label).withColumn(name, totals / F.col("_n")).drop("_n")
+    return df.join(counts, label, "left").withColumn(name, F.coalesce(totals / F.col("_n"), F.lit(0.0))).drop("_n")
 
 
 def assembled(stage: Estimator, columns: Sequence[str], scale: bool = False) -> Pipeline:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.stat import ChiSquareTest
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from venuekit.operators.ranking import modes, quantiles_by_column, sorted_codes
+from venuekit.session import materialize
+
+GRID_BLOCKS = 64
 
 
 def _unpivot_aggregate(row: DataFrame, columns: Sequence[str], fields: Sequence[str], key: str = "column") -> DataFrame:
@@ -139,17 +142,17 @@ def crosstab_wide(df: DataFrame, a: str, b: str, values: Sequence[str]) -> DataF
 def expected_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     """Observed and expected counts on the complete grid of both label sets.
 
-    The grid is as large as the contingency table itself. The labels of ``b`` with
-    their totals ride along as one small array, so no pairwise join is planned.
+    The grid is the result. The labels of ``b`` lie in hash blocks; every label of ``a``
+    visits each block by an equi-join, so neither label set is gathered in one place.
     """
-    cells = crosstab(df, a, b)
+    cells = materialize(crosstab(df, a, b), "cells")
     rows = cells.groupBy(a).agg(F.sum("n").alias("row_total"))
     cols = cells.groupBy(b).agg(F.sum("n").alias("col_total"))
-    labels = cols.agg(F.collect_list(F.struct(b, "col_total"))).scalar()
     total = cells.agg(F.sum("n")).scalar()
-    grid = rows.withColumn("_labels", labels).withColumn("_c", F.explode("_labels"))
-    grid = grid.select(a, F.col(f"_c.{b}").alias(b), "row_total", F.col("_c.col_total").alias("col_total"))
-    expected = F.col("row_total") * F.col("col_total") / total
+    blocks = cols.withColumn("_block", F.pmod(F.xxhash64(b), F.lit(GRID_BLOCKS)))
+    visits = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRID_BLOCKS - 1).cast("long"))))
+    grid = visits.join(blocks, "_block").drop("_block")
+    expected = F.col("row_total").cast("double") * F.col("col_total") / total
     return grid.join(cells, [a, b], "left").select(
         a, b, F.coalesce("n", F.lit(0)).alias("observed"), expected.alias("expected")
     )
@@ -158,41 +161,67 @@ def expected_counts(df: DataFrame, a: str, b: str) -> DataFrame:
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """Independence statistic and degrees of freedom from the observed cells alone.
 
-    Uses ``sum((o-e)^2/e) = n * (sum(o^2 / (r*c)) - 1)``: empty cells add nothing, so
-    the grid is never built. With one degree of freedom the Yates correction applies
-    to the four cells of the table.
+    Uses ``sum((o-e)^2/e) = sum(o * (o-e) / e)``: empty cells add nothing, so the grid is
+    never built. With one degree of freedom the Yates correction applies to the four cells
+    of the table.
     """
-    cells = crosstab(df, a, b)
+    cells = materialize(crosstab(df, a, b), "cells")
     rows = cells.groupBy(a).agg(F.sum("n").alias("r"))
     cols = cells.groupBy(b).agg(F.sum("n").alias("c"))
-    sizes = rows.agg(F.count("*").alias("n_rows"), F.sum("r").alias("total"))
-    joined = cells.join(rows, a).join(cols, b)
+    total = cells.agg(F.sum("n").cast("double")).scalar()
+    joined = cells.join(rows, a).join(cols, b).withColumn("e", F.col("r").cast("double") * F.col("c") / total)
     ratio = joined.agg(
-        F.sum(F.col("n") * F.col("n") / (F.col("r").cast("double") * F.col("c"))).alias("ratio"),
+        F.greatest(F.sum(F.col("n") * (F.col("n") - F.col("e")) / F.col("e")), F.lit(0.0)).alias("raw"),
         # in a 2x2 table |o - e| is the same in every cell
-        F.max(F.abs(F.col("n") - F.col("r").cast("double") * F.col("c") / sizes.select("total").scalar())).alias("gap"),
+        F.max(F.abs(F.col("n") - F.col("e"))).alias("gap"),
     )
-    total = sizes.select("total").scalar().cast("double")
-    dof = (sizes.select("n_rows").scalar() - 1) * (cols.agg(F.count("*")).scalar() - 1)
-    raw = total * (F.col("ratio") - 1)
+    dof = (rows.agg(F.count("*")).scalar() - 1) * (cols.agg(F.count("*")).scalar() - 1)
+    raw = F.col("raw")
     gap = F.col("gap")
     shrink = F.pow((gap - F.least(F.lit(0.5), gap)) / gap, 2)
     corrected = F.when((dof == 1) & (gap > 0), raw * shrink).otherwise(raw)
     return ratio.select(corrected.alias("chi2"), dof.cast("long").alias("dof"))
 
 
+def chi_square_tail(x: float, dof: int) -> float:
+    """Probability that a chi-square variable exceeds ``x``: the regularised upper incomplete gamma function."""
+    a, x = dof / 2, x / 2
+    if dof < 1 or math.isnan(x):
+        return math.nan
+    if x <= 0:
+        return 1.0
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:  # power series of the lower part
+        term = total = 1 / a
+        n = a
+        while term > total * 1e-16:
+            n += 1
+            term *= x / n
+            total += term
+        return 1 - scale * total
+    # continued fraction of the upper part, by the modified Lentz method
+    b = x + 1 - a
+    c, d = 1e300, 1 / b
+    h = d
+    for i in range(1, 1_000_000):
+        step = -i * (i - a)
+        b += 2
+        d = 1 / (step * d + b or 1e-300)
+        c = b + step / c or 1e-300
+        h *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return scale * h
+
+
 def independence_test(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFrame:
-    """p-value and decision by the Spark ML test (no Yates correction)."""
-    pairs = df.dropna(subset=[a, b])
-    indexed = StringIndexer(inputCols=[a, b], outputCols=["_a", "_b"], stringOrderType="alphabetAsc").fit(pairs)
-    vectors = VectorAssembler(inputCols=["_a"], outputCol="_v").transform(indexed.transform(pairs))
-    result = ChiSquareTest.test(vectors, "_v", "_b", flatten=True)
-    return result.select(
-        F.col("statistic").alias("chi2"),
-        F.col("degreesOfFreedom").cast("long").alias("dof"),
-        F.col("pValue").alias("p_value"),
-        (F.col("pValue") < alpha).alias("dependent"),
-    )
+    """Statistic, degrees of freedom, p-value and decision; two by two tables are corrected as in ``chi_square``."""
+
+    def tail(chi2: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([chi_square_tail(x, k) for x, k in zip(chi2, dof)], dtype="float64")
+
+    p_value = F.pandas_udf(tail, "double")("chi2", "dof")  # one row
+    return chi_square(df, a, b).withColumn("p_value", p_value).withColumn("dependent", F.col("p_value") < alpha)
 
 
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:

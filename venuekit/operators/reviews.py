@@ -42,10 +42,15 @@ def within_budget(reviews: DataFrame, keys: Sequence[str], review_id: str, text:
 
 def budgeted_text(reviews: DataFrame, keys: Sequence[str], review_id: str, text: str,
                   budget: int = K.REVIEW_WORD_BUDGET, name: str = "clean_review") -> DataFrame:
-    """The reviews within the budget joined to one text per group, at most ``budget`` of them."""
+    """The reviews within the budget joined to one text per group, at most ``budget`` of them.
+
+    Every group with a complete key has a row; its text is empty if nothing fits.
+    """
     kept = within_budget(reviews, keys, review_id, text, budget)
     ordered = F.array_sort(F.collect_list(F.struct("rank", text)))
-    return kept.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x[text]), " ").alias(name))
+    joined = kept.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x[text]), " ").alias(name))
+    groups = reviews.dropna(subset=list(keys)).select(*keys).distinct()
+    return groups.join(joined, list(keys), "left").fillna("", [name])
 
 
 def venue_rollup(scored: DataFrame, keys: Sequence[str] = VENUE_KEY) -> DataFrame:

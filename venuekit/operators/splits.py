@@ -33,6 +33,7 @@ def group_split(df: DataFrame, test_size: float, group: str, flag: str = "is_tes
 def group_folds(df: DataFrame, group: str, k: int = 5, fold: str = "fold") -> DataFrame:
     """Fold per row, groups kept whole; groups in descending size are dealt back and forth.
 
+    Rows without a group belong to no fold: they get -1, so they are never held out.
     The global order (size, hash) is built from per-size and per-prefix offsets, so no
     window spans all groups.
     """
@@ -52,7 +53,7 @@ def group_folds(df: DataFrame, group: str, k: int = 5, fold: str = "fold") -> Da
     turn, place = F.floor(rank / k), rank % k
     dealt = F.when(turn % 2 == 0, place).otherwise(k - 1 - place)
     folds = ranked.select(group, dealt.cast("int").alias(fold))
-    return df.join(materialize(folds, "folds"), group)
+    return df.join(materialize(folds, "folds"), group, "left").fillna(-1, [fold])
 
 
 def row_folds(df: DataFrame, key: Sequence[str], k: int = 5, fold: str = "fold") -> DataFrame:

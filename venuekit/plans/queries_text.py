@@ -149,8 +149,9 @@ def budget_ctes(source: str, text: str) -> str:
  counted AS (SELECT *, len(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')) AS w FROM worded),
  running AS (SELECT *, sum(w) OVER (PARTITION BY name, location ORDER BY md5(CAST(review_id AS VARCHAR)), review_id ROWS UNBOUNDED PRECEDING) AS s
  FROM counted WHERE w > 0),
- texts AS (SELECT name, location, string_agg(t, ' ' ORDER BY md5(CAST(review_id AS VARCHAR)), review_id) AS clean_review FROM running
- WHERE s <= {K.REVIEW_WORD_BUDGET} GROUP BY name, location)"""
+ venues_seen AS (SELECT DISTINCT name, location FROM worded),
+ texts AS (SELECT name, location, coalesce(string_agg(t, ' ' ORDER BY md5(CAST(review_id AS VARCHAR)), review_id)
+ FILTER (WHERE s <= {K.REVIEW_WORD_BUDGET}), '') AS clean_review FROM venues_seen LEFT JOIN running USING (name, location) GROUP BY name, location)"""
 
 
 @query("a15_budgeted_text", f"WITH {_DOCS}, {budget_ctes('docs', 'text')} SELECT * FROM texts")
