@@ -11,6 +11,7 @@ from venuekit.llm.line_dedup import dedup_lines
 from venuekit.llm.lm_score import score_documents
 from venuekit.llm.mixing import mix
 from venuekit.llm.near_dedup import near_duplicates
+from venuekit.llm.prefix_trie import conversation_trie
 from venuekit.llm.quality_rules import score_quality
 from venuekit.llm.registry import ORACLES, QUERIES, query
 from venuekit.llm.secrets import secret_report
@@ -142,3 +143,30 @@ def op8(spark, sf_dir):
 def op10(spark, sf_dir):
     found = score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", "p_insult", "p_contempt", "p_disgust", "p_toxic", "toxic")
+
+
+# CRC-32 of an ASCII string, a bit at a time
+SQL_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len({c}) + 1), lambda i: ascii(substr({c}, CAST(i AS INTEGER), 1))::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)"""
+SQL_TURN = "substr(sha256(concat(strlen(role), ':', role, text)), 1, 32)"
+TRIE_SQL = f"""t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM convs WHERE conv_id IS NOT NULL),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {SQL_TURN}) - 1 AS p FROM t),
+ c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, {SQL_CRC32.format(c='CAST(conv_id AS VARCHAR)')} % 6 AS h FROM t),
+ r AS (SELECT c.conv_id, 0 AS part, p, role, text FROM c JOIN o ON o.conv_id = c.base WHERE p < h
+  UNION ALL SELECT c.conv_id, 1, p, role, text FROM c JOIN o ON o.conv_id = c.conv_id WHERE p >= h),
+ s AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY part, p) AS seq FROM r GROUP BY conv_id),
+ a AS (SELECT c.conv_id, coalesce(seq, []) AS seq FROM c LEFT JOIN s USING (conv_id)),
+ pre AS (SELECT conv_id, d, len(seq) AS n, seq[1:d] AS path FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM a) AS u),
+ v AS (SELECT path, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) = any_value(d) AS leaf,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM pre GROUP BY path),
+ w AS (SELECT *, CASE WHEN d > 0 THEN (n_convs - 1) * length(path[d].t) ELSE 0 END AS saved FROM v),
+ sub AS (SELECT path[1:k] AS path, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens, count(*) FILTER (d = k + 1) AS n_children
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM w) AS u GROUP BY path[1:k]),
+ trie AS (SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+  FROM v JOIN sub USING (path) LEFT JOIN v AS u ON v.d > 0 AND u.path = v.path[1:v.d - 1])"""
+TRIE_COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+@query("op11_prefix_trie", f"WITH convs AS (SELECT * FROM conversations), {TRIE_SQL} SELECT {', '.join(TRIE_COLUMNS)} FROM trie")
+def op11(spark, sf_dir):
+    return conversation_trie(read(spark, sf_dir, "conversations")).select(*TRIE_COLUMNS)
