@@ -55,6 +55,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Remove a path of the shared folder when the session's JVM ends."""
+    context = spark.sparkContext
+    stored = context._jvm.org.apache.hadoop.fs.Path(path)
+    stored.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(stored)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing to the shared folder and reading back.
 
@@ -63,10 +70,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    context = df.sparkSession.sparkContext
-    stored = context._jvm.org.apache.hadoop.fs.Path(path)
-    stored.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(stored)
-    return df.sparkSession.read.parquet(path)
+    delete_on_exit(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
