@@ -15,7 +15,9 @@ from venuekit.llm.prefix_trie import conversation_trie
 from venuekit.llm.quality_rules import score_quality
 from venuekit.llm.registry import ORACLES, QUERIES, query
 from venuekit.llm.secrets import secret_report
+from venuekit.llm.token_files import token_table
 from venuekit.llm.toxicity import score_toxicity
+from venuekit.session import scratch_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -170,3 +172,12 @@ TRIE_COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "
 @query("op11_prefix_trie", f"WITH convs AS (SELECT * FROM conversations), {TRIE_SQL} SELECT {', '.join(TRIE_COLUMNS)} FROM trie")
 def op11(spark, sf_dir):
     return conversation_trie(read(spark, sf_dir, "conversations")).select(*TRIE_COLUMNS)
+
+
+@query("op13_token_files")
+def op13(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = token_table(read(spark, sf_dir, "documents"), scratch_path(spark, "token-files"), path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
