@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from venuekit.llm.decontaminate import contamination_report
+from venuekit.llm.hard_negatives import clean_vectors, mine
 from venuekit.llm.html_extract import extract_pages
 from venuekit.llm.language_id import identify_languages
 from venuekit.llm.line_dedup import dedup_lines
@@ -174,6 +175,27 @@ def op11(spark, sf_dir):
     return conversation_trie(read(spark, sf_dir, "conversations")).select(*TRIE_COLUMNS)
 
 
+NEGATIVES_SQL = """e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM vecs WHERE vec_id IS NOT NULL AND label IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+ s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e AS a, e AS b WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+ p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+ n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank FROM p JOIN s USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score),
+ mined AS (SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10)"""
+
+
+@query("op12_hard_negatives", f"WITH vecs AS (SELECT * FROM embeddings), {NEGATIVES_SQL} SELECT * FROM mined")
+def op12(spark, sf_dir):
+    vectors = clean_vectors(read(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("v", lambda x: F.floor(256 * x).cast("double"))
+    return mine(vectors.withColumns({"label": moved, "v": whole}), F.col("id") % 100 == 0)
+
+
 @query("op13_token_files")
 def op13(spark, sf_dir):
     import public_tokenizers

@@ -13,17 +13,16 @@ import hashlib
 import os
 import struct
 import unicodedata
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from venuekit.llm.files import get, open_folder, put
 from venuekit.session import delete_on_exit, materialize
 
 MAGIC = b"VKTOKEN1"
@@ -147,29 +146,6 @@ def sample_dictionary(docs: DataFrame, path: str, text_col: str = "text", sample
 # --- files ----------------------------------------------------------------------------------
 
 
-def _open_fs(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """File system and path of a folder that all executors reach."""
-    if folder.startswith("file:"):
-        folder = "/" + folder.removeprefix("file:").lstrip("/")
-    return pyarrow.fs.FileSystem.from_uri(folder)
-
-
-def _put(folder: str, name: str, parts: Iterable[bytes]) -> None:
-    fs, root = _open_fs(folder)
-    fs.create_dir(root, recursive=True)
-    draft = f"{root}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(draft) as out:
-        for part in parts:
-            out.write(part)
-    fs.move(draft, f"{root}/{name}")
-
-
-def _get(folder: str, name: str) -> bytes:
-    fs, root = _open_fs(folder)
-    with fs.open_input_stream(f"{root}/{name}") as source:
-        return source.read()
-
-
 def pack_index(digest: bytes, width: int, docs: list[int | None], ends: list[int], counts: list[int]) -> bytes:
     """Index of a shard: header; ids with a byte each for null; frame offsets and running id counts; checksum."""
     body = b"".join([
@@ -222,8 +198,8 @@ def _shards(folder: str, digest: bytes, width: int) -> Callable[[Iterator[pd.Dat
 
         def close() -> pd.DataFrame:
             name = f"shard-{part:06d}-{piece:06d}"
-            _put(folder, f"{name}.bin", held)
-            _put(folder, f"{name}.idx", [pack_index(digest, width, docs, ends, counts)])
+            put(folder, f"{name}.bin", held)
+            put(folder, f"{name}.idx", [pack_index(digest, width, docs, ends, counts)])
             row = (part, piece, name, len(docs), counts[-1], ends[-1], docs[0], docs[-1])
             columns = [c.split()[0] for c in _MANIFEST.split(", ")]
             return pd.DataFrame([row], columns=columns).astype({"first_doc": "Int64", "last_doc": "Int64"})
@@ -254,7 +230,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, text_col: str = "
     spark = docs.sparkSession
     dictionary = sample_dictionary(docs, path, text_col)
     digest = hashlib.sha256(dictionary).digest()
-    _put(folder, "dictionary.zdict", [dictionary])
+    put(folder, "dictionary.zdict", [dictionary])
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.col("doc_id").isNull().alias("no_id"),
         F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -271,7 +247,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, text_col: str = "
 
 
 def _open_shard(folder: str, name: str, dictionary: bytes) -> ShardIndex:
-    index = ShardIndex(_get(folder, f"{name}.idx"))
+    index = ShardIndex(get(folder, f"{name}.idx"))
     if index.digest != hashlib.sha256(dictionary).digest():
         raise ValueError(f"{name} was written with another dictionary")
     return index
@@ -290,9 +266,9 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of all documents in a folder; ``ids`` as 32-bit little-endian integers."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dictionary = _get(folder, "dictionary.zdict")
+        dictionary = get(folder, "dictionary.zdict")
         decompressor = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
-        fs, root = _open_fs(folder)
+        fs, root = open_folder(folder)
         for frame in frames:
             for name, start in zip(frame["name"], frame["start"]):
                 index, out, held = _open_shard(folder, name, dictionary), [], 0
@@ -316,9 +292,9 @@ def read_documents(spark: SparkSession, folder: str, doc_ids: list[int]) -> Data
     wanted = sorted(set(doc_ids))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dictionary = _get(folder, "dictionary.zdict")
+        dictionary = get(folder, "dictionary.zdict")
         decompressor = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
-        fs, root = _open_fs(folder)
+        fs, root = open_folder(folder)
         for frame in frames:
             for name, start in zip(frame["name"], frame["start"]):
                 index, out = _open_shard(folder, name, dictionary), []
