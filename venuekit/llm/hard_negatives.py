@@ -53,7 +53,7 @@ class CoverTree:
         self.centre, self.radius, self.bags, self.kids = centre, radius, bags, kids
 
     @classmethod
-    def build(cls, points: np.ndarray, aux: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> CoverTree:
+    def build(cls, points: np.ndarray, aux: np.ndarray, ids: np.ndarray, labels: np.ndarray, leaf: int = LEAF) -> CoverTree:
         whole = np.column_stack([points, aux])
 
         def spans(centre: int, members: np.ndarray) -> np.ndarray:
@@ -66,7 +66,7 @@ class CoverTree:
             c, members, far = nodes[at]
             r = float(far.max()) if len(far) else 0.0
             bag, first = [], len(nodes)
-            if len(members) <= LEAF or r == 0.0:
+            if len(members) <= leaf or r == 0.0:
                 bag.append(members)
             else:
                 left, left_far, head = members, far, c
@@ -248,14 +248,14 @@ def _dealt(points: DataFrame) -> DataFrame:
     return points.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def build_trees(points: DataFrame, folder: str, dims: int) -> DataFrame:
+def build_trees(points: DataFrame, folder: str, dims: int, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
     """A cover tree of every block as ``tree-<name>``; returns the stored names."""
 
     def save(name: str, rows: pd.DataFrame) -> None:
-        tree = CoverTree.build(_matrix(rows["v"], dims), rows["aux"].to_numpy(), rows["id"].to_numpy(), rows["label"].to_numpy())
+        tree = CoverTree.build(_matrix(rows["v"], dims), rows["aux"].to_numpy(), rows["id"].to_numpy(), rows["label"].to_numpy(), leaf)
         put(folder, f"tree-{name}", [tree.pack()])
 
-    return materialize(_dealt(points).mapInPandas(lambda frames: _files(frames, BLOCK, save), _FILE), "trees")
+    return materialize(_dealt(points).mapInPandas(lambda frames: _files(frames, block, save), _FILE), "trees")
 
 
 def _query_blocks(queries: DataFrame, folder: str, dims: int, kind: str) -> DataFrame:
@@ -307,14 +307,15 @@ def _first(found: DataFrame, by: list[str], k: int) -> DataFrame:
 # --- mining ---------------------------------------------------------------------------------
 
 
-def mine(vectors: DataFrame, is_anchor: Column, n_positives: int = 5, n_negatives: int = 10, low: int = 30, high: int = 90) -> DataFrame:
+def mine(vectors: DataFrame, is_anchor: Column, n_positives: int = 5, n_negatives: int = 10, low: int = 30, high: int = 90,
+         block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
     """Positives of each anchor, and for each of them the highest scoring negatives within a window of its score.
 
     ``vectors`` holds ``id, label, v`` with whole-numbered components, as :func:`clean_vectors` and a rounding give
     them; ``is_anchor`` is an expression over ``id``. A positive is one of the ``n_positives`` rows of the anchor's
     label (another ``id``) of the highest inner product with it; a negative has another label and
     ``low * positive <= 100 * score <= high * positive``. Higher scores come first, ties by smaller ``id``; fewer are
-    returned where there are fewer. Repeated rows each count, as candidates and as anchors. Shorter vectors count as
+    returned where there are fewer. A tree holds ``block`` vectors at most and verifies ``leaf`` together. Repeated rows each count, as candidates and as anchors. Shorter vectors count as
     ending in zeros. An empty table gives no rows. Squared lengths of 2^53 or more are refused, because products would
     not be exact.
     """
@@ -322,7 +323,7 @@ def mine(vectors: DataFrame, is_anchor: Column, n_positives: int = 5, n_negative
     folder = scratch_path(spark, "cover-trees")
     delete_on_exit(spark, folder)
     points, dims = _augmented(vectors)
-    trees = build_trees(points, folder, dims)
+    trees = build_trees(points, folder, dims, block, leaf)
     anchors = materialize(points.filter(is_anchor).withColumn("key", F.monotonically_increasing_id()), "anchors")
     everything = anchors.withColumns({"low": F.array(F.lit(float("-inf"))), "high": F.array(F.lit(float("inf")))})
     blocks = _query_blocks(everything, folder, dims, "anchors")

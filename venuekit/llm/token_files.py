@@ -189,7 +189,7 @@ def _frames(path: str, dictionary: bytes, end_id: int) -> Callable[[Iterator[pd.
     return build
 
 
-def _shards(folder: str, digest: bytes, width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _shards(folder: str, digest: bytes, width: int, shard_bytes: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Sorted frames of a partition to shard files; yields the manifest's rows."""
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,7 +210,7 @@ def _shards(folder: str, digest: bytes, width: int) -> Callable[[Iterator[pd.Dat
                 docs.append(None if null else int(doc))
                 ends.append(ends[-1] + len(data))
                 counts.append(counts[-1] + int(n))
-                if ends[-1] >= SHARD_BYTES:
+                if ends[-1] >= shard_bytes:
                     yield close()
                     piece += 1
                     held, docs, ends, counts = [], [], [0], [0]
@@ -220,7 +220,8 @@ def _shards(folder: str, digest: bytes, width: int) -> Callable[[Iterator[pd.Dat
     return write
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str, text_col: str = "text", end_id: int = END_ID) -> None:
+def write_token_files(docs: DataFrame, folder: str, path: str, text_col: str = "text", end_id: int = END_ID,
+                      shard_bytes: int = SHARD_BYTES) -> None:
     """Write the ids of every whole text below ``folder`` in ascending order of ``doc_id``.
 
     Null texts are empty: their only id is ``end_id``. A null ``doc_id`` comes first, rows of one ``doc_id`` follow each
@@ -240,7 +241,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, text_col: str = "
     order = [F.col("no_id").desc(), F.col("doc"), F.col("h"), F.col("row")]
     dealt = stored.repartitionByRange(*order).sortWithinPartitions(*order)
     width = encoder(path).width
-    manifest = materialize(dealt.mapInPandas(_shards(folder, digest, width), _MANIFEST), "token-manifest")
+    manifest = materialize(dealt.mapInPandas(_shards(folder, digest, width, shard_bytes), _MANIFEST), "token-manifest")
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     placed = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     placed.write.mode("overwrite").parquet(f"{folder}/manifest")
@@ -313,8 +314,8 @@ def read_documents(spark: SparkSession, folder: str, doc_ids: list[int]) -> Data
     return shards.filter(holds).select("name", "start").repartition(spark.sparkContext.defaultParallelism).mapInPandas(read, _ROW)
 
 
-def token_table(docs: DataFrame, folder: str, path: str) -> DataFrame:
+def token_table(docs: DataFrame, folder: str, path: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the files of ``docs`` and read them back; the folder goes when the session ends."""
     delete_on_exit(docs.sparkSession, folder)
-    write_token_files(docs, folder, path)
+    write_token_files(docs, folder, path, shard_bytes=shard_bytes)
     return read_token_files(docs.sparkSession, folder)
