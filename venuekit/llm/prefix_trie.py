@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -89,9 +89,9 @@ def _hash_halves(value: Column) -> list[Column]:
     return [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("long") for i in range(2)]
 
 
-def _segments(turns: DataFrame, convs: DataFrame) -> DataFrame:
-    """Keys of at most ``SEGMENT`` turns; ``p1, p2`` identify what precedes a segment, ``q1, q2`` what it ends at."""
-    cut = turns.groupBy("conv_id", F.floor(F.col("pos") / SEGMENT).cast("long").alias("seg")).agg(
+def _segments(turns: DataFrame, convs: DataFrame, segment: int) -> DataFrame:
+    """Keys of at most ``segment`` turns; ``p1, p2`` identify what precedes a segment, ``q1, q2`` what it ends at."""
+    cut = turns.groupBy("conv_id", F.floor(F.col("pos") / segment).cast("long").alias("seg")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "turn_key", "n"))).alias("t")
     )
     keyed = cut.select(
@@ -174,7 +174,9 @@ def _linked(segments: DataFrame) -> DataFrame:
             alike = alike & F.col(c).eqNullSafe(F.col(f"_{side}_{c}"))
         return _shared(alike, F.col("key"), F.coalesce(F.col(f"_{side}_key"), F.lit(b"")))
 
+    # the other rows of a slice lie between its two edges: each edge is a slice of its own from here on
     edges = edges.withColumns({
+        "_slice": (-2 * F.col("_slice") - F.when(F.col("prev") == UNKNOWN, 1).otherwise(2)).cast("int"),
         "prev": F.when(F.col("prev") == UNKNOWN, reach("before")).otherwise(F.col("prev")),
         "next": F.when(F.col("next") == UNKNOWN, reach("after")).otherwise(F.col("next")),
     })
@@ -301,8 +303,8 @@ def _node_id(seg: int, p1: int, p2: int) -> bytes:
 class _Run:
     """One tree over neighbouring segments of one group, and the trie nodes it stands for."""
 
-    def __init__(self, seg: int, p1: int, p2: int):
-        self.seg, self.root_id = seg, _node_id(seg, p1, p2)
+    def __init__(self, seg: int, p1: int, p2: int, segment: int):
+        self.seg, self.root_id, self.segment = seg, _node_id(seg, p1, p2), segment
         self.tree, self.rows, self.bytes = RadixTree(), [], 0
 
     def add(self, row) -> None:
@@ -320,7 +322,7 @@ class _Run:
                 digest.update(row.key[WIDTH * (k - 1) : WIDTH * k])
             if k == 0:
                 found.append(self.root_id)
-            elif k == SEGMENT:
+            elif k == self.segment:
                 found.append(_node_id(self.seg + 1, row.q1, row.q2))
             else:
                 found.append(digest.copy().digest())
@@ -338,8 +340,7 @@ class _Run:
             figures = sums.pop(id(node), None) or [0, None, None, 0, 0, 0, 0, None]
             for i in node.rows:
                 row = self.rows[i]
-                whole = _Sums(1, row.conv_id, row.prev, row.later_total, row.later_own, row.later_leaf + row.leaf, row.later_child, i)
-                _merge(figures, whole)
+                _merge(figures, (1, row.conv_id, row.prev, row.later_total, row.later_own, row.later_leaf + row.leaf, row.later_child, i))
             cnt, conv, prev, total, own, leaves, fresh, some = figures
             depth = node.end // WIDTH
             top = above.end // WIDTH + 1 if above is not None else 0
@@ -359,17 +360,13 @@ class _Run:
                     ends = sorted(self.rows[i].conv_id for i in node.rows if not self.rows[i].continues) or None
                 a, b = struct.unpack(">qq", ids[k - top + 1])
                 pa, pb = struct.unpack(">qq", ids[k - top]) if k or self.seg else (None, None)
-                yield (self.seg * SEGMENT + k, a, b, pa, pb, row.key[WIDTH * (k - 1) : WIDTH * k].hex() if k else None,
+                yield (self.seg * self.segment + k, a, b, pa, pb, row.key[WIDTH * (k - 1) : WIDTH * k].hex() if k else None,
                        conv, cnt, fresh, leaves, total, own, ends)
                 fresh = int(mine)
             if above is not None:
                 _merge(sums.setdefault(id(above), [0, None, None, 0, 0, 0, 0, None]), (cnt, conv, prev, total, own, leaves, fresh, some))
 
 
-def _Sums(*values) -> tuple:
-    return values
-
-
 def _merge(into: list, values: tuple) -> None:
     for i in (0, 3, 4, 5, 6):
         into[i] += values[i]
@@ -378,42 +375,45 @@ def _merge(into: list, values: tuple) -> None:
     into[7] = values[7] if into[7] is None else into[7]
 
 
-def _partial_nodes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _partial_nodes(segment: int, block_bytes: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Trees over runs of neighbours, a new one at each group, slice and ``block_bytes``."""
     columns = [c.split()[0] for c in _NODE.split(", ")]
 
     def table(rows: list[tuple]) -> pd.DataFrame:
         # column by column: parent ids may be missing and must not pass through floats
         return pd.DataFrame({c: pd.array(v, dtype="Int64") if c in ("pa", "pb") else list(v) for c, v in zip(columns, zip(*rows))})
 
-    for frame in frames:
-        run, group, out = None, None, []
-        for row in frame.itertuples(index=False):
-            here = (row.slice_no, row.seg, row.p1, row.p2)
-            if here != group or run.bytes > BLOCK_BYTES:
-                if run is not None:
-                    out.extend(run.nodes())
-                run, group = _Run(row.seg, row.p1, row.p2), here
-            run.add(row)
-            if len(out) > 50_000:
-                yield table(out)
-                out = []
-        if run is not None:
-            for node in run.nodes():
+    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            run, group, out = None, None, []
+            for row in frame.itertuples(index=False):
+                here = (row.slice_no, row.seg, row.p1, row.p2)
+                if here != group or run.bytes > block_bytes:
+                    if run is not None:
+                        out.extend(run.nodes())
+                    run, group = _Run(row.seg, row.p1, row.p2, segment), here
+                run.add(row)
+                if len(out) > 50_000:
+                    yield table(out)
+                    out = []
+            for node in run.nodes() if run is not None else ():
                 out.append(node)
                 if len(out) > 50_000:
                     yield table(out)
                     out = []
-        if out:
-            yield table(out)
+            if out:
+                yield table(out)
+
+    return build
 
 
 # --- the trie -------------------------------------------------------------------------------
 
 
-def partial_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
+def partial_trie(turns: DataFrame, convs: DataFrame, segment: int = SEGMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Nodes of each tree, before those of different trees are added up; stored."""
-    ready = _with_later(_linked(_segments(turns, convs))).withColumnRenamed("_slice", "slice_no")
-    return materialize(ready.mapInPandas(_partial_nodes, _NODE), "partial-nodes")
+    ready = _with_later(_linked(_segments(turns, convs, segment))).withColumnRenamed("_slice", "slice_no")
+    return materialize(ready.mapInPandas(_partial_nodes(segment, block_bytes), _NODE), "partial-nodes")
 
 
 def trie_nodes(partial: DataFrame) -> DataFrame:
@@ -457,7 +457,7 @@ def end_digests(ends: DataFrame) -> DataFrame:
     return dealt.mapInPandas(_end_digests, "a long, b long, ends_sha256 string")
 
 
-def conversation_trie(conversations: DataFrame) -> DataFrame:
+def conversation_trie(conversations: DataFrame, segment: int = SEGMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The trie of all conversations, each opened by turns of the first of its hundred.
 
     Conversation ``c`` begins with the first ``crc32(c) % 6`` turns of ``c - c % 100`` and goes on with its own later
@@ -467,7 +467,7 @@ def conversation_trie(conversations: DataFrame) -> DataFrame:
     """
     h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
     turns, convs = share_openings(ordered_turns(conversations), F.col("conv_id") - F.col("conv_id") % 100, h, 5)
-    partial = partial_trie(turns, convs)
+    partial = partial_trie(turns, convs, segment, block_bytes)
     nodes = trie_nodes(partial).join(end_digests(trie_ends(partial)), ["a", "b"], "left")
     none = hashlib.sha256(b"").hexdigest()
     return nodes.withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(none)))
