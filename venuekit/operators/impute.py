@@ -38,10 +38,11 @@ def fill_group_mode(df: DataFrame, column: str, by: str, sentinel: str = "Unknow
     return attach_group_statistic(df, table, [by]).withColumn(column, filled).select(*df.columns)
 
 
-def fill_cascade(df: DataFrame, column: str, second: Column, digits: int = 1) -> DataFrame:
-    """Value, else a derived value, else the mean of both, rounded half to even."""
-    stepped = df.withColumn(column, F.coalesce(F.col(column), second))
-    return fill_mean(stepped, column).withColumn(column, round_even(column, digits))
+def fill_cascade(df: DataFrame, column: str, second: Column, digits: int = 1, fit_on: DataFrame | None = None) -> DataFrame:
+    """Value, else a derived value, else the mean of both (of ``fit_on`` when given), rounded half to even."""
+    step = lambda rows: rows.withColumn(column, F.coalesce(F.col(column), second))
+    source = None if fit_on is None else step(fit_on)
+    return fill_mean(step(df), column, source).withColumn(column, round_even(column, digits))
 
 
 def fill_constants(df: DataFrame, values: Mapping[str, object]) -> DataFrame:

@@ -80,14 +80,18 @@ class ArrayToVector(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadabl
         return dataset.withColumn(self.getOutputCol(), array_to_vector(self.getInputCol()))
 
 
+def fourier_waves(n_columns: int, gamma: float, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and phases of the random features, the same for every fit."""
+    rng = np.random.default_rng(SEED)
+    return rng.normal(0.0, np.sqrt(2.0 * gamma), size=(dims, n_columns)), rng.uniform(0.0, 2.0 * np.pi, size=dims)
+
+
 def rbf_features(columns: Sequence[str], gamma: float, dims: int = 100, out: str = "rbf") -> list:
     """Random Fourier features (Rahimi & Recht 2007) whose dot product approximates an RBF kernel.
 
     One SQL expression over a constant table of waves, so the stage is saved with its pipeline.
     """
-    rng = np.random.default_rng(SEED)
-    weights = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(dims, len(columns)))
-    shifts = rng.uniform(0.0, 2.0 * np.pi, size=dims)
+    weights, shifts = fourier_waves(len(columns), gamma, dims)
     number = lambda v: f"{float(v):.17g}D"
     waves = ", ".join(
         f"named_struct('w', array({', '.join(map(number, w))}), 'b', {number(b)})" for w, b in zip(weights, shifts)
@@ -101,15 +105,6 @@ def rbf_features(columns: Sequence[str], gamma: float, dims: int = 100, out: str
     ]
 
 
-def support_vector_regressor(columns: Sequence[str], label: str, n_rows: int, c: float = 10.0,
-                             gamma: float | None = None, epsilon: float = 1.35, dims: int = 100) -> Pipeline:
-    """Approximate RBF support-vector regression: random features and a robust linear loss."""
-    gamma = 1.0 / len(columns) if gamma is None else gamma
-    linear = LinearRegression(labelCol=label, featuresCol="rbf", loss="huber", epsilon=epsilon,
-                              regParam=1.0 / (c * n_rows), maxIter=100)
-    return Pipeline(stages=[*rbf_features(columns, gamma, dims), linear])
-
-
 def support_vector_classifier(columns: Sequence[str], label: str, n_rows: int, c: float = 10.0,
                               gamma: float | None = None, dims: int = 100, weight: str | None = None) -> Pipeline:
     """Approximate RBF support-vector classification: random features and a hinge loss."""

@@ -7,23 +7,37 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from venuekit.functions import lists as L, scalars as S
 from venuekit.functions.constants import RATING_CLASSES, RATING_TIERS
-from venuekit.operators import explain as X, features as E, metrics as M, models as B, scoring as P, splits as T
+from venuekit.operators import boosting as G, explain as X, features as E, kernel_shap as K, metrics as M, models as B
+from venuekit.operators import scoring as P, splits as T, trees as R
 from venuekit.operators.impute import fill_cascade, fill_median
+from venuekit.operators.support_vectors import EpsilonInsensitiveRegression
 from venuekit.plans.experiment import compare_variants
 from venuekit.plans.registry import clean, query
 from venuekit.session import materialize, scratch_path
 
 FEATURES = ["online_order", "book_table", "location_code", "votes", "cost"]
+FOLDS = 5
+
+
+def split_first(rows: DataFrame) -> DataFrame:
+    """Coded and imputed rows with a test flag; everything that is learned is learned on the train rows.
+
+    Train rows without a rating get an imputed one. Test rows without one are left out: they could only be compared with
+    the imputation itself. Locations that no train row has are coded -1.
+    """
+    flagged = materialize(T.random_split(rows, 0.2, ["row_id"]), "split")
+    train = flagged.filter("NOT is_test")
+    rated = flagged.filter("NOT is_test OR rate IS NOT NULL")
+    filled = fill_cascade(rated, "rate", L.review_rating_mean("reviews_text"), fit_on=train).drop("reviews_text")
+    costed = fill_median(filled, "cost", train)
+    return E.encode_labels(costed, E.label_codes(train, "location"), "location")
 
 
 def training_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Imputed rating, coded location, both targets, a test flag and folds; written once for the many fits."""
+    """The split rows with both targets and folds; written once for the many fits."""
     rows = clean(spark, sf).select("row_id", "location", "online_order", "book_table", "votes", "cost", "rate", "reviews_text")
-    filled = fill_cascade(rows, "rate", L.review_rating_mean("reviews_text")).drop("reviews_text")
-    costed = fill_median(filled, "cost")
-    coded = E.encode_labels(costed, E.label_codes(costed, "location"), "location")
-    flagged = T.random_split(coded, 0.2, ["row_id"]).withColumn("high", S.high_rating("rate"))
-    return materialize(T.row_folds(flagged, ["row_id"], 3), "training")
+    targets = split_first(rows).withColumn("high", S.high_rating("rate"))
+    return materialize(T.row_folds(targets, ["row_id"], FOLDS), "training")
 
 
 def _split(data: DataFrame):
@@ -62,9 +76,14 @@ def m03(spark, sf):
     return _regression(spark, sf, _one_hot(lambda t: B.lasso("rate", alpha=0.01)))
 
 
+def _boosted(train, label, loss, **params):
+    return G.fit_boosted_trees(train, FEATURES, label, ["row_id"], loss=loss, **params)
+
+
 @query("m04_boosted_trees")
 def m04(spark, sf):
-    return _regression(spark, sf, lambda t: B.assembled(B.boosted_trees_regressor("rate", maxIter=10), FEATURES).fit(t))
+    """A hundred rounds of histogram boosting, each tree on eight rows of ten."""
+    return _regression(spark, sf, lambda t: _boosted(t, "rate", "squared", row_share=0.8))
 
 
 def _classes(spark, sf, make):
@@ -75,7 +94,7 @@ def _classes(spark, sf, make):
 
 @query("m04_boosted_trees_classifier")
 def m04_classes(spark, sf):
-    return _classes(spark, sf, lambda t: B.assembled(B.boosted_trees_classifier("high", maxIter=10), FEATURES).fit(t))
+    return _classes(spark, sf, lambda t: _boosted(t, "high", "logistic", column_share=0.8))
 
 
 @query("m05_logistic_regression")
@@ -107,8 +126,7 @@ def _scaled(train: DataFrame, data: DataFrame) -> DataFrame:
 def m08(spark, sf):
     train, _ = _split(data := training_table(spark, sf))
     rows = _scaled(train, data)
-    fit_rows = rows.filter("NOT is_test")
-    model = B.support_vector_regressor(FEATURES, "rate", fit_rows.count()).fit(fit_rows)
+    model = EpsilonInsensitiveRegression(FEATURES, "rate").fit(rows.filter("NOT is_test"))
     return M.regression_metrics(model.transform(rows), "rate", "prediction", ["is_test"])
 
 
@@ -127,7 +145,7 @@ def m10(spark, sf):
     train, _ = _split(training_table(spark, sf))
     tree = B.decision_tree_regressor("rate")
     grid = ParamGridBuilder().addGrid(tree.maxDepth, [3, 5, 7]).addGrid(tree.minInstancesPerNode, [1, 5]).build()
-    fitted = B.grid_search(B.assembled(tree, FEATURES), grid, train, B.evaluator("r2", "rate"), "fold", 3)
+    fitted = B.grid_search(B.assembled(tree, FEATURES), grid, train, B.evaluator("r2", "rate"), "fold", FOLDS)
     return B.grid_table(spark, fitted)
 
 
@@ -136,7 +154,7 @@ def m10_macro(spark, sf):
     train, _ = _split(training_table(spark, sf))
     tree = B.decision_tree_classifier("high")
     grid = ParamGridBuilder().addGrid(tree.maxDepth, [3, 5]).build()
-    fitted = B.grid_search(B.assembled(tree, FEATURES), grid, train, B.evaluator("f1_macro", "high", [0, 1]), "fold", 3)
+    fitted = B.grid_search(B.assembled(tree, FEATURES), grid, train, B.evaluator("f1_macro", "high", [0, 1]), "fold", FOLDS)
     return B.grid_table(spark, fitted)
 
 
@@ -144,7 +162,7 @@ def m10_macro(spark, sf):
 def m11(spark, sf):
     train, _ = _split(training_table(spark, sf))
     model = B.assembled(B.decision_tree_regressor("rate"), FEATURES)
-    return B.cross_validated_score(model, train, B.evaluator("r2", "rate"), "fold", 3)
+    return B.cross_validated_score(model, train, B.evaluator("r2", "rate"), "fold", FOLDS)
 
 
 @query("m17_score_unrated")
@@ -154,7 +172,7 @@ def m17(spark, sf):
     rated = rows.filter(F.col("rate").isNotNull())
     codes = E.label_codes(rated, "location")
     ready = materialize(E.encode_labels(rows, codes, "location").select("row_id", "rate", *FEATURES), "scoring")
-    model = B.assembled(B.random_forest_regressor("rate", numTrees=20), FEATURES).fit(ready.filter("rate IS NOT NULL"))
+    model = B.assembled(B.random_forest_regressor("rate", numTrees=100), FEATURES).fit(ready.filter("rate IS NOT NULL"))
     scored = P.score(model, ready.filter("rate IS NULL"), "row_id")
     return P.prediction_summary(scored.withColumn("prediction", P.bounded_rating()))
 
@@ -173,7 +191,7 @@ def m18(spark, sf):
 @query("m19_feature_importances")
 def m19(spark, sf):
     train, _ = _split(training_table(spark, sf))
-    model = B.assembled(B.random_forest_regressor("rate", numTrees=20), FEATURES).fit(train)
+    model = B.assembled(B.random_forest_regressor("rate", numTrees=100), FEATURES).fit(train)
     return X.feature_importances(train, model, FEATURES)
 
 
@@ -184,11 +202,49 @@ def m20(spark, sf):
     return X.permutation_importance(model, test, FEATURES, ["row_id"], B.evaluator("r2", "rate"))
 
 
+@query("m20_tree_attributions")
+def m20_trees(spark, sf):
+    """Attributions of a tree for every test row; they add up to ``prediction - base``."""
+    train, test = _split(training_table(spark, sf))
+    model = B.assembled(B.decision_tree_regressor("rate", maxDepth=7, minInstancesPerNode=5), FEATURES).fit(train)
+    trees = R.fitted_trees(train, model)
+    found = R.tree_attributions(test, "row_id", trees, FEATURES)
+    scored = P.score(model, test, "row_id").withColumn("base", F.lit(R.base_value(trees)))
+    return found.join(scored, "row_id")
+
+
+@query("m20_forest_attributions")
+def m20_forest(spark, sf):
+    """Mean absolute attribution per feature of a forest, over all test rows."""
+    train, test = _split(training_table(spark, sf))
+    model = B.assembled(B.random_forest_regressor("rate", numTrees=100), FEATURES).fit(train)
+    return R.mean_attributions(R.tree_attributions(test, "row_id", R.fitted_trees(train, model), FEATURES))
+
+
+@query("m20_boosted_attributions")
+def m20_boosted(spark, sf):
+    """Mean absolute attribution per feature of the boosted margin of a high rating, over all test rows."""
+    train, test = _split(training_table(spark, sf))
+    trees = _boosted(train, "high", "logistic", rounds=30).weighted_trees()
+    return R.mean_attributions(R.tree_attributions(test, "row_id", trees, FEATURES))
+
+
+@query("m20_kernel_attributions")
+def m20_kernel(spark, sf):
+    """Attributions of the support-vector model for every test row, from all 32 coalitions and a stated background."""
+    train, _ = _split(data := training_table(spark, sf))
+    rows = materialize(_scaled(train, data), "scaled")
+    fit_rows = rows.filter("NOT is_test")
+    model = EpsilonInsensitiveRegression(FEATURES, "rate").fit(fit_rows)
+    return K.kernel_attributions(rows.filter("is_test"), "row_id", FEATURES, model.transform, fit_rows)
+
+
 @query("m21_learning_curve")
 def m21(spark, sf):
     train, _ = _split(training_table(spark, sf))
     model = B.assembled(B.decision_tree_regressor("rate"), FEATURES)
-    curve = X.learning_curve(model, train, ["row_id"], B.evaluator("r2", "rate"), "fold", 2, [0.25, 0.5, 1.0])
+    fractions = [i / 10 for i in range(1, 11)]
+    curve = X.learning_curve(model, train, ["row_id"], B.evaluator("r2", "rate"), "fold", FOLDS, fractions)
     return X.curve_means(curve)
 
 
