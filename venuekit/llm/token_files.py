@@ -34,6 +34,7 @@ SHARD_BYTES = 32 << 20  # a shard is closed when its frames reach this
 FRAME_LEVEL = 3
 CACHED_WORDS, CACHED_CHARS = 1_000_000, 64
 _PUNCTUATION = ".,;:!?"
+_LATIN_END, _WIDE_CAPITAL = "\u0250", "\u0130"  # the one Latin capital whose lower case is two characters
 _MANIFEST = "part long, piece long, name string, n_docs long, n_ids long, n_bytes long, first_doc long, last_doc long"
 _ROW = "doc_id long, start long, n_tokens long, ids binary"
 
@@ -52,55 +53,73 @@ class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space, each distinct word tokenized once.
 
     White space separates words for such a tokenizer, so a text's ids are those of its pieces between spaces and line
-    breaks. Closing punctuation after a letter or digit starts a word of its own too, and plain letters have one case.
-    The cache saves time only: it is emptied when full and does not hold long pieces.
+    breaks. Closing punctuation after a letter or digit starts a word of its own too. Words of Latin letters go to the
+    tokenizer's model directly, in the form that its normalizer and byte alphabet give them, if single letters show that
+    this is the same. The cache saves time only: it is emptied when full and does not hold long pieces.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {"": b""}
+        alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [c for c in map(chr, range(ord(_LATIN_END))) if c.isalpha() and c != _WIDE_CAPITAL]
+        self.form = {c: alphabet.pre_tokenize_str(c.lower())[0][0] for c in letters}
+        probes = [c + more for c in letters for more in ("", "a", "É")]
+        whole = [e.ids for e in self.tokenizer.encode_batch_fast(probes, add_special_tokens=False)]
+        self.latin = [self._model_ids(p) for p in probes] == whole
+
+    def _model_ids(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize("".join([self.form[c] for c in word]))]
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=f"<u{self.width}").tobytes()
+
+    def _tokenize(self, pieces: list[str]) -> dict[str, bytes]:
+        latin = [p for p in pieces if self.latin and p.isalpha() and max(p) < _LATIN_END and _WIDE_CAPITAL not in p]
+        found = {p: self._bytes(self._model_ids(p)) for p in latin}
+        rest = [p for p in pieces if p not in found]
+        for p, encoding in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            found[p] = self._bytes(encoding.ids)
+        return found
 
-    def _tokenize(self, pieces: list[str]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            yield np.array(found.ids, dtype=f"<u{self.width}").tobytes()
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+    def _learn(self, pieces: set[str]) -> None:
         known, parts = self.known, {}
         for piece in pieces:
             core = piece.rstrip(_PUNCTUATION)
-            if core and len(core) < len(piece) and _ends_word(core[-1]):
-                parts[piece] = (core, piece[len(core) :])
-            else:
-                core, parts[piece] = piece, (piece,)
-            if core.isascii() and core.isalpha() and not core.islower():
-                parts[piece] = (core.lower(), *parts[piece][1:])
-        new = list({p for some in parts.values() for p in some if p not in known})
-        fresh = dict(zip(new, self._tokenize(new)))
-        found = {piece: b"".join([known[p] if p in known else fresh[p] for p in some]) for piece, some in parts.items()}
-        if len(known) > CACHED_WORDS:
-            known.clear()
-            known[""] = b""
-        for some in (fresh, found):
-            known.update((p, ids) for p, ids in some.items() if len(p) <= CACHED_CHARS)
-        return found
+            cut = core if core and len(core) < len(piece) and _ends_word(core[-1]) else piece
+            form = cut.lower() if self.latin and cut.isalpha() and max(cut) < _LATIN_END and _WIDE_CAPITAL not in cut else cut
+            parts[piece] = (form, piece[len(cut) :])
+        known.update(self._tokenize(list({p for some in parts.values() for p in some if p not in known})))
+        known.update({piece: known[form] + known[rest] for piece, (form, rest) in parts.items()})
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        pieces = [text.replace("\n", " ").split(" ") for text in texts]
+        new = set().union(*pieces).difference(self.known)
+        self._learn(new)
+        out = [b"".join(list(map(self.known.__getitem__, some))) for some in pieces]
+        for piece in new:
+            if len(piece) > CACHED_CHARS:
+                for p in (piece, piece.rstrip(_PUNCTUATION), piece.rstrip(_PUNCTUATION).lower()):
+                    self.known.pop(p, None)
+        if len(self.known) > CACHED_WORDS:
+            self.known = {"": b""}
+        return out
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian ids of each text, ``width`` bytes an id."""
+        held, size = [], 0
         for text in texts:
-            pieces = text.replace("\n", " ").split(" ")
-            try:
-                yield b"".join([self.known[p] for p in pieces])
-            except KeyError:
-                found = self._learn({p for p in pieces if p not in self.known})
-                known = self.known
-                yield b"".join([found[p] if p in found else known[p] if p in known else self._one(p) for p in pieces])
-
-    def _one(self, piece: str) -> bytes:
-        return next(self._tokenize([piece]))
+            held.append(text)
+            size += len(text)
+            if size > 1 << 20:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
 
 
 @functools.lru_cache(maxsize=4)
