@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from venuekit.operators.ranking import row_hash
@@ -113,24 +113,23 @@ def _binned(frame: pd.DataFrame) -> np.ndarray:
     return np.stack([np.frombuffer(b, np.uint8) for b in frame["bins"]])
 
 
-def best_splits(histogram: DataFrame, l2: float, min_rows: int) -> DataFrame:
-    """Per node the split of the highest gain, ties to the lower feature and bin; NULL gain where none is allowed."""
-    order = Window.partitionBy("node", "feature").orderBy("bin")
-    left = histogram.select(
-        "*", *[F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(f"left_{c}") for c in ("g", "h", "n")],
-        F.lead("bin").over(order).isNull().alias("last"),
-    )
-    rest_g, rest_h, rest_n = (F.col(f"total_{c}") - F.col(f"left_{c}") for c in ("g", "h", "n"))
-    gain = (
-        F.col("left_g") ** 2 / (F.col("left_h") + l2) + rest_g**2 / (rest_h + l2) - F.col("total_g") ** 2 / (F.col("total_h") + l2)
-    )
-    allowed = ~F.col("last") & (F.col("left_n") >= min_rows) & (rest_n >= min_rows) & (F.col("left_h") + l2 > 0) & (rest_h + l2 > 0)
-    # equal up to rounding counts as equal
-    scored = left.withColumn("gain", F.when(allowed, F.round(gain, 9)))
-    best = F.max_by(
-        F.struct("gain", "feature", "bin", "left_g", "left_h", "left_n"), F.struct("gain", -F.col("feature"), -F.col("bin"))
-    )
-    return scored.groupBy("node").agg(best.alias("s"), *[F.first(f"total_{c}").alias(c) for c in ("g", "h", "n")]).select("node", "s.*", "g", "h", "n")
+def best_splits(partial: DataFrame, l2: float, min_rows: int) -> DataFrame:
+    """Per node and column the split of the highest gain, ties to the lower bin; NULL gain where none is allowed.
+
+    One exchange by (node, column) serves the sums, the running sums and the choice. Statements are plain SQL text: they
+    are planned once for each level of each tree.
+    """
+    sums = partial.repartition("node", "feature").groupBy("node", "feature", "bin").agg({"g": "sum", "h": "sum", "n": "sum"})
+    upto = "OVER (PARTITION BY node, feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    whole = "OVER (PARTITION BY node, feature)"
+    both = [f"sum(`sum({c})`) {over} AS {side}{c}" for c in "ghn" for side, over in (("left_", upto), ("", whole))]
+    left = sums.selectExpr("node", "feature", "bin", *both, "lead(bin) OVER (PARTITION BY node, feature ORDER BY bin) IS NULL AS last")
+    allowed = f"NOT last AND left_n >= {min_rows} AND n - left_n >= {min_rows} AND left_h + {l2} > 0 AND h - left_h + {l2} > 0"
+    # gains that are equal up to rounding count as equal
+    gain = f"round(left_g * left_g / (left_h + {l2}) + (g - left_g) * (g - left_g) / (h - left_h + {l2}) - g * g / (h + {l2}), 9)"
+    scored = left.selectExpr("*", f"CASE WHEN {allowed} THEN {gain} END AS gain")
+    best = F.expr("max_by(struct(gain, bin, left_g, left_h, left_n, g, h, n), struct(gain, -bin)) AS s")
+    return scored.groupBy("node", "feature").agg(best).selectExpr("node", "feature", "s.*")
 
 
 def fit_boosted_trees(df: DataFrame, columns: Sequence[str], label: str, key: Sequence[str], rounds: int = 100, learning_rate: float = 0.1,
@@ -139,8 +138,8 @@ def fit_boosted_trees(df: DataFrame, columns: Sequence[str], label: str, key: Se
     """Boosted trees for the squared or the logistic loss (labels 0 and 1).
 
     Values are binned once. For each level of a tree a task sums gradient and curvature per node, column and bin of its
-    rows; the sums are added up by (node, column, bin), and a window over the bins finds the best split of each node.
-    The rows never move, and the driver sees one split per open node. Levels grow while the tree has fewer than
+    rows; the sums are added up by (node, column, bin), and a window over the bins finds the best split of each node and
+    column. The rows never move, and the driver sees one split per open node and column. Levels grow while the tree has fewer than
     ``num_leaves``, the highest gains first. Rows without a label take no part; a missing value lies above all others.
     """
     columns = list(columns)
@@ -210,10 +209,12 @@ def fit_boosted_trees(df: DataFrame, columns: Sequence[str], label: str, key: Se
         grower, open_nodes, leaves = _Grower(chosen), [0], 1
         for depth in range(max_depth):
             partial = rows.mapInPandas(pass_over(grower, open_nodes, tree), _HISTOGRAM)
-            histogram = partial.repartition("node", "feature").groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
-            whole = Window.partitionBy("node", "feature")
-            histogram = histogram.select("*", *[F.sum(c).over(whole).alias(f"total_{c}") for c in ("g", "h", "n")])
-            found = best_splits(histogram, l2, min_rows).collect()  # a row per open node
+            found = {}
+            for s in best_splits(partial, l2, min_rows).collect():  # a row per open node and column
+                rank = (s["gain"] if s["gain"] is not None else -1.0, -s["feature"])
+                if s["node"] not in found or rank > found[s["node"]][0]:
+                    found[s["node"]] = (rank, s)
+            found = [s for _, s in found.values()]
             if depth == 0:
                 if not found:
                     break

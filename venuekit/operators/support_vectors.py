@@ -6,16 +6,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCols, HasPredictionCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
-from venuekit.operators.models import fourier_waves, rbf_features
+from venuekit.operators.models import fourier_waves
 from venuekit.session import materialize
 
-SMOOTHING = (1.0, 0.3, 0.1, 0.03, 0.01, 0.003, 0.001)  # widths of the loss's bend, as shares of the label's deviation
-STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
-NEWTON_STEPS = 6  # at each width
+SMOOTHING = (1.0, 0.2, 0.04, 0.008, 0.001)  # widths of the loss's bend, as shares of the label's deviation
+STEPS = (0.5, 0.25, 0.1, 0.03, 0.01)  # tried where a whole step is too long
+NEWTON_STEPS = 10  # at each width
 TOLERANCE = 1e-5
 
 
@@ -26,12 +30,43 @@ def bent_loss(excess: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray,
     return loss, np.where(bend, excess / width, (excess > width).astype(float)), np.where(bend, 1 / width, 0.0)
 
 
+def fourier_features(x: np.ndarray, waves: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """Random Fourier features and a column of ones."""
+    return np.column_stack([np.sqrt(2.0 / len(shifts)) * np.cos(x @ waves.T + shifts), np.ones(len(x))])
+
+
+class FourierRegressionModel(Model, HasInputCols, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Linear model over random Fourier features, scored in batches; a row with a missing value has no prediction."""
+
+    gamma = Param(Params._dummy(), "gamma", "kernel coefficient", TypeConverters.toFloat)
+    weights = Param(Params._dummy(), "weights", "weight of each feature, the intercept last", TypeConverters.toListFloat)
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, predictionCol="prediction", gamma=None, weights=None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        names, weights = self.getInputCols(), np.array(self.getOrDefault(self.weights))
+        waves, shifts = fourier_waves(len(names), self.getOrDefault(self.gamma), len(weights) - 1)
+
+        @F.pandas_udf(DoubleType())
+        def predict(points: pd.Series) -> pd.Series:
+            return pd.Series(fourier_features(np.stack(points.to_numpy()), waves, shifts) @ weights if len(points) else np.zeros(0))
+
+        known = F.lit(True)
+        for c in names:
+            known = known & F.col(c).isNotNull()
+        point = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names])
+        return dataset.withColumn(self.getPredictionCol(), F.when(known, predict(point)))
+
+
 class EpsilonInsensitiveRegression(Estimator):
     """Minimises ``|w|^2 / 2 + C * sum(max(0, |y - w z(x) - b| - epsilon))`` over random Fourier features ``z``.
 
     Newton's method on a loss whose bend gets narrower; the last width changes the objective by at most
     ``C * width / 2`` per row. A pass over the rows sums loss, gradient and curvature per task, so what is shuffled and
-    returned is of the size ``dims^2``. The fitted pipeline is two SQL stages and can be saved.
+    returned is of the size ``dims^2``. The fitted pipeline can be saved.
     """
 
     def __init__(self, columns: Sequence[str], label: str, c: float = 10.0, gamma: float | None = None, epsilon: float = 0.1,
@@ -52,23 +87,22 @@ class EpsilonInsensitiveRegression(Estimator):
             usable = usable & F.col(c).isNotNull()
         return materialize(df.filter(usable).select(point.alias("x"), F.col(self.label).cast("double").alias("y")), "svr-rows")
 
-    def _sums(self, rows: DataFrame, model: np.ndarray, width: float, step: np.ndarray | None) -> np.ndarray:
-        """Summed losses at several steps along ``step``, or loss, gradient and curvature at ``model``."""
+    def _sums(self, rows: DataFrame, models: list[np.ndarray], width: float) -> np.ndarray:
+        """Loss, gradient and curvature at one model, or only the losses of several."""
         waves, shifts = fourier_waves(len(self.columns), self.gamma, self.dims)
-        epsilon, dims = self.epsilon, self.dims
+        epsilon = self.epsilon
 
         def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = None
             for frame in frames:
                 if frame.empty:
                     continue
-                z = np.sqrt(2.0 / dims) * np.cos(np.stack(frame["x"].to_numpy()) @ waves.T + shifts)
-                z = np.column_stack([z, np.ones(len(z))])
+                z = fourier_features(np.stack(frame["x"].to_numpy()), waves, shifts)
                 y = frame["y"].to_numpy()
-                if step is not None:
-                    part = np.array([bent_loss(np.abs(y - z @ (model + t * step)) - epsilon, width)[0].sum() for t in STEPS])
+                if len(models) > 1:
+                    part = np.array([bent_loss(np.abs(y - z @ m) - epsilon, width)[0].sum() for m in models])
                 else:
-                    residual = y - z @ model
+                    residual = y - z @ models[0]
                     loss, slope, curve = bent_loss(np.abs(residual) - epsilon, width)
                     gradient = -(z * (slope * np.sign(residual))[:, None]).sum(0)
                     part = np.concatenate([[loss.sum()], gradient, ((z * curve[:, None]).T @ z).ravel()])
@@ -85,29 +119,35 @@ class EpsilonInsensitiveRegression(Estimator):
         spread = rows.agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("std")).first()
         if not spread["n"]:
             raise ValueError("no rows to fit")
-        model = np.zeros(self.dims + 1)
+        size = self.dims + 1
+        model = np.zeros(size)
         model[-1] = spread["mean"]
-        ridge = np.ones(self.dims + 1)
-        ridge[-1] = 0.0  # the intercept is free
+        ridge = np.append(np.ones(self.dims), 0.0)  # the intercept is free
+
+        def objective(m: np.ndarray, loss: float) -> float:
+            return float((ridge * m) @ m / 2 + self.c * loss)
+
         for share in SMOOTHING:
             width = share * max(spread["std"], 1e-9)
+            sums = self._sums(rows, [model], width)
+            now = objective(model, sums[0])
             for _ in range(NEWTON_STEPS):
-                sums = self._sums(rows, model, width, None)
-                loss, gradient = sums[0], ridge * model + self.c * sums[1 : self.dims + 2]
-                curve = np.diag(ridge) + self.c * sums[self.dims + 2 :].reshape(self.dims + 1, self.dims + 1)
+                curve = np.diag(ridge) + self.c * sums[size + 1 :].reshape(size, size)
                 curve[-1, -1] += 1e-6 * self.c * spread["n"] / width
-                step = -np.linalg.solve(curve, gradient)
-                now = (ridge * model) @ model / 2 + self.c * loss
-                losses = self._sums(rows, model, width, step)
-                values = [(ridge * m) @ m / 2 + self.c * part for t, part in zip(STEPS, losses) for m in [model + t * step]]
-                best = int(np.argmin(values))
-                if values[best] >= now:
-                    break
-                model = model + STEPS[best] * step
-                if now - values[best] < TOLERANCE * abs(now):
+                step = -np.linalg.solve(curve, ridge * model + self.c * sums[1 : size + 1])
+                trial = model + step
+                after = self._sums(rows, [trial], width)
+                if objective(trial, after[0]) >= now:  # too long: the best of shorter steps
+                    trials = [model + t * step for t in STEPS]
+                    values = [objective(m, loss) for m, loss in zip(trials, self._sums(rows, trials, width))]
+                    if min(values) >= now:
+                        break
+                    trial = trials[int(np.argmin(values))]
+                    after = self._sums(rows, [trial], width)
+                before, model, sums = now, trial, after
+                now = objective(model, sums[0])
+                if before - now < TOLERANCE * abs(before):
                     break
-        self.objective = float((ridge * model) @ model / 2 + self.c * self._sums(rows, model, 1e-12, None)[0])
-        weights = ", ".join(f"{float(v):.17g}D" for v in model[:-1])
-        inner = f"aggregate(zip_with(rbf_waves, array({weights}), (z, w) -> z * w), {float(model[-1]):.17g}D, (s, v) -> s + v)"
-        predict = SQLTransformer(statement=f"SELECT *, {inner} AS `{self.prediction}` FROM __THIS__")
-        return Pipeline(stages=[*rbf_features(self.columns, self.gamma, self.dims), predict]).fit(dataset)
+        self.objective = objective(model, self._sums(rows, [model], 1e-12)[0])
+        fitted = FourierRegressionModel(inputCols=self.columns, predictionCol=self.prediction, gamma=self.gamma, weights=[float(v) for v in model])
+        return PipelineModel([fitted])

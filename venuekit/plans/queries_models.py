@@ -77,7 +77,7 @@ def m03(spark, sf):
 
 
 def _boosted(train, label, loss, **params):
-    return G.fit_boosted_trees(train, FEATURES, label, ["row_id"], loss=loss, **params)
+    return G.fit_boosted_trees(train, FEATURES, label, ["row_id"], loss=loss, max_depth=3, **params)
 
 
 @query("m04_boosted_trees")
