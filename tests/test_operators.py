@@ -28,16 +28,30 @@ def numbers(spark):
 QS = [0.0, 0.01, 0.25, 0.5, 0.751, 0.99, 1.0]
 
 
-@pytest.mark.parametrize("small", [10, 10_000])
-def test_quantiles_are_exact_with_and_without_brackets(numbers, monkeypatch, small):
+@pytest.mark.parametrize("buckets", [2, 4_096])
+def test_quantiles_are_exact(numbers, monkeypatch, buckets):
     rows, df = numbers
-    monkeypatch.setattr(ranking, "SMALL_COLUMN", small)
-    monkeypatch.setattr(ranking, "SKETCH_ACCURACY", 200)
-    monkeypatch.setattr(ranking, "SKETCH_MARGIN", 0.02)
+    monkeypatch.setattr(ranking, "BUCKETS", buckets)
     got = list(ranking.exact_quantiles(df, "v", QS).first())
     assert got == pytest.approx(np.quantile([r[1] for r in rows], QS), abs=1e-12)
 
 
+def test_quantiles_of_odd_values(spark):
+    tiny = [5e-324, 1e-300, -1e-300, 0.0, -0.0, 1.7e308, -1.7e308, 3.0, 3.0, 3.0000000000000004]
+    rows = [(v, None, float("inf") if i < 2 else 1.0) for i, v in enumerate(tiny)] + [(float("nan"), None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {r["column"]: list(r)[1:] for r in ranking.quantiles_by_column(df, ["a", "b", "c"], [0.0, 0.5, 1.0]).collect()}
+    middle = sorted(tiny)[4:6]
+    assert got == {"a": [-1.7e308, sum(middle) / 2, 1.7e308], "c": [1.0, 1.0, float("inf")]}
+    assert ranking.exact_median(df, "b").first()[0] is None
+
+
+def test_modes_of_typed_columns_in_one_pass(spark):
+    df = spark.createDataFrame([(10, "b", None), (9, "a", None), (9, "b", None), (10, "a", None), (None, None, None)], "n int, s string, e int")
+    row = ranking.modes_by_column(df, ["n", "s", "e"]).first()
+    assert tuple(row) == (9, "a", None)
+
+
 def test_median_of_even_count(spark):
     df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, 10.0, None)], "x double")
     assert ranking.exact_median(df, "x").first()[0] == 2.5
@@ -297,8 +311,30 @@ def test_unseen_categories(spark):
     rows = spark.createDataFrame([("a",), ("z",), (None,)], "c string")
     got = {r["c"]: r["c_code"] for r in features.encode_labels(rows, codes, "c").collect()}
     assert got == {"a": 0, "z": -1, "nan": 2}
-    with pytest.raises(ValueError):
-        features.distinct_values(train, "c", 1)
+
+
+def test_lists_of_more_labels_than_a_driver_should_hold(spark):
+    n = 320_000
+    rows = spark.range(n).select("id", F.array(F.format_string("label %07d", n - 1 - F.col("id")), F.lit("hot"), F.lit(None)).alias("tags"))
+    rows = rows.unionByName(spark.createDataFrame([(n, None), (n + 1, []), (n + 2, ["never seen"])], "id long, tags array<string>"))
+    model = features.MultiLabelEncoder("tags", "v", "id").fit(rows.filter(F.col("id") < n))
+    size, codes, ones = features.sparse_cells("v")
+    found = model.transform(rows).select("id", size.alias("size"), codes.alias("codes"), ones.alias("ones"))
+    wrong = found.filter((F.col("id") < n) & (F.col("codes") != F.array(F.lit(0), (n - F.col("id")).cast("int"))))
+    assert wrong.count() == 0 and found.filter("id < 320000 AND ones != array(1.0D, 1.0D)").count() == 0
+    odd = found.filter(F.col("id") >= n).collect()
+    assert len(odd) == 3 and all((r["size"], r["codes"]) == (n + 1, []) for r in odd)
+
+
+def test_encoder_survives_saving(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    rows = spark.createDataFrame([(1, 2.0, "x", ["b", "a"]), (2, 0.0, None, ["c"]), (3, 1.0, "y", None)], "id long, n double, c string, tags array<string>")
+    model = features.preprocessing(["n"], ["c"], ["tags"], key="id").fit(rows)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m"))
+    both = [{r["id"]: r["features"].toArray().tolist() for r in m.transform(rows).collect()} for m in (model, again)]
+    assert both[0] == both[1] == {1: [2, 1, 0, 1, 1, 0], 2: [0, 0, 0, 0, 0, 1], 3: [1, 0, 1, 0, 0, 0]}
 
 
 def test_scaling_a_constant_column(spark):

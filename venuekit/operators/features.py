@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import CountVectorizer, OneHotEncoder, StringIndexer, VectorAssembler
+import numpy as np
+import pandas as pd
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from venuekit.functions import scalars as S
 from venuekit.operators.ranking import sorted_codes
 from venuekit.operators.relational import lookup_code
-from venuekit.session import materialize
+from venuekit.session import materialize, scratch_path
 
 MISSING_LABEL = "nan"
-MAX_LABELS = 5_000
 
 
 def label_codes(df: DataFrame, column: str, code: str | None = None) -> DataFrame:
@@ -43,28 +49,63 @@ def one_hot_long(df: DataFrame, train: DataFrame, key: str, columns: Sequence[st
     return rows.join(materialize(known, "categories"), ["column", "value"]).select(key, "column", "value")
 
 
-def distinct_values(df: DataFrame, column: str, limit: int = MAX_LABELS) -> list[str]:
-    """Sorted distinct values as strings, as needed for a column layout; refuses more than ``limit``."""
-    found = df.select(F.col(column).cast("string").alias("v")).distinct().dropna().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} values; use a sparse vector stage instead")
-    return sorted(row["v"] for row in found)
+def label_lists(df: DataFrame, key: str, column: str, codes: DataFrame) -> DataFrame:
+    """``key, codes``: sorted codes of the known elements of an array column; rows without any are left out.
 
+    Elements meet the code table by a join, so neither the table nor a row has a limit; a row gathers its own list only.
+    """
+    elements = df.select(key, F.explode(F.array_distinct(F.col(column).cast("array<string>"))).alias("label"))
+    return elements.join(codes, "label").groupBy(key).agg(F.array_sort(F.collect_list("code")).alias("codes"))
+
+
+def label_table(df: DataFrame, column: str, path: str) -> DataFrame:
+    """Code table of the distinct elements of an array column in byte order, written to ``path``."""
+    labels = df.select(F.explode(F.col(column).cast("array<string>")).alias("label")).filter(F.col("label").isNotNull()).distinct()
+    sorted_codes(labels, "label").write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+class MultiLabelModel(Model, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Lists to sparse 0/1 vectors by a stored code table; unknown elements are ignored, a missing list is all zero."""
+
+    keyCol = Param(Params._dummy(), "keyCol", "unique column of a row", TypeConverters.toString)
+    path = Param(Params._dummy(), "path", "folder of the code table", TypeConverters.toString)
+    size = Param(Params._dummy(), "size", "number of labels", TypeConverters.toInt)
 
-def distinct_labels(df: DataFrame, column: str, limit: int = MAX_LABELS) -> list[str]:
-    """Sorted distinct elements of an array column, under the same limit."""
-    return distinct_values(df.select(F.explode(column).alias("v")), "v", limit)
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None, keyCol=None, path=None, size=None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        size, key = self.getOrDefault(self.size), self.getOrDefault(self.keyCol)
+        codes = dataset.sparkSession.read.parquet(self.getOrDefault(self.path))
+        lists = label_lists(dataset, key, self.getInputCol(), codes).withColumnRenamed("codes", "_codes")
 
-def binarize_labels(df: DataFrame, column: str, labels: Sequence[str], prefix: str = "label_") -> DataFrame:
-    """A 0/1 column per label of an array column."""
-    flags = [F.array_contains(column, v).cast("int").alias(prefix + v) for v in labels]
-    return df.select("*", *flags)
+        @F.pandas_udf(VectorUDT())
+        def sparse(found: pd.Series) -> pd.DataFrame:
+            ones = [np.ones(len(f)) for f in found]
+            return pd.DataFrame({"type": np.zeros(len(found), np.int8), "size": np.full(len(found), size, np.int32), "indices": found, "values": ones})
 
+        none = F.array().cast("array<int>")
+        joined = dataset.join(lists, key, "left").withColumn(self.getOutputCol(), sparse(F.coalesce("_codes", none)))
+        return joined.drop("_codes")
 
-def multi_label_stage(column: str, out: str) -> CountVectorizer:
-    """The same indicators as one sparse vector inside a pipeline."""
-    return CountVectorizer(inputCol=column, outputCol=out, binary=True, minDF=1.0)
+
+class MultiLabelEncoder(Estimator, HasInputCol, HasOutputCol):
+    """Learns the sorted labels of an array column; the table is stored below the shared folder, however long it is."""
+
+    def __init__(self, column: str, out: str, key: str, path: str | None = None):
+        super().__init__()
+        self.column, self.out, self.key, self.path = column, out, key, path
+
+    def copy(self, extra=None) -> MultiLabelEncoder:
+        return MultiLabelEncoder(self.column, self.out, self.key, self.path)
+
+    def _fit(self, dataset: DataFrame) -> MultiLabelModel:
+        path = self.path or scratch_path(dataset.sparkSession, "labels")
+        size = label_table(dataset, self.column, path).count()
+        return MultiLabelModel(inputCol=self.column, outputCol=self.out, keyCol=self.key, path=path, size=size)
 
 
 def scale_statistics(train: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -85,8 +126,8 @@ def standardize(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> Data
 
 
 def preprocessing(numeric: Sequence[str], categorical: Sequence[str], multi_label: Sequence[str] = (),
-                  out: str = "features") -> Pipeline:
-    """Numeric columns as they are, categories one-hot (unseen and missing all zero), lists multi-hot."""
+                  out: str = "features", key: str | None = None) -> Pipeline:
+    """Numeric columns as they are, categories one-hot (unseen and missing all zero), lists multi-hot by ``key``."""
     indexed, hot = [f"{c}_ix" for c in categorical], [f"{c}_oh" for c in categorical]
     stages = []
     if categorical:
@@ -95,11 +136,23 @@ def preprocessing(numeric: Sequence[str], categorical: Sequence[str], multi_labe
                           stringOrderType="alphabetAsc"),
             OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
         ]
-    stages += [multi_label_stage(c, f"{c}_mh") for c in multi_label]
+    if multi_label and key is None:
+        raise ValueError("lists need the key of a row")
+    stages += [MultiLabelEncoder(c, f"{c}_mh", key) for c in multi_label]
     inputs = [*numeric, *hot, *[f"{c}_mh" for c in multi_label]]
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol=out)])
 
 
+def sparse_cells(vector: str) -> tuple[Column, Column, Column]:
+    """Size, indices and values of the cells of a vector column that are not zero."""
+    raw = F.unwrap_udt(vector)
+    dense = F.transform(raw["values"], lambda v, i: F.struct(i.alias("i"), v.alias("v")))
+    listed = F.zip_with(raw["indices"], raw["values"], lambda i, v: F.struct(i.alias("i"), v.alias("v")))
+    cells = F.filter(F.when(raw["type"] == 0, listed).otherwise(dense), lambda x: x["v"] != 0)
+    size = F.when(raw["type"] == 0, raw["size"]).otherwise(F.size(raw["values"]))
+    return size, F.transform(cells, lambda x: x["i"]), F.transform(cells, lambda x: x["v"])
+
+
 def scoring_rows(df: DataFrame, layout: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
     """Typed feature rows in a fixed order: ``flag`` columns coded 0/1, others cast; missing numbers are 0."""
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from venuekit.functions.scalars import round_even
-from venuekit.operators.ranking import exact_median, modes
+from venuekit.operators.ranking import exact_median, modes, modes_by_column, quantiles_by_column
 from venuekit.operators.relational import attach_group_statistic
 from venuekit.session import materialize
 
@@ -50,9 +50,11 @@ def fill_constants(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 
 
 def impute_fitted(df: DataFrame, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """Medians and modes learned on the train rows, applied to all rows."""
-    for column in numeric:
-        df = fill_median(df, column, train)
-    for column in categorical:
-        df = fill_mode(df, column, train)
-    return df
+    """Medians and modes learned on the train rows, applied to all rows; all columns share the passes."""
+    medians = {r["column"]: r["q0"] for r in quantiles_by_column(train, numeric, [0.5]).collect()} if numeric else {}
+    fills = {c: F.coalesce(F.col(c), F.lit(medians.get(c))) for c in numeric}
+    if categorical:
+        table = modes_by_column(train, categorical)
+        df = df.withColumn("_modes", table.select(F.struct(*categorical)).scalar())
+        fills |= {c: F.coalesce(F.col(c), F.col(f"_modes.{c}")) for c in categorical}
+    return df.withColumns(fills).drop("_modes")

@@ -51,16 +51,22 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
 
 def _local_top(qids: np.ndarray, queries: np.ndarray, block: pd.DataFrame, k: int, metric: str,
                payload: Sequence[str], skip_self: bool) -> pd.DataFrame:
+    """The best of a block for every query, by slices of queries: a task holds ``_CHUNK_CELLS`` scores at a time."""
     block = block.sort_values("_id", kind="stable")
     ids = block["_id"].to_numpy()
-    scores = _scores(queries, np.stack(block["_vec"].to_numpy()).astype(float), metric)
-    picked = _best(scores, k + 1 if skip_self else k)  # one spare for the query itself
-    rows = np.repeat(np.arange(len(qids)), picked.shape[1])
-    cols = picked.reshape(-1)
-    out = pd.DataFrame({"_qid": qids[rows], "_id": ids[cols], "_score": scores[rows, cols]})
-    for c in payload:
-        out[c] = block[c].to_numpy()[cols]
-    return out[out["_qid"] != out["_id"]] if skip_self else out
+    vectors = np.stack(block["_vec"].to_numpy()).astype(float)
+    step = max(1, _CHUNK_CELLS // len(block))
+    found = []
+    for start in range(0, len(qids), step):
+        some = slice(start, start + step)
+        scores = _scores(queries[some], vectors, metric)
+        picked = _best(scores, k + 1 if skip_self else k)  # one spare for the query itself
+        rows, cols = np.repeat(np.arange(len(picked)), picked.shape[1]), picked.reshape(-1)
+        part = pd.DataFrame({"_qid": qids[some][rows], "_id": ids[cols], "_score": scores[rows, cols]})
+        for c in payload:
+            part[c] = block[c].to_numpy()[cols]
+        found.append(part[part["_qid"] != part["_id"]] if skip_self else part)
+    return pd.concat(found, ignore_index=True)
 
 
 def nearest(queries: DataFrame, index: DataFrame, query_id: str, query_vec: str, index_id: str, index_vec: str,

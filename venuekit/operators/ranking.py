@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -9,9 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from venuekit.session import materialize
 
 HASH_DIGITS = 4
-SKETCH_ACCURACY = 100_000
-SKETCH_MARGIN = 2.0 / SKETCH_ACCURACY
-SMALL_COLUMN = 200_000
+BUCKETS = 4_096  # parts of a histogram
+MAX_PASSES = 256
 
 
 def row_hash(*cols: Column | str) -> Column:
@@ -122,60 +123,69 @@ def sorted_codes(values: DataFrame, column: str, code: str = "code", by: Sequenc
 
 
 def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float]) -> DataFrame:
-    """Exact interpolated quantiles as one row of columns ``q0, q1, ...``.
-
-    A mergeable sketch brackets each quantile with a guaranteed rank error; then one
-    more pass counts the values inside the brackets exactly, and only those few are
-    ordered. Columns below ``SMALL_COLUMN`` rows are ordered whole.
-    """
+    """Exact interpolated quantiles as one row of columns ``q0, q1, ...``; no row if there is no value."""
     return quantiles_by_column(df, [column], qs).drop("column")
 
 
 def quantiles_by_column(df: DataFrame, columns: Sequence[str], qs: Sequence[float]) -> DataFrame:
-    """As :func:`exact_quantiles`, one row per column name, both passes shared by all columns."""
-    stacked = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
-        ).alias("_s")
-    ).select("_s.column", "_s.v").filter(F.col("v").isNotNull())
-    probes = sorted({min(1.0, max(0.0, q + d)) for q in qs for d in (-SKETCH_MARGIN, SKETCH_MARGIN)})
-    sketch = stacked.groupBy("column").agg(
-        F.count("*").alias("n"), F.percentile_approx("v", probes, SKETCH_ACCURACY).alias("_p")
-    )
-
-    def wanted(v: Column) -> Column:
-        inside = F.col("n") <= SMALL_COLUMN
-        for q in qs:
-            low = probes.index(min(1.0, max(0.0, q - SKETCH_MARGIN)))
-            high = probes.index(min(1.0, max(0.0, q + SKETCH_MARGIN)))
-            inside = inside | v.between(F.col("_p")[low], F.col("_p")[high])
-        return inside
-
-    # Values outside every bracket are counted under the next bracket edge below them, so
-    # the running count stays exact while the rows to be ordered stay few.
-    floor_edge = F.array_max(F.filter(F.col("_p"), lambda p: p <= F.col("v")))
-    slot = F.when(wanted(F.col("v")), F.col("v")).otherwise(floor_edge)
-    outside = F.when(wanted(F.col("v")), 0).otherwise(1)
-    counts = (
-        stacked.join(F.broadcast(sketch), "column")
-        .select("column", "n", slot.alias("slot"), outside.alias("outside"))
-        .groupBy("column", "n", "slot", "outside")
-        .agg(F.count("*").alias("cnt"))
-    )
-    order = Window.partitionBy("column").orderBy(F.col("slot").asc_nulls_first(), "outside")
-    upto = counts.withColumn("upto", F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """As :func:`exact_quantiles`, one row per column name with a value; missing and NaN values do not count.
 
-    def at(position: Column) -> Column:
-        hit = (F.col("upto") - F.col("cnt") <= position) & (position < F.col("upto")) & (F.col("outside") == 0)
-        return F.max(F.when(hit, F.col("slot")))
-
-    out = []
-    for i, q in enumerate(qs):
-        position = (F.col("n") - 1) * F.lit(float(q))
-        low, high = at(F.floor(position)), at(F.ceil(position))
-        weight = F.max(position - F.floor(position))
-        out.append((low + (high - low) * weight).alias(f"q{i}"))
-    return upto.groupBy("column").agg(*out)
+    Histograms are narrowed until they meet a value: a pass counts the values between the bounds of each searched
+    position in ``BUCKETS`` parts, and the least and the greatest value of the part that holds the position are the next
+    bounds. Every pass splits what is left, two to four passes find values of any distribution one meets. Nothing is
+    ordered, and the driver sees histograms only.
+    """
+    spark, number = df.sparkSession, {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    values = materialize(df.select(*[v.alias(f"v{i}") for i, v in enumerate(number.values())]), "quantile-values")
+    names = list(number)
+    stats = values.agg(*[f(f"v{i}").alias(f"{k}{i}") for i in range(len(names)) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    found: dict[tuple[int, int], float] = {}
+    searched: dict[tuple, set[int]] = {}  # (column, least value, greatest value, number of values below) -> positions
+    spots = {}
+    for i in range(len(names)):
+        if stats[f"n{i}"]:
+            exact = [(stats[f"n{i}"] - 1) * float(q) for q in qs]
+            spots[i] = [(math.floor(p), math.ceil(p), p - math.floor(p)) for p in exact]
+            searched[(i, stats[f"lo{i}"], stats[f"hi{i}"], 0)] = {p for low, high, _ in spots[i] for p in (low, high)}
+    for _ in range(MAX_PASSES):
+        for (i, lo, hi, _below), positions in list(searched.items()):
+            if lo == hi:
+                found.update({(i, p): lo for p in positions})
+        searched = {k: v for k, v in searched.items() if k[1] != k[2]}
+        if not searched:
+            break
+        searched = _narrowed(values, searched)
+    else:
+        raise ValueError("quantiles did not settle")
+    rows = []
+    for i, places in spots.items():
+        ends = [(found[i, low], found[i, high], weight) for low, high, weight in places]
+        rows.append((names[i], *[low + (high - low) * weight if low < high else low for low, high, weight in ends]))
+    return spark.createDataFrame(rows, "column string" + "".join(f", q{j} double" for j in range(len(qs))))
+
+
+def _narrowed(values: DataFrame, searched: dict[tuple, set[int]]) -> dict[tuple, set[int]]:
+    """One pass: the bounds and counts of the parts that hold the searched positions."""
+    largest, keys, cells = sys.float_info.max, list(searched), []
+    clip = lambda v: F.greatest(F.least(v, F.lit(largest)), F.lit(-largest))
+    for k, (i, lo, hi, _below) in enumerate(keys):
+        v, low, high = F.col(f"v{i}"), max(lo, -largest), min(hi, largest)
+        # scaled by a power of two, so that a range is neither infinite nor empty; rounding keeps the order of parts
+        scale = 0.5 if max(abs(low), abs(high)) > 1 else 2.0**64
+        part = F.floor((clip(v) * scale - low * scale) / (high * scale - low * scale) * BUCKETS)
+        inside = v.between(F.lit(lo), F.lit(hi))
+        cells.append(F.when(inside, F.struct(F.lit(k).alias("k"), F.least(part, F.lit(BUCKETS)).alias("part"), v.alias("v"))))
+    counted = values.select(F.explode(F.array(*cells)).alias("c")).filter("c IS NOT NULL").groupBy("c.k", "c.part")
+    rows = counted.agg(F.count("*").alias("n"), F.min("c.v").alias("lo"), F.max("c.v").alias("hi")).collect()
+    upto = [key[3] for key in keys]
+    narrower: dict[tuple, set[int]] = {}
+    for row in sorted(rows, key=lambda r: (r["k"], r["part"])):
+        k, below = row["k"], upto[row["k"]]
+        held = {p for p in searched[keys[k]] if below <= p < below + row["n"]}
+        if held:
+            narrower.setdefault((keys[k][0], row["lo"], row["hi"], below), set()).update(held)
+        upto[k] += row["n"]
+    return narrower
 
 
 def exact_median(df: DataFrame, column: str) -> DataFrame:
@@ -192,3 +202,18 @@ def modes(df: DataFrame, column: str, by: Sequence[str] = (), name: str = "mode"
     counts = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
     best = F.min(F.struct((-F.col("_n")).alias("neg"), F.col(column).alias("value")))["value"]
     return counts.groupBy(*by).agg(best.alias(name))
+
+
+def modes_by_column(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with the mode of every column under its name, counted in one pass; ties and missing as in :func:`modes`."""
+    typed = [
+        F.struct(F.lit(i).alias("i"), *[(F.col(c) if i == j else F.lit(None).cast(df.schema[c].dataType)).alias(f"v{j}") for j, c in enumerate(columns)])
+        for i in range(len(columns))
+    ]
+    cells = df.select(F.explode(F.array(*typed)).alias("s")).select("s.*")
+    counts = cells.groupBy("i", *[f"v{j}" for j in range(len(columns))]).agg(F.count("*").alias("n"))
+    best = [
+        F.min_by(f"v{j}", F.when((F.col("i") == j) & F.col(f"v{j}").isNotNull(), F.struct(-F.col("n"), F.col(f"v{j}")))).alias(c)
+        for j, c in enumerate(columns)
+    ]
+    return counts.agg(*best)

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from venuekit.functions import scalars as S
-from venuekit.operators.features import binarize_labels, distinct_labels, distinct_values, standardize
+from venuekit.operators.features import label_lists, label_table, standardize
 from venuekit.operators.impute import impute_fitted
 from venuekit.operators.metrics import classification_metrics, comparison
 from venuekit.operators.neighbors import nearest, vote
 from venuekit.operators.relational import complete_case, downsample_stratum
 from venuekit.operators.splits import group_folds, group_split
-from venuekit.session import materialize
+from venuekit.session import materialize, scratch_path
 
 # Neighbour counts and vote weights of the search grid.
 NEIGHBOR_GRID = [3, 5, 7, 9, 11, 15]
@@ -21,77 +21,96 @@ WEIGHT_GRID = ["uniform", "distance"]
 FOLDS = 5
 NUMERIC = ["votes", "cost"]
 CATEGORICAL = ["online_order", "book_table", "category", "listing"]
+LISTS = ["tags", "kinds"]
+TARGETS = ["rate_class", "rate_tier"]
 
 
 def population(clean: DataFrame) -> DataFrame:
-    """Rated rows with a tag list, zero-vote rows thinned to a tenth, with both targets and a test flag."""
+    """Rated rows with a tag list, zero-vote rows thinned to a tenth, with both targets and a test flag.
+
+    The second list of a row, ``kinds``, holds the family of its listing and its category.
+    """
     rows = clean.filter(F.size("tags") > 0)
     thinned = downsample_stratum(rows, F.col("votes") == 0, 0.10, ["row_id"]).filter(F.col("rate").isNotNull())
-    targets = thinned.withColumns({"rate_class": S.rate_class("rate"), "rate_tier": S.rating_tier("rate")})
-    return group_split(targets, 0.2, "name").withColumn("is_complete", complete_case(NUMERIC + CATEGORICAL))
-
-
-def feature_vectors(df: DataFrame, train: DataFrame, labels: Sequence[str], categories: dict[str, list[str]]) -> DataFrame:
-    """Scaled numbers, one-hot categories and multi-hot tags as one dense array."""
-    scaled = standardize(df, train, NUMERIC)
-    hot = binarize_labels(scaled, "tags", labels)
-    flags = [F.coalesce((F.col(c).cast("string") == v).cast("double"), F.lit(0.0)) for c, vs in categories.items() for v in vs]
-    parts = [*[F.coalesce(F.col(c), F.lit(0.0)).cast("double") for c in NUMERIC], *flags,
-             *[F.col(f"label_{v}").cast("double") for v in labels]]
-    return hot.withColumn("features", F.array(*parts))
-
-
-def tune(train: DataFrame, label: str, labels: Sequence) -> DataFrame:
-    """Macro-F1 of every (k, weights) over the group folds.
+    kinds = F.array_compact(F.array(F.substring("listing", 1, 7), F.lower("category")))
+    targets = thinned.withColumns({"rate_class": S.rate_class("rate"), "rate_tier": S.rating_tier("rate"), "kinds": kinds})
+    split = group_split(targets, 0.2, "name").withColumn("is_complete", complete_case(NUMERIC + CATEGORICAL))
+    return split.select("row_id", "name", *NUMERIC, *CATEGORICAL, *LISTS, *TARGETS, "is_test", "is_complete")
+
+
+def _labels() -> Column:
+    """All indicators of a row as one list: ``column=value`` of categories and of list elements."""
+    single = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in CATEGORICAL]
+    lists = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v: F.concat(F.lit(f"{c}="), v)) for c in LISTS]  # noqa: B023
+    return F.concat(F.array_compact(F.array(*single)), *[F.array_compact(x) for x in lists])
+
+
+def fitted_features(rows: DataFrame, fit_on: Column, imputed: bool) -> DataFrame:
+    """``features`` of all rows: scaled numbers and 0/1 indicators. Fills, scaling and indicators are learned only on the
+    rows where ``fit_on`` holds; values those rows do not have give no indicator."""
+    filled = impute_fitted(rows, rows.filter(fit_on), NUMERIC, CATEGORICAL) if imputed else rows
+    filled = materialize(filled.withColumn("_labels", _labels()), "filled")
+    known = filled.filter(fit_on)
+    codes = label_table(known, "_labels", scratch_path(rows.sparkSession, "indicators"))
+    width = codes.count()
+    lists = label_lists(filled, "row_id", "_labels", codes)
+    scaled = standardize(filled, known, NUMERIC).join(lists, "row_id", "left")
+    numbers = [F.coalesce(F.col(c), F.lit(0.0)).cast("double") for c in NUMERIC]
+    found = F.coalesce("codes", F.array().cast("array<int>"))
+    flags = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.array_contains(found, i.cast("int")).cast("double"))
+    features = F.concat(F.array(*numbers), flags) if width else F.array(*numbers)
+    return materialize(scaled.withColumn("features", features).select(*[c for c in rows.columns if c not in LISTS], "features"), "features")
+
+
+def tune(train: DataFrame, target: str, labels: Sequence, imputed: bool) -> DataFrame:
+    """Macro-F1 of every (k, weights) over the group folds; everything is fitted anew on the other folds.
 
     One neighbour search per fold with the largest ``k`` serves the whole grid, since the
     nearest 3 of 15 are the nearest 3.
     """
     found = None
     for i in range(FOLDS):
-        held, rest = train.filter(F.col("fold") == i), train.filter(F.col("fold") != i)
-        near = nearest(held, rest, "row_id", "features", "row_id", "features", max(NEIGHBOR_GRID), payload=[label])
-        near = near.withColumnRenamed(label, "voted").withColumn("fold", F.lit(i))
+        ready = fitted_features(train, F.col("fold") != i, imputed)
+        held, rest = ready.filter(F.col("fold") == i), ready.filter(F.col("fold") != i)
+        near = nearest(held, rest, "row_id", "features", "row_id", "features", max(NEIGHBOR_GRID), payload=[target])
+        near = near.withColumnRenamed(target, "voted").withColumn("fold", F.lit(i))
         found = near if found is None else found.unionByName(near)
     found = materialize(found, "neighbors")
     sizes = F.explode(F.filter(F.array(*[F.lit(k) for k in NEIGHBOR_GRID]), lambda k: F.col("rank") <= k))
     rows = found.withColumn("k", sizes)
     votes = [vote(rows, "voted", w, ["k", "fold"]).withColumn("weights", F.lit(w)) for w in WEIGHT_GRID]
-    truth = train.select(F.col("row_id").alias("query_id"), F.col(label).alias("actual"))
+    truth = train.select(F.col("row_id").alias("query_id"), F.col(target).alias("actual"))
     pairs = votes[0].unionByName(votes[1]).join(truth, "query_id")
     per_fold = classification_metrics(pairs, "actual", "prediction", labels, "macro", by=["k", "weights", "fold"])
     return per_fold.groupBy("k", "weights").agg(F.avg("f1").alias("mean_f1"))
 
 
-def best_setting(grid: DataFrame) -> tuple[int, str]:
+def best_setting(grid: DataFrame) -> tuple[int, str, float]:
     row = grid.orderBy(F.desc(F.round("mean_f1", 9)), "k", F.desc("weights")).first()
-    return row["k"], row["weights"]
+    return row["k"], row["weights"], row["mean_f1"]
 
 
 def compare_variants(clean: DataFrame, target: str, labels: Sequence) -> DataFrame:
-    """Both variants tuned on their own train rows and scored on the shared complete test rows."""
+    """Both variants tuned on their own train rows and scored on the shared complete test rows.
+
+    The imputed variant is also scored on the whole test set (``imputed_full_test``: broader, not to be ranked against
+    the others). A row records a variant's setting, its score in the search and its number of train rows.
+    """
     data = materialize(population(clean), "population")
-    tags = distinct_labels(data.filter(~F.col("is_test")), "tags")
     results = {}
     for name in ("imputed", "complete"):
-        rows = data if name == "imputed" else data.filter("is_complete")
-        train = rows.filter(~F.col("is_test"))
-        filled = impute_fitted(rows, train, NUMERIC, CATEGORICAL) if name == "imputed" else rows
-        known = filled.filter(~F.col("is_test"))
-        values = {c: distinct_values(known, c) for c in CATEGORICAL}
-        ready = materialize(
-            group_folds(feature_vectors(filled, known, tags, values), "name", FOLDS).select(
-                "row_id", "fold", "features", target, "is_test", "is_complete"
-            ),
-            f"features-{name}",
-        )
+        imputed = name == "imputed"
+        rows = data if imputed else data.filter("is_complete")
+        train = materialize(group_folds(rows.filter(~F.col("is_test")), "name", FOLDS), "folds")
+        k, weights, score = best_setting(tune(train, target, labels, imputed))
+        ready = fitted_features(rows, ~F.col("is_test"), imputed)
         fit_rows = ready.filter(~F.col("is_test"))
-        k, weights = best_setting(tune(fit_rows, target, labels))
-        shared = ready.filter("is_test AND is_complete")
-        found = nearest(shared, fit_rows, "row_id", "features", "row_id", "features", k, payload=[target])
-        truth = shared.select(F.col("row_id").alias("query_id"), F.col(target).alias("actual"))
-        pairs = vote(found, target, weights).join(truth, "query_id")
-        results[name] = classification_metrics(pairs, "actual", "prediction", labels, "macro").withColumns(
-            {"k": F.lit(k), "weights": F.lit(weights)}
-        )
+        test = ready.filter("is_test") if imputed else ready.filter("is_test AND is_complete")
+        found = nearest(test, fit_rows, "row_id", "features", "row_id", "features", k, payload=[target])
+        truth = test.select(F.col("row_id").alias("query_id"), F.col(target).alias("actual"), "is_complete")
+        pairs = materialize(vote(found, target, weights).join(truth, "query_id"), "votes")
+        record = {"k": F.lit(k), "weights": F.lit(weights), "search_f1": F.lit(score), "n_train": F.lit(train.count())}
+        for table, rows_of in ((name, pairs.filter("is_complete")), (f"{name}_full_test", pairs)):
+            if imputed or table == name:
+                results[table] = classification_metrics(rows_of, "actual", "prediction", labels, "macro").withColumns(record)
     return comparison(results, "f1")

@@ -16,6 +16,7 @@ from venuekit.plans.registry import (
 )
 from venuekit.session import scratch_path
 from venuekit.sources import readers, writers
+from venuekit.session import materialize
 from venuekit.sources.tables import VENUE_COLUMNS, table, venues
 
 _MODE = "(SELECT {v} FROM {t} WHERE {v} IS NOT NULL GROUP BY {v} ORDER BY count(*) DESC, {v} LIMIT 1)"
@@ -441,7 +442,7 @@ SELECT row_id, coalesce(cost, (SELECT median(cost) FROM train)) AS cost,
  coalesce(category, {_MODE.format(v='category', t='train')}) AS category FROM r""",
 )
 def i07(spark, sf):
-    rows = random_split(clean(spark, sf).select("row_id", "cost", "category"), 0.2, ["row_id"])
+    rows = materialize(random_split(clean(spark, sf).select("row_id", "cost", "category"), 0.2, ["row_id"]), "split")
     return I.impute_fitted(rows, rows.filter(~F.col("is_test")), ["cost"], ["category"]).drop("is_test")
 
 

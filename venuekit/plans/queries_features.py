@@ -42,18 +42,20 @@ def f02(spark, sf):
     return E.one_hot_long(rows, rows.filter("votes > 30"), "row_id", ["category", "location"])
 
 
+_TAG_CODES = "SELECT tag, CAST(row_number() OVER (ORDER BY tag) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT unnest(tags) AS tag FROM clean) AS d"
+
+
 @query(
     "f03_multi_label_binarizer",
-    CLEAN + """SELECT row_id, """ + ", ".join(
-        f"CAST(list_contains(tags, '{v}') AS INTEGER) AS \"label_{v}\"" for v in
-        ["economy", "large", "medium", "promo", "small", "standard"]
-    ) + " FROM (SELECT row_id, list_filter(tags, lambda x: x = lower(category)) AS tags FROM clean WHERE category IS NOT NULL) AS c",
+    CLEAN + f""", codes AS ({_TAG_CODES}), cells AS (SELECT row_id, list(DISTINCT code ORDER BY code) AS codes
+ FROM (SELECT row_id, unnest(tags) AS tag FROM clean) AS u JOIN codes USING (tag) GROUP BY row_id)
+SELECT row_id, CAST((SELECT count(*) FROM codes) AS INTEGER) AS n_labels, coalesce(codes, []) AS codes FROM clean LEFT JOIN cells USING (row_id)""",
 )
 def f03(spark, sf):
-    rows = clean(spark, sf).filter("category IS NOT NULL").select(
-        "row_id", F.filter("tags", lambda x: x == F.lower("category")).alias("tags")
-    )
-    return E.binarize_labels(rows, "tags", E.distinct_labels(rows, "tags")).drop("tags")
+    """Every tag of every row as a sparse 0/1 vector over all tags."""
+    rows = clean(spark, sf).select("row_id", "tags")
+    size, codes, _ = E.sparse_cells("hot")
+    return E.MultiLabelEncoder("tags", "hot", "row_id").fit(rows).transform(rows).select("row_id", size.alias("n_labels"), codes.alias("codes"))
 
 
 @query(
@@ -69,18 +71,24 @@ def f04(spark, sf):
     return rounded(out, "l_quantity", "l_extendedprice")
 
 
-@query("f05_preprocessor")
+@query(
+    "f05_preprocessor",
+    CLEAN + f""", tag_codes AS ({_TAG_CODES}),
+ cats AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS code FROM (SELECT DISTINCT category FROM clean WHERE category IS NOT NULL) AS d),
+ locs AS (SELECT location, row_number() OVER (ORDER BY location) - 1 AS code FROM (SELECT DISTINCT location FROM clean WHERE location IS NOT NULL) AS d),
+ n AS (SELECT (SELECT count(*) FROM cats) AS nc, (SELECT count(*) FROM locs) AS nl, (SELECT count(*) FROM tag_codes) AS nt),
+ cells AS (SELECT row_id, 0 AS i, CAST(votes AS DOUBLE) AS v FROM clean UNION ALL SELECT row_id, 1, coalesce(cost, 0) FROM clean
+  UNION ALL SELECT row_id, 2 + code, 1 FROM clean JOIN cats USING (category) UNION ALL SELECT row_id, 2 + nc + code, 1 FROM n, clean JOIN locs USING (location)
+  UNION ALL SELECT DISTINCT row_id, 2 + nc + nl + code, 1 FROM n, (SELECT row_id, unnest(tags) AS tag FROM clean) AS u JOIN tag_codes USING (tag))
+SELECT c.row_id, CAST(2 + nc + nl + nt AS INTEGER) AS width, coalesce(list(CAST(i AS INTEGER) ORDER BY i) FILTER (v <> 0), []) AS indices,
+ coalesce(list(v ORDER BY i) FILTER (v <> 0), []) AS vals FROM n, clean c LEFT JOIN cells USING (row_id) GROUP BY c.row_id, nc, nl, nt""",
+)
 def f05(spark, sf):
-    """Assembled vector sizes per category; the indicators themselves are checked by ``f02`` and ``f03``."""
+    """The assembled vector of every row: numbers, two one-hot columns and all tags."""
     rows = clean(spark, sf).fillna({"cost": 0.0})
-    model = E.preprocessing(["votes", "cost"], ["category", "location"], ["tags"]).fit(rows)
-    parts = model.transform(rows).select("category", F.expr("size(array_distinct(tags))").alias("n_tags"), "features")
-    from pyspark.ml.functions import vector_to_array
-
-    vector = vector_to_array("features")
-    return parts.groupBy("category").agg(
-        F.max(F.size(vector)).alias("width"), F.sum(F.size(F.filter(vector, lambda x: x == 1.0))).alias("n_ones")
-    )
+    model = E.preprocessing(["votes", "cost"], ["category", "location"], ["tags"], key="row_id").fit(rows)
+    size, indices, values = E.sparse_cells("features")
+    return model.transform(rows).select("row_id", size.alias("width"), indices.alias("indices"), values.alias("vals"))
 
 
 @query(
