@@ -340,3 +340,24 @@ def test_encoder_survives_saving(spark, tmp_path):
 def test_scaling_a_constant_column(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     assert [tuple(r) for r in features.standardize(df, df, ["a", "b"]).orderBy("a").collect()] == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_pivots_skip_blocks_and_lose_nothing(spark, monkeypatch, metric):
+    from venuekit.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(neighbors, "INDEX_BLOCK", 50)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(20, 8)) * 5
+    points = [(i, [float(v) for v in centres[i % 20] + rng.normal(size=8) * 0.05], f"p{i}") for i in range(1000)]
+    points += [(2000 + i, [0.0] * 8, "zero") for i in range(3)] + [(3000 + i, points[7][1], "copy") for i in range(60)]
+    index = spark.createDataFrame(points, "id long, vec array<double>, name string")
+    queries = index.filter("id % 3 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    stats = {}
+    search = lambda **more: neighbors.nearest(queries, index, "qid", "qvec", "id", "vec", 5, metric, ["name"], skip_self=True, **more)
+    got = sorted(map(tuple, search(broadcast_cells=0, stats=stats).collect()))
+    assert got == sorted(map(tuple, search().collect()))
+    assert stats["searched"] < 0.7 * stats["pairs"]
+    none = neighbors.nearest(queries, index.limit(0), "qid", "qvec", "id", "vec", 5, metric, broadcast_cells=0)
+    assert none.count() == 0

@@ -99,3 +99,26 @@ def test_approximate_support_vectors_survive_saving(spark, sf_dir):
     again = models.save_model(model, scratch_path(spark, "svc"))
     both = [sorted(map(tuple, m.transform(data).select("row_id", "prediction").collect())) for m in (model, again)]
     assert both[0] == both[1]
+
+
+def test_sink_check_finds_changed_values(spark):
+    from venuekit.sources.writers import check_sink, sink_differences
+
+    rows = [(i, f"name {i % 5}", [i, i + 1], None if i % 3 else 1.5) for i in range(200)]
+    schema = "id long, name string, items array<int>, v double"
+    frame = spark.createDataFrame(rows, schema)
+    shuffled = spark.createDataFrame(rows[::-1], schema).repartition(7)
+    assert check_sink(frame, shuffled).first()["matches"]
+
+    def different(changed):
+        other = spark.createDataFrame(changed, schema)
+        assert not check_sink(frame, other).first()["matches"]
+        return {r["column"] for r in sink_differences(frame, other).collect() if not r["same"]}
+
+    assert different([(*rows[0][:3], 1.6), *rows[1:]]) == {"v", "*"}
+    assert different([(*rows[0][:3], None), *rows[1:]]) == {"v", "*"}
+    assert different([(0, "name 1", [0, 1], 1.5), (1, "name 0", [1, 2], None), *rows[2:]]) == {"*"}  # two names changed places
+    assert different([rows[1], *rows[1:]]) >= {"id", "items", "*"}
+    assert different([]) == {"id", "name", "items", "v", "*"}
+    dropped = {r["column"]: r["same"] for r in sink_differences(frame, frame.drop("v")).collect()}
+    assert dropped == {"id": True, "name": True, "items": True, "v": False, "*": False}

@@ -3,7 +3,9 @@
 Distances are computed on blocks with numpy inside Spark tasks; a task hands on at most
 ``k`` candidates per query, never all pairs. A query set of checked size is broadcast to
 the partitions of the index. A larger one is cut into blocks that meet blocks of the
-index in a co-grouped join, each pair of blocks in its own task.
+index in a co-grouped join, each pair of blocks in its own task. Blocks hold vectors of
+like distance to a pivot; once a first block has given every query ``k`` neighbours, the
+triangle inequality shows which other blocks cannot hold a closer one, and they are skipped.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from venuekit.operators.ranking import top_k
+from venuekit.operators.ranking import ranked, row_hash, top_k
+from venuekit.session import materialize
 
 BROADCAST_CELLS = 4_000_000
 QUERY_BLOCK = 4_096
 INDEX_BLOCK = 32_768
+PIVOTS = 32
 _CHUNK_CELLS = 4_000_000
 DIGITS = 9
 
@@ -71,10 +75,11 @@ def _local_top(qids: np.ndarray, queries: np.ndarray, block: pd.DataFrame, k: in
 
 def nearest(queries: DataFrame, index: DataFrame, query_id: str, query_vec: str, index_id: str, index_vec: str,
             k: int, metric: str = "l2", payload: Sequence[str] = (), skip_self: bool = False,
-            broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+            broadcast_cells: int = BROADCAST_CELLS, stats: dict | None = None) -> DataFrame:
     """``(query_id, index_id, score, payload..., rank)``, the exact ``k`` best per query, ties by id.
 
-    ``score`` is the distance for ``l2`` and the similarity for ``cosine``.
+    ``score`` is the distance for ``l2`` and the similarity for ``cosine``. ``stats`` receives the numbers of block
+    ``pairs`` and of those that were ``searched``.
     """
     q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).cast("array<double>").alias("_qvec"))
     x = index.select(F.col(index_id).alias("_id"), F.col(index_vec).cast("array<double>").alias("_vec"), *payload)
@@ -86,7 +91,7 @@ def nearest(queries: DataFrame, index: DataFrame, query_id: str, query_vec: str,
     if size["n"] * max(1, size["d"]) <= broadcast_cells:
         local = _with_broadcast_queries(q, x, k, metric, payload, skip_self, out_type)
     else:
-        local = _with_blocks(q, x, size["n"], k, metric, payload, skip_self, out_type)
+        local = _with_blocks(q, x, k, metric, payload, skip_self, out_type, stats)
     best = top_k(local, ["_qid"], [F.asc("_score"), F.asc("_id")], k)
     score = F.col("_score") if metric == "l2" else -F.col("_score")
     return best.select(
@@ -117,22 +122,95 @@ def _with_broadcast_queries(q, x, k, metric, payload, skip_self, out_type) -> Da
     return x.mapInPandas(scan, out_type)
 
 
-def _with_blocks(q, x, n_queries, k, metric, payload, skip_self, out_type) -> DataFrame:
-    q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    x_blocks = max(1, -(-x.count() // INDEX_BLOCK))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    qb = q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(q_blocks))).withColumn("_xb", spread(x_blocks))
-    xb = x.withColumn("_xb", F.pmod(F.xxhash64("_id"), F.lit(x_blocks))).withColumn("_qb", spread(q_blocks))
-    keys = [F.col("_qb").cast("int").alias("_qb"), F.col("_xb").cast("int").alias("_xb")]
-    qb, xb = qb.select("_qid", "_qvec", *keys), xb.select("_id", "_vec", *payload, *keys)
+def _placed(vectors: np.ndarray, metric: str, side: int) -> np.ndarray:
+    """Points whose distances order the scores. For the cosine they are unit vectors; a zero vector of either side gets a
+    coordinate of its own, so that its similarity is 0 and ``distance^2 = 2 - 2 similarity`` holds throughout."""
+    if metric != "cosine":
+        return vectors
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    extra = np.zeros((len(vectors), 2))
+    extra[:, side] = (length == 0)[:, 0]
+    return np.column_stack([vectors / np.where(length > 0, length, 1.0), extra])
+
+
+def _pivoted(rows: DataFrame, vec: str, pivots: np.ndarray, metric: str, side: int, block_rows: int, name: str) -> DataFrame:
+    """Rows with a block number ``<name>`` and ``_d``, their distances to all pivots; stored.
+
+    Rows are dealt out by nearest pivot and distance to it, so that a block covers a small range.
+    """
+    fields = [*rows.schema.fields, T.StructField("_p", T.IntegerType()), T.StructField("_far", T.DoubleType()),
+              T.StructField("_d", T.ArrayType(T.DoubleType()))]
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if frame.empty:
+                continue
+            spots = _placed(np.stack(frame[vec].to_numpy()).astype(float), metric, side)
+            apart = np.sqrt(np.maximum(0, (spots**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * spots @ pivots.T))
+            yield frame.assign(_p=apart.argmin(1), _far=apart.min(1), _d=list(apart))
+
+    measured = rows.mapInPandas(measure, T.StructType(fields))
+    placed = materialize(ranked(measured, [F.col("_p"), F.col("_far"), F.col(rows.columns[0])], "_at"), "pivoted")
+    # blocks end with their pivot: a row per pivot tells where its rows and its blocks begin
+    first, blocks, start = placed.groupBy("_p").agg(F.min("_at").alias("at"), F.count("*").alias("n")).orderBy("_p").collect(), 0, {}
+    for row in first:
+        start[row["_p"]] = (blocks, row["at"])
+        blocks += -(-row["n"] // block_rows)
+    number = F.lit(None).cast("int")
+    for p, (block, at) in start.items():
+        number = F.when(F.col("_p") == p, block + F.floor((F.col("_at") - at) / block_rows)).otherwise(number)
+    return placed.withColumn(name, number.cast("int")).drop("_p", "_far", "_at")
+
+
+def _ranges(rows: DataFrame, name: str, n_pivots: int, prefix: str) -> DataFrame:
+    """Least and greatest distance to every pivot, a row per block."""
+    spans = [f(F.col("_d")[i]).alias(f"{prefix}{side}{i}") for i in range(n_pivots) for side, f in (("lo", F.min), ("hi", F.max))]
+    return rows.groupBy(name).agg(*spans)
+
+
+def _with_blocks(q, x, k, metric, payload, skip_self, out_type, stats=None) -> DataFrame:
+    sample = x.select("_vec", row_hash("_id").alias("h")).orderBy("h").limit(PIVOTS).toPandas()["_vec"]
+    if not len(sample):
+        return x.sparkSession.createDataFrame([], out_type)
+    pivots = _placed(np.stack(sample.to_numpy()).astype(float), metric, 0)
+    qb = _pivoted(q, "_qvec", pivots, metric, 1, QUERY_BLOCK, "_qb")
+    xb = _pivoted(x, "_vec", pivots, metric, 0, INDEX_BLOCK, "_xb")
+    left, right = _ranges(qb, "_qb", len(pivots), "q"), _ranges(xb, "_xb", len(pivots), "x")
+    n_blocks = xb.agg(F.max("_xb")).first()[0] + 1
+    # a row of numbers for each pair of blocks
+    pairs = left.withColumn("_xb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(right, "_xb")
+    gaps = [F.greatest(F.col(f"qlo{i}") - F.col(f"xhi{i}"), F.col(f"xlo{i}") - F.col(f"qhi{i}"), F.lit(0.0)) for i in range(len(pivots))]
+    reach = [F.greatest(F.abs(F.col(f"qhi{i}") - F.col(f"xlo{i}")), F.abs(F.col(f"xhi{i}") - F.col(f"qlo{i}"))) for i in range(len(pivots))]
+    pairs = materialize(pairs.select("_qb", "_xb", F.greatest(F.lit(0.0), *gaps).alias("_gap"), F.greatest(F.lit(0.0), *reach).alias("_reach")), "pairs")
+    nearest_pair = pairs.groupBy("_qb").agg(F.min_by("_xb", F.struct("_reach", "_xb")).alias("_xb"))
+    first = materialize(_meet(qb, xb, nearest_pair, k, metric, payload, skip_self, out_type), "first-block")
+    # the k-th distance found so far; queries with fewer keep every block
+    counted = first.groupBy("_qid").agg(F.count("*").alias("n"), F.max("_score").alias("worst"))
+    worst = F.col("worst") if metric == "l2" else F.sqrt(F.greatest(2 + 2 * F.col("worst"), F.lit(0.0)))
+    limit = F.max(F.when(F.col("n") >= k, worst).otherwise(F.lit(float("inf")))).alias("_limit")
+    reached = qb.select("_qid", "_qb").join(counted, "_qid", "left").groupBy("_qb").agg(limit)
+    open_pairs = pairs.join(reached, "_qb").join(nearest_pair, ["_qb", "_xb"], "left_anti")
+    slack = 1e-8 * (1 + F.col("_gap") * F.col("_gap"))  # scores are rounded
+    open_pairs = materialize(open_pairs.filter(F.col("_gap") * F.col("_gap") <= F.col("_limit") * F.col("_limit") + slack).select("_qb", "_xb"), "open-pairs")
+    if stats is not None:
+        stats.update(pairs=pairs.count(), searched=nearest_pair.count() + open_pairs.count())
+    return first.unionByName(_meet(qb, xb, open_pairs, k, metric, payload, skip_self, out_type))
+
+
+def _meet(qb, xb, pairs, k, metric, payload, skip_self, out_type) -> DataFrame:
+    """The best of each pair of blocks."""
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({f.name: pd.Series(dtype=object) for f in out_type.fields})
         vectors = np.stack(left["_qvec"].to_numpy()).astype(float)
-        return _local_top(left["_qid"].to_numpy(), vectors, right, k, metric, payload, skip_self)
+        found = _local_top(left["_qid"].to_numpy(), vectors, right, k, metric, payload, skip_self)
+        found = found.sort_values(["_qid", "_score", "_id"], kind="stable")
+        return found.groupby("_qid", sort=False).head(k)
 
-    return qb.groupBy("_qb", "_xb").cogroup(xb.groupBy("_qb", "_xb")).applyInPandas(meet, out_type)
+    queries = qb.drop("_d").join(pairs, "_qb").groupBy("_qb", "_xb")
+    index = xb.drop("_d").join(pairs, "_xb").groupBy("_qb", "_xb")
+    return queries.cogroup(index).applyInPandas(meet, out_type)
 
 
 def vote(neighbors: DataFrame, label: str, weights: str = "uniform", by: Sequence[str] = ()) -> DataFrame:
