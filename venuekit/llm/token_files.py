@@ -8,10 +8,13 @@ temporary name and moved, so a task that runs again leaves the same files.
 
 from __future__ import annotations
 
+import array
+import contextlib
 import functools
 import hashlib
 import os
 import struct
+import sys
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -32,9 +35,11 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 2_048, 4_000  # the dictionary's sample: so many documents of at most so many characters
 SHARD_BYTES = 32 << 20  # a shard is closed when its frames reach this
 FRAME_LEVEL = 3
-CACHED_WORDS, CACHED_CHARS = 1_000_000, 64
+CACHED_WORDS, CACHED_CHARS = 500_000, 64
+BATCH_ROWS = 1_000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _PUNCTUATION = ".,;:!?"
-_LATIN_END, _WIDE_CAPITAL = "\u0250", "\u0130"  # the one Latin capital whose lower case is two characters
+_LATIN_END, _WIDE_CAPITAL = "\u0180", "\u0130"  # the one Latin capital whose lower case is two characters
 _MANIFEST = "part long, piece long, name string, n_docs long, n_ids long, n_bytes long, first_doc long, last_doc long"
 _ROW = "doc_id long, start long, n_tokens long, ids binary"
 
@@ -68,34 +73,42 @@ class WordEncoder:
         self.known: dict[str, bytes] = {"": b""}
         alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [c for c in map(chr, range(ord(_LATIN_END))) if c.isalpha() and c != _WIDE_CAPITAL]
-        self.form = {c: alphabet.pre_tokenize_str(c.lower())[0][0] for c in letters}
+        self.form = {c: alphabet.pre_tokenize_str(c)[0][0] for c in letters}
         probes = [c + more for c in letters for more in ("", "a", "É")]
         whole = [e.ids for e in self.tokenizer.encode_batch_fast(probes, add_special_tokens=False)]
-        self.latin = [self._model_ids(p) for p in probes] == whole
+        self.latin = [self._model_ids(p.lower()) for p in probes] == whole
 
     def _model_ids(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join([self.form[c] for c in word]))]
+        if not word.isascii():
+            word = "".join([self.form[c] for c in word])
+        return [t.id for t in self.model.tokenize(word)]
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
-
-    def _tokenize(self, pieces: list[str]) -> dict[str, bytes]:
-        latin = [p for p in pieces if self.latin and p.isalpha() and max(p) < _LATIN_END and _WIDE_CAPITAL not in p]
-        found = {p: self._bytes(self._model_ids(p)) for p in latin}
-        rest = [p for p in pieces if p not in found]
-        for p, encoding in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            found[p] = self._bytes(encoding.ids)
-        return found
+        packed = array.array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        known, parts = self.known, {}
+        known, parts, latin, rest = self.known, [], set(), set()
         for piece in pieces:
             core = piece.rstrip(_PUNCTUATION)
-            cut = core if core and len(core) < len(piece) and _ends_word(core[-1]) else piece
-            form = cut.lower() if self.latin and cut.isalpha() and max(cut) < _LATIN_END and _WIDE_CAPITAL not in cut else cut
-            parts[piece] = (form, piece[len(cut) :])
-        known.update(self._tokenize(list({p for some in parts.values() for p in some if p not in known})))
-        known.update({piece: known[form] + known[rest] for piece, (form, rest) in parts.items()})
+            form = core if core and len(core) < len(piece) and _ends_word(core[-1]) else piece
+            tail = piece[len(form) :]
+            if self.latin and form.isalpha() and max(form) < _LATIN_END and _WIDE_CAPITAL not in form:
+                form = form.lower()
+                latin.add(form)
+            else:
+                rest.add(form)
+            rest.add(tail)
+            parts.append((piece, form, tail))
+        for form in latin:
+            if form not in known:
+                known[form] = self._bytes(self._model_ids(form))
+        rest = [p for p in rest if p not in known]
+        for p, encoding in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            known[p] = self._bytes(encoding.ids)
+        known.update({piece: known[form] + known[tail] for piece, form, tail in parts})
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         pieces = [text.replace("\n", " ").split(" ") for text in texts]
@@ -256,16 +269,29 @@ def write_token_files(docs: DataFrame, folder: str, path: str, text_col: str = "
         F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
     framed = rows.mapInPandas(_frames(path, dictionary, end_id), "doc long, no_id boolean, h long, n long, frame binary")
-    stored = materialize(framed.withColumn("row", F.monotonically_increasing_id()), "token-frames")
+    with _batches(spark, BATCH_ROWS):
+        stored = materialize(framed.withColumn("row", F.monotonically_increasing_id()), "token-frames")
     order = [F.col("no_id").desc(), F.col("doc"), F.col("h"), F.col("row")]
     dealt = stored.repartitionByRange(*order).sortWithinPartitions(*order)
     width = encoder(path).width
-    manifest = materialize(dealt.mapInPandas(_shards(folder, digest, width, shard_bytes), _MANIFEST), "token-manifest")
+    with _batches(spark, BATCH_ROWS):
+        manifest = materialize(dealt.mapInPandas(_shards(folder, digest, width, shard_bytes), _MANIFEST), "token-manifest")
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     placed = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     placed.write.mode("overwrite").parquet(f"{folder}/manifest")
 
 
+@contextlib.contextmanager
+def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Hand at most ``rows`` rows to Python at a time: whole texts and frames are long."""
+    before = spark.conf.get(_BATCH_KEY)
+    spark.conf.set(_BATCH_KEY, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_KEY, before)
+
+
 def _open_shard(folder: str, name: str, dictionary: bytes) -> ShardIndex:
     index = ShardIndex(get(folder, f"{name}.idx"))
     if index.digest != hashlib.sha256(dictionary).digest():
