@@ -361,3 +361,22 @@ def test_pivots_skip_blocks_and_lose_nothing(spark, monkeypatch, metric):
     assert stats["searched"] < 0.7 * stats["pairs"]
     none = neighbors.nearest(queries, index.limit(0), "qid", "qvec", "id", "vec", 5, metric, broadcast_cells=0)
     assert none.count() == 0
+
+
+def test_index_vectorises_only_what_changed(spark, tmp_path):
+    from venuekit.operators.index import read_index, update_index
+
+    folder = str(tmp_path / "index")
+    rows = [(f"d{i}", f"Sentence one of {i}. Sentence two. " * 90, "m") for i in range(20)] + [("e", "", None), ("n", None, None)]
+    docs = lambda r: spark.createDataFrame(r, "doc_id string, text string, meta string").repartition(3)
+    with pytest.raises(ValueError):
+        read_index(spark, folder)
+    assert update_index(docs(rows), folder) == {"build": 0, "indexed": 22, "reused": 0, "removed": 0}
+    assert update_index(docs(rows + rows[:1]), folder) == {"build": 0, "indexed": 0, "reused": 22, "removed": 0}
+    changed = [("d0", "quite new", "m"), ("d1", rows[1][1], "other"), *rows[3:], ("z", "added", "m")]
+    assert update_index(docs(changed), folder) == {"build": 1, "indexed": 3, "reused": 19, "removed": 3}
+    key = lambda r: (r["chunk_id"], r["chunk"], r["meta"], r["embedding"])
+    got = sorted(map(key, read_index(spark, folder).collect()))
+    update_index(docs(changed), str(tmp_path / "fresh"))
+    assert got == sorted(map(key, read_index(spark, str(tmp_path / "fresh")).collect()))
+    assert {r[0].split("#")[0] for r in got} == {"d0", "d1", "z", *[f"d{i}" for i in range(3, 20)]}

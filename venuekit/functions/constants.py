@@ -54,25 +54,22 @@ FAQS = [
     ),
 ]
 
-# Phrases of the venue description, in order of use; an empty value is replaced by its fallback.
-NARRATIVE = {
-    "kind": " is a ",
-    "kind_fallback": "restaurant",
-    "place": " located in ",
-    "place_fallback": "an unspecified location",
-    "offer": ", offering ",
-    "offer_fallback": "a variety of cuisines",
-    "dishes": ". Popular or frequently ordered dishes include: ",
-    "dishes_fallback": "unspecified dishes",
-    "cost": ". The approximate cost for two people is ₹",
-    "rating": ". The overall user rating stands at ",
-    "number_fallback": "N/A",
-    "end": ". ",
-    "sentiment": "Overall customer feedback is predominantly ",
-    "keywords": "Common topics and key phrases in customer feedback include: ",
-    "menu": "Notable menu highlights include ",
-    "reviews": " Detailed customer review text: ",
-    "reviews_fallback": "No direct review text available.",
+# The venue description over its columns, what stands for a missing value, and the sentences that some
+# columns make (none where the column is empty).
+NARRATIVE = (
+    "{name} is a {rest_type} located in {location}, offering {cuisines}. "
+    "Popular or frequently ordered dishes include: {dish_liked}. "
+    "The approximate cost for two people is ₹{cost_for_two}. The overall user rating stands at {rate}. "
+    "{dominant_sentiment} {keywords} {menu_item} Detailed customer review text: {clean_review}"
+)
+NARRATIVE_MISSING = {
+    "name": "", "rest_type": "restaurant", "location": "an unspecified location", "cuisines": "a variety of cuisines",
+    "dish_liked": "unspecified dishes", "cost_for_two": "N/A", "rate": "N/A", "clean_review": "No direct review text available.",
+}
+NARRATIVE_SENTENCES = {
+    "dominant_sentiment": "Overall customer feedback is predominantly {}.",
+    "keywords": "Common topics and key phrases in customer feedback include: {}.",
+    "menu_item": "Notable menu highlights include {}.",
 }
 
 # Typed metadata of a document.

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -17,38 +18,31 @@ def _number(c: str) -> Column:
     return F.when(whole, value.cast("long").cast("string")).otherwise(value.cast("string"))
 
 
+def filled(template: str, fields: Mapping[str, Column]) -> Column:
+    """Text of a template whose ``{names}`` stand for columns."""
+    parts = re.split(r"\{(\w*)\}", template)  # text and names in turn
+    return F.concat(*[fields[part] if i % 2 else F.lit(part) for i, part in enumerate(parts)])
+
+
 def narrative(df: DataFrame) -> Column:
-    """Descriptive text of a venue: one phrase per available column, set phrases where a value is missing."""
-    say, empty_list = K.NARRATIVE, F.array().cast("array<string>")
+    """Descriptive text of a venue by the template of :mod:`constants`; absent columns count as missing."""
+    empty_list = F.array().cast("array<string>")
 
     def value(name: str) -> Column:
         """Text of a column, NULL when absent, missing or empty."""
         return S.null_if(F.col(name).cast("string"), "") if name in df.columns else F.lit(None).cast("string")
 
-    def number(name: str) -> Column:
-        return F.coalesce(_number(name) if name in df.columns else F.lit(None), F.lit(say["number_fallback"]))
-
-    def sentence(phrase: str, body: Column) -> Column:
-        return F.when(S.null_if(body, "").isNotNull(), F.concat(F.lit(say[phrase]), body, F.lit("."))).otherwise("")
-
     def joined(name: str, parse, sep: str) -> Column:
-        return F.array_join(F.coalesce(parse(name), empty_list), sep) if name in df.columns else F.lit("")
+        return S.null_if(F.array_join(F.coalesce(parse(name), empty_list), sep), "") if name in df.columns else F.lit(None)
 
-    menu = joined("menu_item", L.string_items, ", ")
     own = joined("reviews_list", lambda c: L.review_texts(c, drop_marker=False), " ")
-    rating = F.coalesce(value("rate"), F.lit(say["number_fallback"]))
-    described = [
-        ("kind", value("rest_type")), ("place", value("location")), ("offer", value("cuisines")), ("dishes", value("dish_liked")),
-    ]
-    opening = [
-        part for phrase, body in described for part in (F.lit(say[phrase]), F.coalesce(body, F.lit(say[f"{phrase}_fallback"])))
-    ]
-    figures = [F.lit(say["cost"]), number("cost_for_two"), F.lit(say["rating"]), rating, F.lit(say["end"])]
-    clauses = F.concat_ws(" ", sentence("sentiment", value("dominant_sentiment")), sentence("keywords", value("keywords")),
-                          sentence("menu", menu))
-    review = F.coalesce(value("clean_review"), S.null_if(own, ""), F.lit(say["reviews_fallback"]))
-    name = F.coalesce(value("name"), F.lit(""))
-    return F.concat(name, *opening, *figures, clauses, F.lit(say["reviews"]), review)
+    found = {name: value(name) for name in [*K.NARRATIVE_MISSING, *K.NARRATIVE_SENTENCES]}
+    found["cost_for_two"] = _number("cost_for_two") if "cost_for_two" in df.columns else F.lit(None)
+    found["menu_item"] = joined("menu_item", L.string_items, ", ")
+    found["clean_review"] = F.coalesce(found["clean_review"], own)
+    fields = {name: F.coalesce(found[name], F.lit(missing)) for name, missing in K.NARRATIVE_MISSING.items()}
+    fields |= {name: F.coalesce(filled(sentence, {"": found[name]}), F.lit("")) for name, sentence in K.NARRATIVE_SENTENCES.items()}
+    return filled(K.NARRATIVE, fields)
 
 
 def metadata(df: DataFrame) -> Column:

@@ -12,15 +12,15 @@ from venuekit.operators.neighbors import nearest
 from venuekit.operators.relational import with_probe
 
 
-def similar_rows(df: DataFrame, key: str, features: Sequence[str], probe_id, k: int = 5) -> DataFrame:
-    """The ``k`` rows most similar to one probe row by cosine, itself excluded, ties by key.
+def similar_rows(df: DataFrame, key: str, features: Sequence[str], probe_id, k: int = 5, keep: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` rows most similar to one probe row by cosine with kept columns, itself excluded, ties by key.
 
     The probe is a one-row scalar subquery; the rest is a scan with a top-k.
     """
-    vectors = df.select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("_v"))
+    vectors = df.select(key, *keep, F.array(*[F.col(c).cast("double") for c in features]).alias("_v"))
     probe = vectors.filter(F.col(key) == F.lit(probe_id)).select("_v")
     paired = with_probe(vectors.filter(F.col(key) != F.lit(probe_id)), probe)
-    scored = paired.select(key, F.round(cosine("_v", "probe__v"), 9).alias("similarity"))
+    scored = paired.select(key, *keep, F.round(cosine("_v", "probe__v"), 9).alias("similarity"))
     return scored.orderBy(F.desc("similarity"), key).limit(k)
 
 

@@ -2,55 +2,80 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from venuekit.functions import lists as L
-from venuekit.functions.constants import FAQS
-from venuekit.operators import corpus as D, search as Q
+from venuekit.functions.constants import FAQS, META_FIELDS, NARRATIVE, NARRATIVE_MISSING, NARRATIVE_SENTENCES
+from venuekit.operators import corpus as D, index as I, search as Q
 from venuekit.operators.profile import pass_rates
+from venuekit.plans.enrichment import enrich
+from venuekit.plans.queries_text import ENRICHED, PROFILE_CTES
 from venuekit.plans.registry import CLEAN, clean, documents, query, rounded
+from venuekit.session import delete_on_exit, materialize, scratch_path
 from venuekit.sources.tables import table
 
 
 def venue_fields(rows):
-    """Clean venue columns under the names the document builder expects."""
+    """Enriched venue columns under the names the document builder expects."""
     return rows.select(
         "row_id", "name", "location", F.col("category").alias("rest_type"), L.normalize_list("tags_text").alias("cuisines"),
         F.col("cost").alias("cost_for_two"), "rate", F.col("menu_text").alias("menu_item"),
         F.col("reviews_text").alias("reviews_list"), F.col("online_order").cast("string").alias("online_order"),
+        F.col("book_table").cast("string").alias("book_table"), "clean_review", "dominant_sentiment", "avg_sentiment_score",
+        "positive_ratio", "keywords", "dish_keywords", "review_quality_flag", "nlp_source",
     )
 
 
+def venue_corpus(spark, sf):
+    """A document for every venue, from the listing and its enrichment."""
+    return D.venue_documents(venue_fields(enrich(clean(spark, sf))), "row_id")
+
+
 _ITEMS = "list_transform(regexp_extract_all(menu_text, '(''[^'']*''|\"[^\"]*\")', 1), lambda x: trim(substr(x, 2, length(x) - 2)))"
 _RAW_TEXTS = (
     "list_filter(list_transform(regexp_extract_all(reviews_text, '\\((?:''[^'']*''|\"[^\"]*\"), (''[^'']*''|\"[^\"]*\")\\)', 1), lambda x: trim(replace("
     "substr(x, 2, length(x) - 2), concat(chr(92), 'n'), chr(10)))), lambda x: x <> '')"
 )
+_SQL_FIELDS = {
+    "name": "c.name", "rest_type": "category", "location": "c.location", "dish_liked": "NULL", "cost_for_two": "CAST(CAST(cost AS BIGINT) AS VARCHAR)",
+    "cuisines": "nullif(array_to_string(list_filter(list_transform(string_split(tags_text, ','), lambda x: trim(x)), lambda x: x <> ''), ', '), '')",
+    "rate": "CAST(c.rate AS VARCHAR)", "dominant_sentiment": "nullif(dominant_sentiment, '')", "keywords": "nullif(keywords, '')",
+    "menu_item": f"nullif(array_to_string({_ITEMS}, ', '), '')", "clean_review": f"coalesce(nullif(clean_review, ''), nullif(array_to_string({_RAW_TEXTS}, ' '), ''))",
+}
 
 
-@query(
-    "c25_narrative",
-    CLEAN + f""", parts AS (SELECT *, array_to_string({_ITEMS}, ', ') AS menu, array_to_string({_RAW_TEXTS}, ' ') AS own,
- nullif(array_to_string(list_filter(list_transform(string_split(tags_text, ','), lambda x: trim(x)), lambda x: x <> ''), ', '), '') AS cuisines FROM clean)
-SELECT concat('venue-', row_id) AS doc_id, concat(name, ' is a ', coalesce(category, 'restaurant'), ' located in ',
- coalesce(location, 'an unspecified location'), ', offering ', coalesce(cuisines, 'a variety of cuisines'),
- '. Popular or frequently ordered dishes include: unspecified dishes. The approximate cost for two people is ₹',
- coalesce(CAST(CAST(cost AS BIGINT) AS VARCHAR), 'N/A'), '. The overall user rating stands at ', coalesce(CAST(rate AS VARCHAR), 'N/A'), '.   ',
- CASE WHEN menu <> '' THEN concat('Notable menu highlights include ', menu, '.') ELSE '' END, ' Detailed customer review text: ',
- coalesce(nullif(own, ''), 'No direct review text available.')) AS text FROM parts""",
-)
+def _narrative_sql() -> str:
+    """The template as SQL: texts and fields in turn."""
+    def text(template, fields):
+        parts = re.split(r"\{(\w*)\}", template)
+        return " || ".join(fields[p] if i % 2 else f"'{p}'" for i, p in enumerate(parts))
+
+    fields = {n: f"coalesce({_SQL_FIELDS[n]}, '{missing}')" for n, missing in NARRATIVE_MISSING.items()}
+    fields |= {n: f"coalesce({text(sentence, {'': _SQL_FIELDS[n]})}, '')" for n, sentence in NARRATIVE_SENTENCES.items()}
+    return text(NARRATIVE, fields)
+
+
+_CORPUS = CLEAN + f", {PROFILE_CTES}, {ENRICHED}"
+
+
+@query("c25_narrative", f"{_CORPUS} SELECT concat('venue-', c.row_id) AS doc_id, {_narrative_sql()} AS text FROM clean c JOIN enriched USING (row_id)")
 def c25(spark, sf):
-    return D.venue_documents(venue_fields(clean(spark, sf)), "row_id").select("doc_id", "text")
+    return venue_corpus(spark, sf).select("doc_id", "text")
 
 
 @query(
     "c26_metadata",
-    CLEAN + f"""SELECT concat('venue-', row_id) AS doc_id, 'restaurant' AS doc_type, name, location, category AS rest_type, cost AS cost_for_two,
- rate AS rating, false AS rating_is_imputed, len({_ITEMS}) > 0 AS menu_available, CAST(NULL AS DOUBLE) AS sentiment_score FROM clean""",
+    _CORPUS + f"""SELECT concat('venue-', c.row_id) AS doc_id, 'restaurant' AS doc_type, c.name, c.location, {_SQL_FIELDS['cuisines']} AS cuisines,
+ category AS rest_type, cost AS cost_for_two, c.rate AS rating, false AS rating_is_imputed, CAST(online_order AS VARCHAR) AS online_order,
+ CAST(book_table AS VARCHAR) AS book_table, len({_ITEMS}) > 0 AS menu_available, round(avg_sentiment_score, 9) AS sentiment_score,
+ dominant_sentiment AS sentiment_label, positive_ratio, keywords, dish_keywords, review_quality_flag AS review_quality, nlp_source
+ FROM clean c JOIN enriched USING (row_id)""",
 )
 def c26(spark, sf):
-    fields = ["doc_type", "name", "location", "rest_type", "cost_for_two", "rating", "rating_is_imputed", "menu_available", "sentiment_score"]
-    return D.venue_documents(venue_fields(clean(spark, sf)), "row_id").select("doc_id", *[f"meta.{f}" for f in fields])
+    fields = [f for f in META_FIELDS if f != "question"]
+    return rounded(venue_corpus(spark, sf).select("doc_id", *[f"meta.{f}" for f in fields]), "sentiment_score", digits=9)
 
 
 @query(
@@ -58,19 +83,22 @@ def c26(spark, sf):
     CLEAN + f"SELECT 'restaurant' AS doc_type, count(*) AS n FROM clean UNION ALL SELECT 'faq', {len(FAQS)}",
 )
 def c27(spark, sf):
-    docs = D.venue_documents(venue_fields(clean(spark, sf)), "row_id").unionByName(D.faq_documents(spark))
+    docs = venue_corpus(spark, sf).unionByName(D.faq_documents(spark))
     return docs.groupBy("meta.doc_type").agg(F.count("*").alias("n"))
 
 
 @query(
     "r01_similar_rows",
-    CLEAN + """, v AS (SELECT row_id, [CAST(online_order AS DOUBLE), CAST(book_table AS DOUBLE), CAST(votes AS DOUBLE), coalesce(cost, 0)] AS v
+    CLEAN + """, v AS (SELECT *, [CAST(online_order AS DOUBLE), CAST(book_table AS DOUBLE), CAST(votes AS DOUBLE), coalesce(cost, 0)] AS v
  FROM clean), p AS (SELECT v AS pv FROM v WHERE row_id = 1)
-SELECT row_id, round(coalesce(nullif(list_cosine_similarity(v, pv), 'nan'::DOUBLE), 0), 9) AS similarity FROM v, p WHERE row_id <> 1 ORDER BY similarity DESC, row_id LIMIT 5""",
+SELECT row_id, name, location, category, rate, cost, round(coalesce(nullif(list_cosine_similarity(v, pv), 'nan'::DOUBLE), 0), 9) AS similarity
+ FROM v, p WHERE row_id <> 1 ORDER BY similarity DESC, row_id LIMIT 5""",
 )
 def r01(spark, sf):
-    rows = clean(spark, sf).select("row_id", "online_order", "book_table", "votes", F.coalesce("cost", F.lit(0.0)).alias("cost"))
-    return Q.similar_rows(rows, "row_id", ["online_order", "book_table", "votes", "cost"], 1, 5)
+    """The five rows most like one row, with their details."""
+    rows = clean(spark, sf).withColumn("_cost", F.coalesce("cost", F.lit(0.0)))
+    details = ["name", "location", "category", "rate", "cost"]
+    return Q.similar_rows(rows, "row_id", ["online_order", "book_table", "votes", "_cost"], 1, 5, details)
 
 
 @query(
@@ -125,11 +153,18 @@ def r05(spark, sf):
 
 @query("r06_source_listing")
 def r06(spark, sf):
-    """Benchmark texts as queries against the venue and FAQ corpus."""
-    docs = D.venue_documents(venue_fields(clean(spark, sf)), "row_id").unionByName(D.faq_documents(spark))
-    index = D.hashed_vectors(docs, "doc_id", "text", keep=["meta"])
+    """Benchmark texts as queries against the chunked, enriched venue and FAQ corpus.
+
+    The index is built from the venues, then brought up to date with the FAQ, so the venues are not vectorised again.
+    """
+    folder = scratch_path(spark, "index")
+    delete_on_exit(spark, folder)
+    venues = materialize(venue_corpus(spark, sf), "corpus")
+    I.update_index(venues, folder)
+    I.update_index(venues.unionByName(D.faq_documents(spark)), folder)
+    index = I.read_index(spark, folder)
     queries = D.hashed_vectors(table(spark, sf, "benchmark"), "item_id", "text")
-    hits = Q.search(index.withColumn("_meta", F.to_json("meta")), queries, 8, None, "doc_id", "item_id", payload=["_meta"])
+    hits = Q.search(index.withColumn("_meta", F.to_json("meta")), queries, 8, None, "chunk_id", "item_id", payload=["_meta"])
     typed = hits.withColumn("meta", F.from_json("_meta", index.schema["meta"].dataType))
     return Q.source_listing(typed)
 

@@ -205,7 +205,7 @@ def t4(spark, sf):
     return found.select(*KEY, F.array_join("dish_keywords_list", ", ").alias("dish_keywords"))
 
 
-_PROFILE_CTES = f"""{REVIEW_CTES}, {sentiment_ctes('reviews', 'review_id', 'text')},
+PROFILE_CTES = f"""{REVIEW_CTES}, {sentiment_ctes('reviews', 'review_id', 'text')},
  rolled AS ({_ROLLUP.format(source='reviews', key='review_id')}), profile AS (SELECT {_ROLLUP_COLUMNS} FROM rolled),
  {budget_ctes('reviews', clean_text_sql('text'))},
  venue_text AS (SELECT p.name, p.location, coalesce(clean_review, '') AS clean_review FROM profile p LEFT JOIN texts t ON p.name = t.name
@@ -221,19 +221,19 @@ _PROFILE_CTES = f"""{REVIEW_CTES}, {sentiment_ctes('reviews', 'review_id', 'text
  LEFT JOIN kw ON kw.vk = v.vk LEFT JOIN kw_text ON kw_text.vk = v.vk LEFT JOIN dishes d ON d.name = p.name AND d.location = p.location)"""
 
 
-@query("t5_merged_keywords", CLEAN + f", {_PROFILE_CTES} SELECT name, location, keywords, review_keywords, dish_keywords, keywords_dish_enriched FROM full_profile")
+@query("t5_merged_keywords", CLEAN + f", {PROFILE_CTES} SELECT name, location, keywords, review_keywords, dish_keywords, keywords_dish_enriched FROM full_profile")
 def t5(spark, sf):
     return venue_profiles(clean(spark, sf)).select(
         *KEY, "keywords", "review_keywords", "dish_keywords", "keywords_dish_enriched"
     )
 
 
-_ENRICHED = """enriched AS (SELECT c.row_id, c.rate, p.* EXCLUDE (name, location), c.name, c.location,
+ENRICHED = """enriched AS (SELECT c.row_id, c.rate, p.* EXCLUDE (name, location), c.name, c.location,
  CASE WHEN p.name IS NULL THEN 'none' WHEN len(texts) > 0 THEN 'direct' ELSE 'inherited' END AS nlp_source
  FROM clean c JOIN review_lists l ON l.row_id = c.row_id LEFT JOIN full_profile p ON p.name = c.name AND p.location = c.location)"""
 
 
-@query("t7_enrich", CLEAN + f", {_PROFILE_CTES}, {_ENRICHED} SELECT * FROM enriched")
+@query("t7_enrich", CLEAN + f", {PROFILE_CTES}, {ENRICHED} SELECT * FROM enriched")
 def t7(spark, sf):
     rows = clean(spark, sf).select("row_id", "rate", "name", "location", "reviews_text", "tags_text")
     return rounded(enrich(rows).drop("reviews_text", "tags_text"), *_MEANS)
