@@ -243,10 +243,18 @@ def test_hashed_vectors(spark):
 
 def test_sentiment_rules(spark):
     data = ["good", "not good", "very good", "very bad", "good!!", "", "nothing here"]
+    data += [  # capitals, contrast, question marks, idioms
+        "GOOD place", "GOOD", "it was VERY good", "a SLIGHTLY bad one", "good food but bad service", "but good", "Good??", "good????? Why", "good?",
+        "the kiss of death", "truly the bomb", "a broken heart is bad", "It isn't GOOD but to die for!", "NOT good",
+    ]
     df = spark.createDataFrame(list(enumerate(data)), "id int, t string")
     got = {r["id"]: r["sentiment_compound"] for r in sentiment.score_reviews(df, "id", "t").collect()}
     norm = lambda s: round(s / math.sqrt(s * s + 15), 4)
     sums = [1.9, 1.9 * -0.74, 1.9 + 0.293, -2.5 - 0.293, 1.9 + 2 * 0.292, 0.0, 0.0]
+    sums += [
+        1.9 + 0.733, 1.9, 1.9 + 0.293 + 0.733, -2.5 + 0.293 + 0.733, 1.9 * 0.5 - 2.5 * 1.5, 1.9 * 1.5, 1.9 + 0.36, 1.9 + 0.96, 1.9,
+        -1.5, 3.0, -2.9 - 2.5, (1.9 + 0.733) * -0.74 * 0.5 + 3.0 * 1.5 + 0.292, 1.9 * -0.74,
+    ]
     assert [got[i] for i in range(len(data))] == pytest.approx([norm(s) for s in sums])
 
 
@@ -380,3 +388,12 @@ def test_index_vectorises_only_what_changed(spark, tmp_path):
     update_index(docs(changed), str(tmp_path / "fresh"))
     assert got == sorted(map(key, read_index(spark, str(tmp_path / "fresh")).collect()))
     assert {r[0].split("#")[0] for r in got} == {"d0", "d1", "z", *[f"d{i}" for i in range(3, 20)]}
+
+
+def test_lemmas_by_table_and_rule(spark):
+    from venuekit.functions import text
+
+    words = ["women", "knives", "movies", "berries", "dishes", "glasses", "menus", "boss", "always", "firemen", "species"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = [r[0] for r in df.select(text.singular(F.col("w"))).collect()]
+    assert got == ["woman", "knife", "movie", "berry", "dish", "glass", "menus", "boss", "always", "fireman", "species"]

@@ -92,7 +92,8 @@ some such no nor not only own same so than too very s t can will just don should
 aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn
 """.split()
 
-# A small hand-made valence lexicon on the scale -4..4; callers may bring a larger table.
+# Valences of common words on the scale -4..4, from the published lexicon of Hutto & Gilbert (2014); callers
+# may bring the whole table.
 VALENCE = {
     "amazing": 2.8, "awesome": 3.1, "awful": -2.0, "bad": -2.5, "beautiful": 2.9, "best": 3.2, "better": 1.9,
     "bitter": -1.8, "bland": -1.4, "boring": -1.3, "brilliant": 2.8, "burnt": -1.4, "charming": 2.8,
@@ -122,6 +123,27 @@ BOOSTERS_DOWN = ["almost", "barely", "hardly", "kinda", "marginally", "partly",
 NEGATION_FACTOR = -0.74
 BOOST_STEP = 0.293
 BOOST_DAMPING = [1.0, 0.95, 0.9]
+# Fixed values of the same paper: idioms count as a whole; words before a contrast count less, those after it more;
+# capitals stress a word where others are in small letters; repeated question marks strengthen.
+IDIOMS = {
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "yeah right": -2.0, "kiss of death": -1.5, "to die for": 3.0,
+    "beating heart": 3.1, "broken heart": -2.9,
+}
+CONTRAST, CONTRAST_BEFORE, CONTRAST_AFTER = "but", 0.5, 1.5
+CAPITALS_STEP = 0.733
+QUESTION_STEP, QUESTIONS_MANY = 0.18, 0.96
 EXCLAMATION_STEP = 0.292
 MAX_EXCLAMATIONS = 4
 NORMALIZER = 15.0
+
+# Irregular nouns and what the ending rules would spoil; other plurals follow the rules.
+LEMMA_EXCEPTIONS = {
+    "men": "man", "women": "woman", "children": "child", "feet": "foot", "teeth": "tooth", "mice": "mouse", "geese": "goose",
+    "oxen": "ox", "knives": "knife", "lives": "life", "wives": "wife", "leaves": "leaf", "loaves": "loaf", "halves": "half",
+    "shelves": "shelf", "calves": "calf", "wolves": "wolf", "thieves": "thief", "selves": "self", "potatoes": "potato",
+    "tomatoes": "tomato", "mangoes": "mango", "mosquitoes": "mosquito", "heroes": "hero", "echoes": "echo", "pies": "pie",
+    "ties": "tie", "movies": "movie", "cookies": "cookie", "smoothies": "smoothie", "veggies": "veggie", "brownies": "brownie",
+    "species": "species", "series": "series", "news": "news", "asparagus": "asparagus", "molasses": "molasses",
+    "analyses": "analysis", "crises": "crisis", "bases": "basis", "criteria": "criterion", "phenomena": "phenomenon",
+    "gas": "gas", "lens": "lens", "always": "always", "perhaps": "perhaps", "previous": "previous",
+}

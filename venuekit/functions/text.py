@@ -12,7 +12,7 @@ from venuekit.functions.scalars import _col, let, strip
 # Fixed patterns.
 _URL = r"http\S+|www\S+"
 _WORD = r"[\p{L}\p{N}_]{2,}"
-_SENTIMENT_WORD = r"[a-z]+"
+_SENTIMENT_WORD = r"[A-Za-z]+"
 
 
 def words(c: Column | str) -> Column:
@@ -25,10 +25,12 @@ def word_count(c: Column | str) -> Column:
 
 
 def singular(c: Column) -> Column:
-    """Noun ending rules of the public WordNet morphology, with guards instead of a dictionary."""
+    """Lemma of a noun: the table of exceptions first, then the ending rules of the public WordNet morphology."""
     n = F.length(c)
+    table = F.create_map(*[F.lit(v) for pair in K.LEMMA_EXCEPTIONS.items() for v in pair])
     return (
-        F.when(c.rlike("(ss|us|is)$") | (n <= 3), c)
+        F.when(c.isin(*K.LEMMA_EXCEPTIONS), F.element_at(table, c))
+        .when(c.rlike("(ss|us|is)$") | (n <= 3), c)
         .when(c.rlike("ies$") & (n > 4), F.concat(F.substr(c, F.lit(1), n - 3), F.lit("y")))
         .when(c.rlike("(ss|x|z|ch|sh)es$"), F.substr(c, F.lit(1), n - 2))
         .when(c.rlike("men$") & (n > 4), F.concat(F.substr(c, F.lit(1), n - 3), F.lit("man")))
@@ -67,8 +69,15 @@ def with_bigrams(tokens: Column) -> Column:
 
 
 def sentiment_tokens(c: Column | str) -> Column:
-    """Lower-case letter runs; apostrophes vanish so that ``isn't`` reads ``isnt``."""
-    return F.regexp_extract_all(F.replace(F.lower(_col(c)), F.lit("'"), F.lit("")), F.lit(_SENTIMENT_WORD), F.lit(0))
+    """Letter runs as written; apostrophes vanish so that ``isn't`` reads ``isnt``."""
+    return F.regexp_extract_all(F.replace(_col(c), F.lit("'"), F.lit("")), F.lit(_SENTIMENT_WORD), F.lit(0))
+
+
+def questions(c: Column | str) -> Column:
+    """Strength of repeated question marks."""
+    c = _col(c)
+    n = F.length(c) - F.length(F.replace(c, F.lit("?"), F.lit("")))
+    return F.when(n > 3, K.QUESTIONS_MANY).when(n > 1, n * F.lit(K.QUESTION_STEP)).otherwise(0.0)
 
 
 def exclamations(c: Column | str) -> Column:

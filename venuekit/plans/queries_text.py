@@ -20,7 +20,9 @@ def _quoted(words) -> str:
 
 # --- cleaning ------------------------------------------------------------------------------
 
-_SINGULAR = """CASE WHEN regexp_matches(t, '(ss|us|is)$') OR length(t) <= 3 THEN t
+_EXCEPTIONS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in K.LEMMA_EXCEPTIONS.items()) + "}"
+_SINGULAR = f"""CASE WHEN t IN ({_quoted(K.LEMMA_EXCEPTIONS)}) THEN {_EXCEPTIONS}[t]
+ WHEN regexp_matches(t, '(ss|us|is)$') OR length(t) <= 3 THEN t
  WHEN regexp_matches(t, 'ies$') AND length(t) > 4 THEN concat(substr(t, 1, length(t) - 3), 'y')
  WHEN regexp_matches(t, '(ss|x|z|ch|sh)es$') THEN substr(t, 1, length(t) - 2)
  WHEN regexp_matches(t, 'men$') AND length(t) > 4 THEN concat(substr(t, 1, length(t) - 3), 'man')
@@ -63,25 +65,39 @@ def c20(spark, sf):
 _LEXICON = "lexicon AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}', {v}::DOUBLE)" for w, v in K.VALENCE.items()) + ") AS l(word, valence))"
 
 
-def _boost(word: str, damp: float) -> str:
-    step = K.BOOST_STEP * damp
-    return (
-        f"CASE WHEN {word} IN ({_quoted(K.BOOSTERS_UP)}) THEN {step}::DOUBLE WHEN {word} IN ({_quoted(K.BOOSTERS_DOWN)}) "
-        f"THEN -{step}::DOUBLE ELSE 0 END"
-    )
+_IDIOMS = "idioms AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{p.split()[-1]}', {len(p.split())}, {v}::DOUBLE)" for p, v in K.IDIOMS.items()) + ") AS i(phrase, last, n, v))"
+
+
+def _stress(d: int) -> str:
+    return f"CASE WHEN c{d} THEN {K.CAPITALS_STEP}::DOUBLE ELSE 0 END"
+
+
+def _boost(d: int, damp: float) -> str:
+    step = f"(({K.BOOST_STEP}::DOUBLE + {_stress(d)}) * {damp}::DOUBLE)"
+    return f"CASE WHEN p{d} IN ({_quoted(K.BOOSTERS_UP)}) THEN {step} WHEN p{d} IN ({_quoted(K.BOOSTERS_DOWN)}) THEN -{step} ELSE 0 END"
 
 
 def sentiment_ctes(source: str, key: str, text: str) -> str:
     negated = " OR ".join(f"coalesce(p{d} IN ({_quoted(K.NEGATIONS)}), false)" for d in (1, 2, 3))
-    boost = " + ".join(_boost(f"p{d}", damp) for d, damp in zip((1, 2, 3), K.BOOST_DAMPING))
-    return f"""{_LEXICON}, toks AS (SELECT {key} AS k, least(length({text}) - length(replace({text}, '!', '')), {K.MAX_EXCLAMATIONS}) AS marks,
- regexp_extract_all(replace(lower({text}), '''', ''), '[a-z]+') AS t FROM {source}),
- pos AS (SELECT k, marks, t[i] AS word, t[i - 1] AS p1, CASE WHEN i > 2 THEN t[i - 2] END AS p2, CASE WHEN i > 3 THEN t[i - 3] END AS p3
- FROM (SELECT *, unnest(CASE WHEN len(t) = 0 THEN [0] ELSE range(1, len(t) + 1) END) AS i FROM toks) AS u),
- hits AS (SELECT k, marks, valence, CASE WHEN {negated} THEN {K.NEGATION_FACTOR}::DOUBLE ELSE 1 END *
- (valence + sign(valence) * ({boost})) AS s FROM pos LEFT JOIN lexicon USING (word)),
- totals AS (SELECT k, count(valence) AS n_hits, sum(coalesce(s, 0)) + sign(round(sum(coalesce(s, 0)), 9)) * marks * {K.EXCLAMATION_STEP}::DOUBLE
- AS total FROM hits GROUP BY k, marks),
+    boost = " + ".join(_boost(d, damp) for d, damp in zip((1, 2, 3), K.BOOST_DAMPING))
+    asked = f"(length({text}) - length(replace({text}, '?', '')))"
+    shout = "(length({t}) > 1 AND {t} = upper({t}))"
+    before = ", ".join(f"CASE WHEN i > {d} THEN l[i - {d}] END AS p{d}" for d in (1, 2, 3))
+    stress = ", ".join(f"CASE WHEN i > {d} THEN mixed AND {shout.format(t=f't[i - {d}]')} ELSE false END AS c{d}" for d in (0, 1, 2, 3))
+    return f"""{_LEXICON}, {_IDIOMS}, toks AS (SELECT {key} AS k, least(length({text}) - length(replace({text}, '!', '')), {K.MAX_EXCLAMATIONS}) * {K.EXCLAMATION_STEP}::DOUBLE
+ + CASE WHEN {asked} > 3 THEN {K.QUESTIONS_MANY}::DOUBLE WHEN {asked} > 1 THEN {asked} * {K.QUESTION_STEP}::DOUBLE ELSE 0 END AS marks,
+ regexp_extract_all(replace({text}, chr(39), ''), '[A-Za-z]+') AS t FROM {source}),
+ cased AS (SELECT *, list_transform(t, lambda x: lower(x)) AS l, len(list_filter(t, lambda x: {shout.format(t='x')})) AS shouted FROM toks),
+ pos AS (SELECT k, marks, i, l, l[i] AS word, {before}, {stress},
+ CASE WHEN but = 0 OR i = but THEN 1.0 WHEN i < but THEN {K.CONTRAST_BEFORE} ELSE {K.CONTRAST_AFTER} END::DOUBLE AS side
+ FROM (SELECT *, coalesce(list_position(l, '{K.CONTRAST}'), 0) AS but, shouted > 0 AND shouted < len(t) AS mixed,
+ unnest(CASE WHEN len(t) = 0 THEN [0] ELSE range(1, len(t) + 1) END) AS i FROM cased) AS u),
+ ends AS (SELECT k, i, max(n) AS n, arg_max(v, n) AS v FROM pos JOIN idioms ON word = last AND i >= n AND array_to_string(l[i - n + 1 : i], ' ') = phrase GROUP BY k, i),
+ inside AS (SELECT DISTINCT k, unnest(range(i - n + 1, i + 1)) AS i, true AS inside FROM ends),
+ hits AS (SELECT pos.k, marks, side * CASE WHEN ends.v IS NOT NULL THEN ends.v WHEN inside IS NULL THEN
+ CASE WHEN {negated} THEN {K.NEGATION_FACTOR}::DOUBLE ELSE 1 END * (valence + sign(valence) * ({boost} + {_stress(0)})) END AS s
+ FROM pos LEFT JOIN lexicon USING (word) LEFT JOIN ends ON ends.k = pos.k AND ends.i = pos.i LEFT JOIN inside ON inside.k = pos.k AND inside.i = pos.i),
+ totals AS (SELECT k, count(s) AS n_hits, sum(coalesce(s, 0)) + sign(round(sum(coalesce(s, 0)), 9)) * marks AS total FROM hits GROUP BY k, marks),
  scored AS (SELECT k, n_hits, compound, CASE WHEN compound >= {K.SENTIMENT_CUT} THEN 'Positive' WHEN compound <= -{K.SENTIMENT_CUT}
  THEN 'Negative' ELSE 'Neutral' END AS label FROM (SELECT k, n_hits, round(total / sqrt(total * total + {K.NORMALIZER}), 4) AS compound FROM totals) AS z)"""
 
