@@ -10,7 +10,7 @@ from venuekit.llm.common import replace_columns
 from venuekit.operators.ranking import ranked
 from venuekit.session import materialize
 
-PERCENT, SHINGLE = 80, 5
+PERCENT, SHINGLE = 80, 1  # a token is a run of so many words
 RARITY_BITS, BLOOM_BITS = 20, 24
 _OTHER_SPACE = r"[\x09-\x0D]"
 
@@ -140,8 +140,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    size: int = SHINGLE) -> DataFrame:
     """``doc_id, dk, gone``: per document the numbers of the lines that repeat an earlier one.
 
-    A line repeats an earlier line if their sets of runs of ``size`` lower-case words have a Jaccard
-    similarity of at least ``percent`` / 100. Lines stand in the order of id (nulls first), text hash and
+    A line repeats an earlier line if their sets of tokens (lower-case words, or runs of ``size`` of them) have a
+    Jaccard similarity of at least ``percent`` / 100. Lines stand in the order of id (nulls first), text hash and
     line number; lines with fewer than ``size`` words neither repeat nor are repeated.
 
     Lines with equal words are one class and only a class's first line is joined. Every first line

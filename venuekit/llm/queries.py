@@ -102,7 +102,7 @@ def op4(spark, sf_dir):
 LINES_SQL = r"""l AS (SELECT doc_id, i - 1 AS line_no, lines[i] AS line, list_filter(regexp_split_to_array(lower(lines[i]), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM docs) AS s) AS u),
  s AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS o, doc_id, line_no,
-  list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) AS w FROM l),
+  list_sort(list_distinct(w)) AS w FROM l),
  f AS (SELECT w, min(o) AS o, len(w) AS n FROM s WHERE len(w) >= 1 GROUP BY w),
  t AS (SELECT o, n, unnest(w) AS token FROM f),
  k AS (SELECT t.*, df FROM t JOIN (SELECT token, count(*) AS df FROM t GROUP BY token) AS c USING (token)),
