@@ -25,8 +25,13 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, multi_lin
         .option("escape", '"')
         .csv(path)
     )
-    texts = set(columns_of_type(raw, "string"))
-    return raw.select(*[null_tokens(f"`{c}`").alias(c) if c in texts else f"`{c}`" for c in raw.columns])
+    return without_placeholders(raw)
+
+
+def without_placeholders(df: DataFrame) -> DataFrame:
+    """Placeholder spellings of all text columns as NULL."""
+    texts = set(columns_of_type(df, "string"))
+    return df.select(*[null_tokens(f"`{c}`").alias(c) if c in texts else f"`{c}`" for c in df.columns])
 
 
 def jdbc_url(url: str) -> str:
