@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -200,6 +201,78 @@ def test_secrets_by_plain_patterns(spark, empty):
     assert secrets.log_likelihood(hexes[0][::-1], automaton) > secrets.log_likelihood("zebraisnothexadecimalatallnotone", automaton) + 50
 
 
+def _host_pages(n):
+    """Pages of one host without an article element: menu, a lead, one repeated notice beside the text."""
+    menu = "<div class='top'><ul><li>Home</li><li>About us</li></ul></div>"
+    page = "<html><body>{menu}<div class='content'><h1>Title {i}</h1><p>Share this story now.</p>{body}</div><div class='low'>Kept. {i}</div></body></html>"
+    body = lambda i: "".join(f"<p>Paragraph {j} of page {i} tells its own long story.</p>" for j in range(2 + i % 3))
+    return [page.format(menu=menu, i=i, body=body(i)) for i in range(n)], [
+        " ".join([f"Title {i}", *(f"Paragraph {j} of page {i} tells its own long story." for j in range(2 + i % 3))]) for i in range(n)
+    ]
+
+
+def _vectors_by_brute_force(pages):
+    """Occurrence vectors in full: token to the tuple of its counts on every page."""
+    per_page = [{t["token"]: t for t in html_extract.page_tokens(p)} for p in pages]
+    tokens = {}
+    for found in per_page:
+        tokens.update(found)
+    rows = []
+    for k, t in tokens.items():
+        held = [p[k] for p in per_page if k in p]
+        vector = tuple(p[k]["n"] if k in p else 0 for p in per_page)
+        rows.append({**t, "pages": len(held), "vector": vector, "main": sum(h["main"] for h in held), "heading": sum(h["heading"] for h in held)})
+    return rows
+
+
+def test_templates_of_pages_without_article(spark):
+    pages, wanted = _host_pages(6)
+    frame = spark.createDataFrame([(i, f"http://h.x/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_pages(frame).collect()}
+    assert [got[i] for i in range(6)] == wanted
+    # a page by itself cannot tell the repeated line from its text
+    assert all("Share this story now." in html_extract.main_text(p) for p in pages)
+
+
+def test_templates_equal_brute_force(spark):
+    pages, _ = _host_pages(5)
+    others = ["<body><div><p>one</p></div></body>", "<body><div><p>two</p></div><table><tr><td>x</table></body>"]
+    rows = [("http://h.x/%d" % i, p) for i, p in enumerate(pages)] + [("http://o.x/%d" % i, p) for i, p in enumerate(others)] + [(None, None)]
+    found = {r.host: (r.slot, set(r.fixed)) for r in html_extract.deduce_templates(spark.createDataFrame(rows, "url string, html string")).collect()}
+    for host, group in (("h.x", pages), ("o.x", others)):
+        needed = max(2, -(-len(group) // 2))
+        plain = html_extract.deduce([t for t in _vectors_by_brute_force(group) if t["pages"] >= needed], needed)
+        assert found[host] == (plain.slot, set(plain.fixed))
+    assert len(found["h.x"][1]) == 3 and found["o.x"][1] == set()
+
+
+def test_classes_of_one_token_are_no_template():
+    def token(k, up, depth, vector, **more):
+        return {"token": k, "parent": up, "depth": depth, "text": False, "slot": True, "pages": 4, "main": 90, "heading": 0, "vector": vector} | more
+
+    root, body = token(0, 0, 0, (1, 1, 1, 1, 1), pages=5, main=100), token(1, 0, 1, (1, 1, 1, 1, 1), pages=5, main=100)
+    passage, menu = token(2, 1, 2, (1, 1, 1, 1, 0), text=True, slot=False, main=8), token(3, 1, 2, (1, 1, 0, 1, 1), text=True, slot=False, main=4)
+    item = token(4, 1, 2, (1, 1, 0, 1, 1), slot=False, main=4)
+    assert html_extract.deduce([root, body, passage, menu, item], 3) == html_extract.Template(1, frozenset({3}))
+
+
+def test_names_inside_an_article_and_copies(spark):
+    page = ("<body><article class='teaser'><h3>Other</h3></article><article><div class='article-header'><h1>Title</h1></div><p class='share'>Body.</p>"
+            "<section id='related-work'>Work.</section><div class='comments'>first!</div><div class='ad-box'>buy</div><form>x</form></article></body>")
+    frame = spark.createDataFrame([(1, "http://a.b/c", page)] * 4, "page_id long, url string, html string").withColumn("n_chars", F.lit("x"))
+    assert {(r.text, r.n_chars) for r in html_extract.extract_pages(frame).collect()} == {("Title Body. Work.", 17)}
+    copies = spark.createDataFrame([(i, "http://a.b/c", "<div><p>All the same.</p></div>") for i in range(4)], "page_id long, url string, html string")
+    assert {r.text for r in html_extract.extract_pages(copies).collect()} == {"All the same."}
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    started = time.time()
+    assert html_extract.main_text("<div>x" * 10_000) == " ".join(["x"] * 10_000)
+    assert html_extract.main_text("<div><b>x" * 10_000 + "</b></div>" * 10_000) == " ".join(["x"] * 10_000)
+    html_extract.main_text("<a " * 200_000)
+    assert time.time() - started < 30
+
+
 def test_main_text_of_pages(spark):
     page = ("<html><head><title>t</title><style>x</style></head><body><nav><ul><li>menu</ul></nav><div class='cookie notice'>ok</div>"
             "<div id=main><h1>Big &amp; <b>bold</b></h1><p>one\n two<br>three<p>four</div><div class=comments>nice</div><footer>f</footer><scr")

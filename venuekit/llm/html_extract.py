@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -13,11 +16,17 @@ from venuekit.session import materialize
 # Elements without text of their own, elements and names of page furniture, and block elements.
 SILENT = frozenset("script style noscript template head title svg iframe object canvas textarea select option button".split())
 FURNITURE = frozenset("nav footer aside form header menu dialog".split())
-FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|footer|header|menu|nav\w*|newsletter|notices?|"
-    r"pagination|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I
+FURNITURE_STEMS = (
+    r"ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|footer|header|menu|nav\w*|newsletter|notices?|"
+    r"pagination|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget"
+)
+FURNITURE_NAMES = re.compile(rf"(?:^|(?<!article)(?<!post)(?<!entry)(?<!story)[_-]|\s)(?:{FURNITURE_STEMS})(?:$|[\s_-])", re.I)
+FURNITURE_CLASSES = re.compile(
+    rf"(?:^|\s)(?:{FURNITURE_STEMS})(?:[_-](?:{FURNITURE_STEMS}|area|bar|block|box|buttons?|container|form|links?|list|section|slot|thread|unit|wrapper))*(?:$|\s)", re.I
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
+CONTAINERS = frozenset("html body article main section div center table tbody tr td".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -25,36 +34,94 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": BLOCKS - {"br"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
+_CUT_TAG = re.compile(r"<[/!A-Za-z][^<]*$")
 MIN_SUPPORT = 0.5
+MIN_FIXED_PAGES = 3  # a text is part of a template from so many pages on
+
+
+def token_id(parent: int, label: str) -> int:
+    """64-bit id of an element or text by the ids of what encloses it."""
+    source = f"{parent}/{label}".encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(source, digest_size=8).digest(), "big", signed=True)
+
+
+@dataclass
+class Element:
+    """An open element: its id by the path of block elements, and what holds for everything inside it."""
+
+    tag: str
+    token: int
+    parent: int
+    depth: int
+    furniture: bool
+    within: str  # "article" or "main" inside such an element
+    article: int  # which article or main element of the page
+    opens: bool  # it is that element
+    blocks: int  # open block elements up to this one
+
+
+@dataclass
+class Block:
+    text: str
+    at: Element
+    heading: bool
+
 
+@dataclass
+class Template:
+    """What a host's pages share: the element that holds the main text, and texts that are not part of it."""
 
-def page_blocks(source: str) -> list[tuple[str, bool, str]]:
-    """``(path, furniture, text)`` of a page's text blocks in order.
+    slot: int | None = None
+    fixed: frozenset = field(default_factory=frozenset)
 
-    ``path`` names the open elements with their class. ``furniture`` is true inside elements that hold
-    no main text by their kind, role or name. Unclosed elements end where their parent ends.
+
+ROOT = Element("", 0, 0, 0, False, "", 0, False, 0)
+
+
+def _is_furniture(tag: str, attributes: dict[str, str], within: str) -> bool:
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
+        return True
+    if attributes.get("role", "") in FURNITURE_ROLES or (tag in FURNITURE and not (tag == "header" and within)):
+        return True
+    if tag in PROSE:
+        return False
+    pattern = FURNITURE_CLASSES if within else FURNITURE_NAMES
+    return any(pattern.search(attributes.get(k, "")) for k in ("class", "id"))
+
+
+def page_blocks(source: str) -> tuple[list[Block], list[Element]]:
+    """Text blocks and block elements of a page in order, in time linear in the page.
+
+    Furniture is what holds no main text by its kind, role or name; names of prose elements do not
+    count, and inside an article only whole class names do. Unclosed elements end where their parent ends.
     """
-    out: list[tuple[str, bool, str]] = []
-    stack: list[tuple[str, str, bool]] = []
+    out: list[Block] = []
+    opened: list[Element] = []
+    stack: list[Element] = [ROOT]
+    places: dict[str, list[int]] = {}
     parts: list[str] = []
+    articles = 0
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            path = "/".join(label for _, label, _ in stack if label)
-            out.append((path, any(f for _, _, f in stack), text))
+            out.append(Block(text, stack[-1], bool(places.get("h1"))))
+
+    def drop() -> str:
+        tag = stack.pop().tag
+        places[tag].pop()
+        return tag
 
     at = 0
     while at < len(source):
         m = _TOKEN.search(source, at)
         if not m:
-            rest = source[at:]
-            cut = re.search(r"<[/!A-Za-z][^<]*$", rest)  # a tag broken off at the end of the page
-            parts.append(rest[: cut.start()] if cut else rest)
+            cut = _CUT_TAG.search(source, at)  # a tag broken off at the end of the page
+            parts.append(source[at : cut.start()] if cut else source[at:])
             break
         parts.append(source[at : m.start()])
         at = m.end()
@@ -64,10 +131,10 @@ def page_blocks(source: str) -> list[tuple[str, bool, str]]:
         if tag in BLOCKS:
             flush()
         if closing:
-            if any(t == tag for t, _, _ in stack):
-                if tag not in BLOCKS and any(t in BLOCKS for t, _, _ in stack[max(i for i, s in enumerate(stack) if s[0] == tag) + 1 :]):
+            if places.get(tag):
+                if tag not in BLOCKS and stack[-1].blocks > stack[places[tag][-1]].blocks:
                     continue  # an inline element does not close the blocks opened in it
-                while stack.pop()[0] != tag:
+                while drop() != tag:
                     pass
             continue
         if tag in SILENT and not m[3].rstrip().endswith("/"):
@@ -76,25 +143,26 @@ def page_blocks(source: str) -> list[tuple[str, bool, str]]:
             continue
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
-        while stack and tag in CLOSES.get(stack[-1][0], ()):
-            stack.pop()
-        found = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(m[3])}
-        named = f"{found.get('class', '')} {found.get('id', '')}".strip()
-        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        furniture = hidden or found.get("role", "") in FURNITURE_ROLES or bool(FURNITURE_NAMES.search(named))
-        inside = any(t in ("article", "main") for t, _, _ in stack)
-        if tag in FURNITURE and not (tag == "header" and inside):
-            furniture = True
-        label = f"{tag}.{_SPACE.sub('.', found['class'].strip())}" if tag in BLOCKS and found.get("class") else tag if tag in BLOCKS else ""
-        stack.append((tag, label, furniture))
+        while tag in CLOSES.get(stack[-1].tag, ()):
+            drop()
+        up = stack[-1]
+        attributes = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(m[3])}
+        furniture = up.furniture or _is_furniture(tag, attributes, up.within)
+        within, article = up.within, up.article
+        opens = tag == "article" and within != "article" or tag == "main" and not within
+        if opens:
+            articles += 1
+            within, article = tag, articles
+        token, depth, block = up.token, up.depth, tag in BLOCKS
+        if block or tag in CONTAINERS:
+            token, depth = token_id(up.token, ".".join([tag, *attributes.get("class", "").split()])), depth + 1
+        here = Element(tag, token, up.token, depth, furniture, within, article, opens, up.blocks + block)
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(here)
+        if token != up.token:
+            opened.append(here)
     flush()
-    return out
-
-
-def containers(path: str) -> list[str]:
-    """The path itself and those of all elements around it, outermost first."""
-    steps = path.split("/")
-    return ["/".join(steps[: i + 1]) for i in range(len(steps))] if path else []
+    return out, opened
 
 
 def host_of(url: str | None) -> str:
@@ -102,72 +170,151 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _occurrences(urls: pd.Series, pages: pd.Series) -> pd.DataFrame:
-    """Host and, per container, the number of its blocks and characters outside furniture and in all."""
-    rows = []
-    for url, source in zip(urls, pages):
-        seen: dict[str, list[int]] = {}
-        for path, furniture, text in page_blocks(source or ""):
-            for c in containers(path):
-                cell = seen.setdefault(c, [0, 0, 0])
-                cell[0] += 1
-                cell[1] += 0 if furniture else len(text)
-                cell[2] += len(text)
-        rows.append((host_of(url), [{"token": k, "n": v[0], "main": v[1], "chars": v[2]} for k, v in seen.items()]))
-    return pd.DataFrame(rows, columns=["host", "tokens"])
+def page_tokens(source: str) -> list[dict]:
+    """The page's tokens with their counts, and the characters outside furniture that they hold.
+
+    Tokens are the elements outside furniture down to an article or main element, and the texts outside
+    of those. What an article holds is never part of a template, so its inside needs no tokens.
+    """
+    blocks, opened = page_blocks(source)
+    seen = {0: {"token": 0, "parent": 0, "depth": 0, "text": False, "slot": True, "n": 1, "main": 0, "heading": 0}}
+    nearest = {0: 0}  # of an element inside an article, the article
+    order = []
+    for e in opened:
+        if e.furniture:
+            continue
+        nearest.setdefault(e.token, nearest[e.parent] if e.within and not e.opens else e.token)
+        if nearest[e.token] != e.token:
+            continue
+        if e.token not in seen:
+            order.append(e.token)
+            seen[e.token] = {"token": e.token, "parent": e.parent, "depth": e.depth, "text": False, "slot": e.tag in CONTAINERS, "n": 0, "main": 0, "heading": 0}
+        seen[e.token]["n"] += 1
+    for b in blocks:
+        if b.at.furniture:
+            continue
+        home = seen[nearest.get(b.at.token, 0)]
+        home["main"] += len(b.text)
+        home["heading"] += len(b.text) if b.heading else 0
+        if not b.at.within:
+            t = token_id(b.at.token, "text " + b.text)
+            cell = seen.setdefault(t, {"token": t, "parent": b.at.token, "depth": b.at.depth + 1, "text": True, "slot": False, "n": 0, "main": 0, "heading": 0})
+            cell["n"] += 1
+            cell["main"] += len(b.text)
+            cell["heading"] += len(b.text) if b.heading else 0
+    for t in sorted(order, key=lambda t: -seen[t]["depth"]):  # elements hold what their children hold
+        up = seen.get(nearest.get(seen[t]["parent"], 0), seen[0])
+        up["main"] += seen[t]["main"]
+        up["heading"] += seen[t]["heading"]
+    return list(seen.values())
+
+
+def deduce(tokens: list[dict], min_pages: int, fixed_pages: int = MIN_FIXED_PAGES) -> Template:
+    """The template of a host from its tokens: ``token, parent, depth, text, slot, pages, main, heading, vector``.
+
+    Tokens with one occurrence vector are an equivalence class. A class is valid if it spans ``min_pages``
+    pages and has at least two tokens: a text that repeats by itself is a coincidence. Classes nest by the
+    elements that their tokens lie in. Texts of valid classes are fixed. The slot is the innermost container
+    of a valid class that still holds 9 in 10 of the other characters and of the headings (all of them, if one
+    page is all there is to learn from); ties go to the least id.
+    """
+    share = 9 if min_pages > 1 else 10
+    members = Counter(t["vector"] for t in tokens)
+    large = lambda t: members[t["vector"]] > 1
+    valid: dict[int, dict] = {}
+    for t in sorted(tokens, key=lambda t: (t["depth"], t["token"])):
+        if t["pages"] >= min_pages and (not t["token"] or t["parent"] in valid):
+            valid[t["token"]] = t
+    fixed = {k for k, t in valid.items() if t["text"] and large(t) and t["pages"] >= fixed_pages}
+    free = {k: [t["main"], t["heading"]] for k, t in valid.items() if not t["text"]}
+    lost = {k: [0, 0] for k in free}
+    for t in sorted(valid.values(), key=lambda t: -t["depth"]):
+        k, out = t["token"], [t["main"], t["heading"]] if t["token"] in fixed else lost.get(t["token"], [0, 0])
+        if k:
+            lost[t["parent"]][0] += out[0]
+            lost[t["parent"]][1] += out[1]
+    if free and free[0][0] > lost[0][0]:
+        free = {k: [v[0] - lost[k][0], v[1] - lost[k][1]] for k, v in free.items()}
+    else:
+        fixed = set()  # pages that are all alike have no text of their own besides
+    slots = [t for k, t in valid.items() if t["slot"] and k and large(t) and free[k][0] > 0 and all(10 * x >= share * y for x, y in zip(free[k], free[0]))]
+    best = min(slots, key=lambda t: (-t["depth"], t["token"]), default=None)
+    return Template(best["token"] if best else None, frozenset(fixed))
 
 
 def deduce_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_support: float = MIN_SUPPORT) -> DataFrame:
-    """``host, slot``: the container of each host's template that holds its main text.
+    """``host, slot, fixed``: what the pages of each host share, see ``deduce``.
 
-    A token is an element's path. Tokens of a host with one occurrence vector over its pages, here a
-    128-bit combination of (page, presence) that sums up on the map side, are one equivalence class.
-    A class is valid if it spans at least ``min_support`` of the host's pages; valid classes nest by
-    their paths. The slot is the innermost container that still holds at least 9 in 10 of the main
-    characters of the pages, so what lies beside it on the page is template, not text.
+    An occurrence vector is the sum of 128-bit hashes of (page, count), so vectors add up on the map
+    side. Only tokens on ``min_support`` of a host's pages, and on two where it has two, go on to the
+    deduction: at most ``1 / min_support`` times as many as an average page has, however many pages.
     """
-    scan = F.pandas_udf(_occurrences, "host string, tokens array<struct<token:string,n:int,main:int,chars:int>>")
-    page = F.md5(F.concat_ws("|", F.coalesce(url_col, F.lit("")), F.coalesce(html_col, F.lit(""))).cast("binary"))
-    scanned = pages.select(page.alias("page"), scan(F.col(url_col), F.col(html_col)).alias("s")).select("page", "s.host", "s.tokens")
-    rows = scanned.select("page", "host", F.size("tokens").alias("k"), F.explode_outer("tokens").alias("t"))
-    stats = rows.groupBy("host", F.coalesce("t.token", F.lit("")).alias("token")).agg(
-        F.count("*").alias("pages"), F.sum("t.main").cast("long").alias("main"), F.bit_xor(F.xxhash64("page")).alias("v1"),
-        F.bit_xor(F.xxhash64(F.lit(1), "page")).alias("v2"),
-    )
-    table = materialize(stats, "page-tokens")
-    roots = table.groupBy("host").agg(F.max("pages").alias("all_pages"), F.max("main").alias("all_main"))
-    classes = table.groupBy("host", "v1", "v2").agg(F.max("pages").alias("support"), F.max("main").alias("most"), F.max_by("token", F.length("token")).alias("deepest"))
-    valid = table.join(classes, ["host", "v1", "v2"]).join(roots, "host").filter(
-        (F.col("support") >= min_support * F.col("all_pages")) & (F.col("main") * 10 >= F.col("all_main") * 9) & (F.col("main") > 0)
+    token = "token:bigint,parent:bigint,depth:int,text:boolean,slot:boolean,n:int,main:bigint,heading:bigint"
+    scan = F.pandas_udf(
+        lambda urls, sources: pd.DataFrame({"host": urls.map(host_of), "tokens": [page_tokens(s or "") for s in sources]}), f"host string, tokens array<struct<{token}>>"
     )
-    depth = F.size(F.split("token", "/"))
-    return valid.groupBy("host").agg(F.max_by("token", F.struct(depth, "token")).alias("slot"))
+    page = F.md5(F.concat_ws("|", F.coalesce(url_col, F.lit("")), F.coalesce(html_col, F.lit(""))).cast("binary"))
+    scanned = pages.select(page.alias("page"), scan(F.col(url_col), F.col(html_col)).alias("s")).select("page", "s.host", F.explode("s.tokens").alias("t"))
+    low, halves = F.lit(0xFFFFFFFF), []
+    for salt in (0, 1):
+        h = F.xxhash64(F.lit(salt), "page", "t.n")
+        halves += [F.sum(h.bitwiseAND(low)).alias(f"v{2 * salt}"), F.sum(F.shiftrightunsigned(h, 32)).alias(f"v{2 * salt + 1}")]
+    same = [F.first(f"t.{c}").alias(c) for c in ("parent", "depth", "text", "slot")]
+    sums = [F.sum(f"t.{c}").alias(c) for c in ("main", "heading")]
+    stats = materialize(scanned.groupBy("host", "t.token").agg(F.count("*").alias("pages"), *same, *sums, *halves), "page-tokens")
+    sizes = stats.filter("token = 0").select("host", F.col("pages").alias("of"))
+    needed = F.greatest(F.least(F.lit(2), "of"), F.ceil(F.col("of") * min_support)).cast("long")
+    shared = stats.join(sizes, "host").withColumn("needed", needed).filter("pages >= needed")
+
+    def nest(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.to_dict("records")
+        for r in rows:
+            r["vector"] = (r["v0"], r["v1"], r["v2"], r["v3"])
+        found = deduce(rows, rows[0]["needed"])
+        return pd.DataFrame({"host": [rows[0]["host"]], "slot": pd.array([found.slot], dtype="Int64"), "fixed": [sorted(found.fixed)]})
+
+    return shared.groupBy("host").applyInPandas(nest, "host string, slot long, fixed array<long>")
 
 
-def main_text(source: str, slot: str | None = None) -> str:
-    """Blocks of a page outside furniture and inside its main element, else inside the template's slot."""
-    blocks = [(p, t) for p, furniture, t in page_blocks(source) if not furniture]
-    steps = [p.split("/") for p, _ in blocks]
+def main_text(source: str, template: Template | None = None) -> str:
+    """Blocks of a page inside its template's slot, without fixed texts and furniture.
+
+    A page that lacks the slot, or has no template, is its own. An article inside the slot, or else a
+    main element, is the text; of several, those with a heading of the first level, if any.
+    """
+    template = template or deduce([{**t, "pages": 1, "vector": t["n"]} for t in page_tokens(source)], 1)
+    blocks, opened = page_blocks(source)
+    inside = {template.slot}
+    inside.update(e.token for e in opened if e.parent in inside or e.token in inside)
+    kept = [b for b in blocks if not b.at.furniture and (b.at.within or token_id(b.at.token, "text " + b.text) not in template.fixed)]
+    held = [b for b in kept if b.at.token in inside] or kept
     for kind in ("article", "main"):
-        inside = [t for s, (_, t) in zip(steps, blocks) if any(x.split(".")[0] == kind for x in s)]
-        if inside:
-            return " ".join(inside)
-    within = [t for p, t in blocks if slot and (p == slot or p.startswith(slot + "/"))]
-    return " ".join(within or [t for _, t in blocks])
+        of_kind = [b for b in held if b.at.within == kind]
+        if of_kind:
+            headed = {b.at.article for b in of_kind if b.heading}
+            return " ".join(b.text for b in of_kind if not headed or b.at.article in headed)
+    return " ".join(b.text for b in held)
 
 
 def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Every page with ``text``, its main text, and ``n_chars``; columns of those names are replaced.
 
     A null or empty page has an empty text. Pages without a host share the host ''. Repeated pages get
-    equal texts; they count once more in their host's template but cannot change its shape. A host of
-    one page is its own template. Broken markup ends where the page ends. An empty table gives no rows.
+    equal texts and count as often as they occur in their host's template. A host of one page is its own
+    template. Ties between slots go to the least id. Broken markup ends where the page ends. Time and
+    memory are linear in a page, however deep it is. An empty table gives no rows.
     """
     templates = deduce_templates(pages, url_col, html_col)
-    slots = materialize(templates, "templates").withColumnRenamed("host", "_host")
+    slots = materialize(templates, "templates").withColumnsRenamed({"host": "_host", "slot": "_slot", "fixed": "_fixed"})
     hosts = F.pandas_udf(lambda urls: urls.map(host_of), "string")
-    extract = F.pandas_udf(lambda sources, slots: pd.Series([main_text(s or "", t) for s, t in zip(sources, slots)], dtype=object), "string")
-    base = pages.select(*[c for c in pages.columns if c.lower() not in ("text", "n_chars")])
+
+    def texts_of(sources, slots, fixed):
+        found = [main_text(s or "", Template(int(t) if t else None, frozenset(f))) for s, t, f in zip(sources, slots, fixed)]
+        return pd.Series(found, dtype=object)
+
+    extract = F.pandas_udf(texts_of, "string")
+    base = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("text", "n_chars", "_at", "_host", "_slot", "_fixed")])
+    # ids travel as text: a column with nulls would reach pandas as floats
     placed = base.withColumn("_at", hosts(F.col(url_col))).join(slots, F.col("_at") == F.col("_host"), "left")
-    texts = placed.withColumn("text", extract(F.col(html_col), F.col("slot")))
-    return texts.withColumn("n_chars", F.char_length("text").cast("long")).drop("_at", "_host", "slot")
+    texts = placed.withColumn("text", extract(F.col(html_col), F.col("_slot").cast("string"), F.col("_fixed")))
+    return texts.withColumn("n_chars", F.char_length("text").cast("long")).drop("_at", "_host", "_slot", "_fixed")
