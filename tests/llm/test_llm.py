@@ -287,9 +287,11 @@ def test_languages_held_out(spark, sf_dir):
     got = QUERIES["op8_language_id"](spark, sf_dir).collect()
     held = [r.lang_pred == truth[r.doc_id] for r in got if r.held_out]
     assert np.mean(held) > 0.95 and all(0 <= r.score <= 1 for r in got)
-    odd = spark.createDataFrame([(1, None, "en"), (2, "12 !!", "en"), (3, "the cat", "en")], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, None, "en"), (2, "12 !!", "en"), (3, "the cat", "en"), (3, "the cat", "en"), (4, "½ ² Ⅷ", "en")], "doc_id long, text string, lang string")
+    odd = odd.withColumn("score", F.lit("x"))
     found = {r.doc_id: r.lang_pred for r in language_id.identify_languages(odd, F.lit(True)).collect()}
-    assert found == {1: "und", 2: "und", 3: "en"}
+    assert found == {1: "und", 2: "und", 3: "en", 4: "und"}
+    assert language_id.identify_languages(odd.limit(0), F.lit(True)).count() == 0
 
 
 def test_marginals_equal_enumeration():
@@ -304,6 +306,17 @@ def test_marginals_equal_enumeration():
     assert np.allclose(got[0], want / want.sum(1, keepdims=True))
 
 
+def test_shares_of_pieces_equal_whole_chains():
+    rng = np.random.default_rng(2)
+    lengths = np.array([1, 31, 32, 33, 64, 200, 2, 97])
+    scores, start, move = rng.normal(size=(lengths.sum(), 3)) * 3, rng.normal(size=3), rng.normal(size=(3, 3)) * 2
+    got, at = language_id.label_shares(scores, lengths, start, move), 0
+    for share, n in zip(got, lengths):
+        want, _ = language_id.forward_backward(scores[None, at : at + n], np.array([n]), start, move)
+        assert np.allclose(share, want[0].mean(0))
+        at += n
+
+
 def test_toxic_documents_are_found(spark, sf_dir, docs, empty):
     truth = dict(spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic is not null").select("doc_id", "toxic").collect())
     got = {r.doc_id: r.toxic for r in QUERIES["op10_toxicity"](spark, sf_dir).collect()}

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,28 +15,41 @@ from pyspark.sql import DataFrame, functions as F
 from venuekit.llm.common import replace_columns
 
 MAX_DOCUMENTS = 600  # labelled documents, the first in hash order, whole texts
-FEATURE_BITS, LEXICON_WORDS = 18, 200
+FEATURE_BITS = 18
+PIECE, BLOCK_WORDS = 32, 200_000  # words of a piece of a chain, and of the texts labelled at once
+TRAIN_PIECE = 64
 STEPS, RATE, PENALTY = 20, 0.3, 1e-6
 CACHE_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
+    """Runs of word characters with a letter; fractions, raised digits and number signs alone are none."""
+    return [w for w in _WORD.findall(text.lower()) if _has_letter(w)]
+
+
+def _has_letter(word: str) -> bool:
+    return word.isalpha() or any(c.isalpha() for c in word)
 
 
 def word_features(word: str, lexicons: dict[str, frozenset]) -> list[int]:
     """Hashed affixes, character n-grams and lexicon memberships of a word."""
     marked = f"<{word}>"
-    names = [f"w{word}", f"s{len(word)}"]
-    names += [f"p{word[:k]}" for k in (1, 2, 3)] + [f"e{word[-k:]}" for k in (1, 2, 3)]
-    names += {marked[i : i + k] for k in (2, 3) for i in range(len(marked) - k + 1)}
-    names += [f"l{lang}" for lang, known in lexicons.items() if word in known]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) >> (32 - FEATURE_BITS) for n in names]
+    names = ["p" + word[:1], "p" + word[:2], "p" + word[:3], "e" + word[-1:], "e" + word[-2:], "e" + word[-3:], f"s{len(word)}"]
+    names += {marked[i : i + 2] for i in range(len(marked) - 1)}
+    names += {marked[i : i + 3] for i in range(len(marked) - 2)}
+    names += ["l" + lang for lang, known in lexicons.items() if word in known]
+    return [zlib.crc32(b"w" + word.encode("utf-8", "surrogatepass")) >> (32 - FEATURE_BITS), *map(_slot, names)]
+
+
+@lru_cache(maxsize=2**18)
+def _slot(name: str) -> int:
+    """Hash of a short feature; affixes and n-grams repeat from word to word."""
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) >> (32 - FEATURE_BITS)
 
 
 def learn_lexicons(texts: list[list[str]], labels: list[str]) -> dict[str, frozenset]:
-    """The words of each language that are most frequent and at least twice as frequent as elsewhere."""
+    """The words that a language shows twice or more, and more than twice as often as any other language."""
     counts: dict[str, Counter] = {}
     for words, label in zip(texts, labels):
         counts.setdefault(label, Counter()).update(words)
@@ -43,7 +57,7 @@ def learn_lexicons(texts: list[list[str]], labels: list[str]) -> dict[str, froze
     out = {}
     for lang, c in counts.items():
         other = lambda w, lang=lang: max((k[w] / totals[o] for o, k in counts.items() if o != lang), default=0)
-        out[lang] = frozenset([w for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0])) if n / totals[lang] > 2 * other(w)][:LEXICON_WORDS])
+        out[lang] = frozenset(w for w, n in c.items() if n > 1 and n / totals[lang] > 2 * other(w))
     return out
 
 
@@ -83,12 +97,14 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray,
 def train(texts: list[list[str]], labels: list[str], languages: list[str], steps: int = STEPS) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
     """Lexicons, feature weights, start and move weights, by gradient ascent on the conditional likelihood.
 
-    Sequences of one language are joined in pairs, so the chain sees moves between languages too.
+    Long sequences are fitted in pieces, so that blocks stay small. Neighbours are joined in pairs, so the
+    chain sees moves between languages too.
     """
     lexicons = learn_lexicons(texts, labels)
     k = len(languages)
-    sequences = [(w, [languages.index(label)] * len(w)) for w, label in zip(texts, labels) if w]
-    sequences += [(a[0][:30] + b[0][:30], a[1][:30] + b[1][:30]) for a, b in zip(sequences, sequences[1:])]
+    pieces = [(words[i : i + TRAIN_PIECE], label) for words, label in zip(texts, labels) for i in range(0, len(words), TRAIN_PIECE)]
+    sequences = [(w, [languages.index(label)] * len(w)) for w, label in pieces]
+    sequences += [(a[0] + b[0], a[1] + b[1]) for a, b in zip(sequences, sequences[1:])]
     sequences.sort(key=lambda s: -len(s[0]))
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in sequences for w in s[0]))}
     features = [word_features(w, lexicons) for w in vocabulary]
@@ -132,36 +148,106 @@ def train(texts: list[list[str]], labels: list[str], languages: list[str], steps
     return lexicons, weights.astype(np.float32), start, move
 
 
+def label_shares(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Mean label marginals of each text, all of at least one word, from the flat ``scores`` (word, label).
+
+    Exact forward-backward, in pieces of ``PIECE`` words that advance together: the product of a piece's
+    moves carries what comes before and after it across, so only pieces, not words, follow one another.
+    """
+    k, n = scores.shape[1], len(lengths)
+    step, first = np.exp(move - move.max()), np.exp(start - start.max())
+    emit = np.exp(scores - scores.max(1, keepdims=True))
+    counts = -(-lengths // PIECE)
+    begins = np.concatenate([[0], np.cumsum(counts)])
+    text = np.repeat(np.arange(n), counts)
+    rank = np.arange(begins[-1]) - begins[text]
+    sizes = np.minimum(PIECE, lengths[text] - rank * PIECE)
+    order = np.argsort(-sizes, kind="stable")
+    sizes, opening = sizes[order], rank[order] == 0
+    offset = ((np.cumsum(lengths) - lengths)[text] + rank * PIECE)[order]
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    active = [int((sizes > i).sum()) for i in range(int(sizes[0]))]
+
+    whole = np.broadcast_to(np.eye(k), (len(order), k, k)).copy()
+    for i, a in enumerate(active):
+        x = (whole[:a].reshape(-1, k) @ step).reshape(a, k, k)
+        if i == 0:
+            x[opening] = first
+        x *= emit[offset[:a] + i][:, None, :]
+        whole[:a] = x / x.max((1, 2), keepdims=True)
+    before, after = np.full((len(order), k), 1.0 / k), np.ones((len(order), k))
+    for r in range(1, int(counts.max())):
+        here = np.flatnonzero(counts > r)
+        left, at = place[begins[here] + r - 1], place[begins[here] + r]
+        x = (before[left][:, None, :] @ whole[left])[:, 0]
+        before[at] = x / x.sum(1, keepdims=True)
+        at, right = place[begins[here + 1] - 1 - r], place[begins[here + 1] - r]
+        x = (whole[right] @ after[right][:, :, None])[:, :, 0]
+        after[at] = x / x.sum(1, keepdims=True)
+
+    ahead, last = np.empty((len(active), len(order), k)), before
+    for i, a in enumerate(active):
+        x = last[:a] @ step
+        if i == 0:
+            x[opening] = first
+        x *= emit[offset[:a] + i]
+        last = ahead[i, :a] = x / x.sum(1, keepdims=True)
+    shares, behind = np.zeros((len(order), k)), after
+    for i in range(len(active) - 1, -1, -1):
+        a = active[i]
+        m = ahead[i, :a] * behind[:a]
+        shares[:a] += m / m.sum(1, keepdims=True)
+        x = (emit[offset[:a] + i] * behind[:a]) @ step.T
+        behind[:a] = x / x.sum(1, keepdims=True)
+    out = np.stack([np.bincount(text[order], shares[:, c], n) for c in range(k)], 1)
+    return out / lengths[:, None]
+
+
+class WordScores(dict):
+    """Place of a word in a growing table of scores; -1 for a word without a letter."""
+
+    def __init__(self, lexicons: dict, weights: np.ndarray):
+        super().__init__()
+        self.lexicons, self.weights = lexicons, weights
+        self.new: list[str] = []
+        self.table = np.empty((0, weights.shape[1]))
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self.table) + len(self.new) if _has_letter(word) else -1
+        if at >= 0:
+            self.new.append(word)
+        return at
+
+    def scores(self, places: np.ndarray) -> np.ndarray:
+        if self.new:
+            features = [word_features(w, self.lexicons) for w in self.new]
+            sizes = np.cumsum([0] + [len(f) for f in features])
+            added = np.add.reduceat(self.weights[np.concatenate(features)], sizes[:-1], axis=0)
+            self.table, self.new = np.concatenate([self.table, added]), []
+        return self.table[places]
+
+
 def label_documents(texts: list[str | None], model: tuple) -> list[np.ndarray | None]:
     """Mean label marginals over the words of each text; None for a text without a letter."""
-    lexicons, weights, start, move, cache = model
-    k = len(start)
-    rows = []
-    for text in texts:
-        scores = []
-        for w in words_of(text or ""):
-            s = cache.get(w)
-            if s is None:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                s = cache[w] = weights[word_features(w, lexicons)].sum(0)
-            scores.append(s)
-        rows.append(np.array(scores, np.float32).reshape(-1, k))
+    start, move, known = model
     out: list[np.ndarray | None] = [None] * len(texts)
-    order = sorted((i for i, r in enumerate(rows) if len(r)), key=lambda i: -len(rows[i]))
-    at = 0
-    while at < len(order):
-        # as many texts at once as keep the padded block small
-        width = max(1, min(256, 400_000 // len(rows[order[at]])))
-        chosen = order[at : at + width]
-        at += width
-        lengths = np.array([len(rows[i]) for i in chosen])
-        block = np.zeros((len(chosen), lengths[0], k))
-        for row, i in enumerate(chosen):
-            block[row, : lengths[row]] = rows[i]
-        marginals, _ = forward_backward(block, lengths, start, move)
-        for row, i in enumerate(chosen):
-            out[i] = marginals[row].sum(0) / lengths[row]
+    held: list[tuple[int, np.ndarray]] = []
+    n_words = 0
+    for i, text in enumerate(texts):
+        places = np.array([known[w] for w in _WORD.findall((text or "").lower())], np.int64)
+        places = places[places >= 0]
+        if len(places):
+            held.append((i, places))
+            n_words += len(places)
+        if held and (n_words >= BLOCK_WORDS or i + 1 == len(texts)):
+            shares = label_shares(known.scores(np.concatenate([p for _, p in held])), np.array([len(p) for _, p in held]), start, move)
+            for (j, _), share in zip(held, shares):
+                out[j] = share
+            held, n_words = [], 0
+            if len(known) > CACHE_WORDS:
+                known.clear()
+                known.table = known.table[:0]
     return out
 
 
@@ -173,12 +259,17 @@ def identify_languages(docs: DataFrame, train_on, id_col: str = "doc_id", text_c
     first in hash order, in one task of bounded size; the labels are never read for a prediction. Each
     word of a text is labelled by forward-backward; ``score`` is the mean share of the winning label.
 
-    Null texts and texts without a letter are ``und`` with score 0. Ties go to the first label in order.
+    Long lines are fitted in pieces of ``TRAIN_PIECE`` words and labelled whole. Null texts and texts
+    without a letter (a character of a Unicode letter class) are ``und`` with score 0. Ties go to the first label in order.
     Repeated rows get equal results. Without labelled documents all texts are ``und``.
     """
     labelled = docs.filter(train_on & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     hashed = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.xxhash64(text_col).cast("string")).cast("binary"))
-    sample = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).alias("lang"), hashed.alias("h")).orderBy("h").limit(max_documents)
+    keys = labelled.select(hashed.alias("h"))
+    # the keys alone are ordered; texts move only for the sample, repeated rows once
+    cut = keys.distinct().orderBy("h").limit(max_documents).agg(F.max("h")).first()[0]
+    chosen = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).alias("lang"), hashed.alias("h")).filter(F.col("h") <= cut)
+    sample = chosen.groupBy("h").agg(F.min(F.struct("t", "lang")).alias("s")).select("h", "s.*")
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([*batches, pd.DataFrame({"t": [], "lang": [], "h": []})]).sort_values("h")
@@ -211,7 +302,8 @@ def identify_languages(docs: DataFrame, train_on, id_col: str = "doc_id", text_c
     languages = list(m.languages)
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = (*shared.value, {})
+        lexicons, weights, start, move = shared.value
+        model = (start, move, WordScores(lexicons, weights))
         for texts in batches:
             out = []
             values = texts.tolist()
