@@ -335,6 +335,43 @@ def test_scores_prefer_the_target(docs, spark, empty):
     assert lm_score.score_documents(empty, targets).count() == 0
 
 
+def test_scores_equal_plain_counting(spark):
+    texts = {1: "ab ab", 2: "abba", 3: "the cat", 4: "the hat", 5: "b", 6: "", 7: None, 8: "cab " * 40}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("score", F.lit("x"))
+    targets = spark.createDataFrame([(1,), (1,), (3,), (None,), (99,)], "doc_id long")
+    got = {r.doc_id: r for r in lm_score.score_documents(frame, targets).collect()}
+    spaces = str.maketrans("\t\n\v\f\r", " " * 5)
+    seen = collections.Counter("".join((t or "").translate(spaces) for t in texts.values()))
+    known = {c for c in seen if seen[c] > 1}
+
+    def grams(text):
+        signs = [c if c in known else "?" for c in text.translate(spaces)]
+        return [[tuple(([None] * 3 + signs)[i + 3 - n : i + 4]) for i in range(len(signs))] for n in range(4)]
+
+    counts = {i: [collections.Counter(g) for g in grams(t)] for i, t in texts.items() if t}
+
+    def loss(i, members):
+        tables = [sum((counts[m][n] for m in members if m in counts), collections.Counter()) for n in range(4)]
+        total, bits = sum(tables[0].values()), 0
+        of = grams(texts[i])
+        for at in range(len(of[0])):
+            p = (tables[0][of[0][at]] + 1) / (total + len(known) + 1)
+            for n in range(1, 4):
+                context = tables[n - 1][of[n - 1][at - 1]] if at else 0
+                p = (min(tables[n][of[n][at]], context) + 20 * p) / (context + 20)
+            bits -= np.log2(p)
+        return bits / len(of[0])
+
+    for i, t in texts.items():
+        if not t:
+            assert got[i].score is None and got[i].n_tokens == 0
+            continue
+        own = {i} if i in (1, 3) else set()
+        want = loss(i, {1, 3} - own), loss(i, set(texts) - own)
+        assert np.allclose((got[i].target_bits, got[i].background_bits), want) and got[i].n_tokens == len(t)
+    assert lm_score.score_documents(frame, targets.limit(0)).count() == 8
+
+
 def test_pipeline_stages_work_on_all_rows(spark, docs, empty, sf_dir):
     plain = docs.drop("size", "kept")
     for source in (plain, empty.drop("size", "kept")):

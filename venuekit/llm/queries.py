@@ -131,7 +131,7 @@ def op3(spark, sf_dir):
 @query("op5_lm_score")
 def op5(spark, sf_dir):
     good = read(spark, sf_dir, "labels").filter("quality = 1")
-    return score_documents(read(spark, sf_dir, "documents"), good).select("doc_id", "n_tokens", "target_bits", "background_bits", "score")
+    return score_documents(read(spark, sf_dir, "documents"), good).select("doc_id", "score", "n_tokens", "target_bits", "background_bits")
 
 
 @query("op8_language_id")

@@ -124,12 +124,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     sample = known.orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id").limit(max_documents)
     found = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(sample), F.col(id_col) == F.col("_id"))
-    rows = found.select(F.col("_id").cast("string").alias("i"), F.col(text_col).alias("t"), F.col("_y").cast("int").alias("y"))
-    # repeated ids could exceed the sample's bound: the limit holds for documents too
-    rows = rows.orderBy(F.md5(F.col("i").cast("binary")), F.xxhash64("t")).limit(max_documents)
+    order = F.md5(F.concat_ws("|", F.col("_id").cast("string"), F.xxhash64(text_col).cast("string")).cast("binary"))
+    keyed = found.select(order.alias("h"), F.col(text_col).alias("t"), F.col("_y").cast("int").alias("y"))
+    # repeated ids could exceed the sample's bound, so the limit holds for documents too: the keys alone are ordered
+    cut = keyed.select("h").distinct().orderBy("h").limit(max_documents).agg(F.max("h")).first()[0]
+    rows = keyed.filter(F.col("h") <= cut).groupBy("h").agg(F.min(F.struct("t", "y")).alias("s")).select("h", "s.*")
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        data = pd.concat([*batches, pd.DataFrame({"i": [], "t": [], "y": []})]).sort_values(["i", "t"])
+        data = pd.concat([*batches, pd.DataFrame({"h": [], "t": [], "y": []})]).sort_values("h")
         if len(data):
             chosen, links, chain = fit_chain(iter(data["t"]), data["y"].to_numpy(dtype=int) > 0)
             yield pd.DataFrame([(chosen, links.ravel().tolist(), chain.ravel().tolist())], columns=["features", "links", "chain"])
