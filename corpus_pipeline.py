@@ -11,7 +11,7 @@ from venuekit.llm.near_dedup import drop_near_duplicates
 from venuekit.llm.quality_rules import score_quality
 from venuekit.session import materialize
 
-STAGE_SHINGLE = 5  # words of a shingle, and of a line's tokens
+LINE_SHINGLE = 5  # words of a line's tokens
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,14 +21,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that repeat an earlier line; ``n_chars`` follows the text."""
-    edited = dedup_lines(docs, size=STAGE_SHINGLE)
+    edited = dedup_lines(docs, size=LINE_SHINGLE)
     length = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return edited.withColumn("n_chars", length).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return drop_near_duplicates(docs, size=STAGE_SHINGLE).select(*docs.columns)
+    return drop_near_duplicates(docs).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
