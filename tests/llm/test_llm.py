@@ -372,6 +372,34 @@ def test_scores_equal_plain_counting(spark):
     assert lm_score.score_documents(frame, targets.limit(0)).count() == 8
 
 
+def test_sketches_by_plain_rounds():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 60, 900):
+        codes = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        with np.errstate(over="ignore"):
+            got = near_dedup.sketch(codes, 40)
+            want = {}
+            for i in range(80):
+                thrown = {}
+                for h in near_dedup._mix(codes ^ near_dedup._mix(np.array([i + 1], np.uint64) * near_dedup._ODD[0])).tolist():
+                    at = (h & 0xFFFF) % 40 if i < 40 else i - 40
+                    thrown[at] = min(thrown.get(at, 2**64), (i << 48) | (h >> 16))
+                want = thrown | want
+        assert got.tolist() == [want[at] for at in range(40)]
+
+
+def test_bands_find_similar_sets():
+    """Share of pairs with a similarity just above 0.8 that meet in a band."""
+    rng = np.random.default_rng(4)
+    met = 0
+    for _ in range(400):
+        codes = np.unique(rng.integers(0, 2**63, 110).astype(np.uint64))
+        with np.errstate(over="ignore"):  # 90 of 110 shared: 0.818
+            a, b = (near_dedup.band_keys(near_dedup.sketch(c, 200), 40, 5) for c in (codes[:100], codes[10:]))
+        met += bool((a == b).any())
+    assert met >= 0.99 * 400
+
+
 def test_pipeline_stages_work_on_all_rows(spark, docs, empty, sf_dir):
     plain = docs.drop("size", "kept")
     for source in (plain, empty.drop("size", "kept")):

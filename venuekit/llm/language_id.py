@@ -104,7 +104,7 @@ def train(texts: list[list[str]], labels: list[str], languages: list[str], steps
     k = len(languages)
     pieces = [(words[i : i + TRAIN_PIECE], label) for words, label in zip(texts, labels) for i in range(0, len(words), TRAIN_PIECE)]
     sequences = [(w, [languages.index(label)] * len(w)) for w, label in pieces]
-    sequences += [(a[0] + b[0], a[1] + b[1]) for a, b in zip(sequences, sequences[1:])]
+    sequences += [(a[0] + b[0], a[1] + b[1]) for a, b in zip(sequences[::2], sequences[1::2])]
     sequences.sort(key=lambda s: -len(s[0]))
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in sequences for w in s[0]))}
     features = [word_features(w, lexicons) for w in vocabulary]

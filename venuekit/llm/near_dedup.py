@@ -43,21 +43,19 @@ def sketch(codes: np.ndarray, t: int) -> np.ndarray:
     """Fast similarity sketch of a set: ``t`` coordinates, each equal in two sets with their Jaccard similarity.
 
     In round ``i < t`` every element throws one value into a hashed bin; a bin keeps its least
-    ``(round, value)``. Rounds end once all bins are full. Round ``t + j`` throws everything into bin
-    ``j``, so after ``2t`` rounds at most no bin is empty, however small the set.
+    ``(round, value)``, so later rounds change empty bins only. Rounds end once all bins are full. Round
+    ``t + j`` throws everything into bin ``j``, so after ``2t`` rounds no bin is empty, however small the set.
     """
-    out = np.full(t, np.iinfo(np.uint64).max, np.uint64)
-    empty = t
+    full = np.iinfo(np.uint64).max
+    out = np.full(t, full, np.uint64)
     for i in range(2 * t):
         h = _mix(codes ^ _mix(np.array([i + 1], np.uint64) * _ODD[0]))
         value = (np.uint64(i) << np.uint64(48)) | (h >> np.uint64(16))
         if i < t:
-            bins = (h & np.uint64(0xFFFF)).astype(np.int64) % t
-            np.minimum.at(out, bins, value)
-        else:
-            out[i - t] = min(out[i - t], value.min())
-        empty = int((out == np.iinfo(np.uint64).max).sum())
-        if not empty:
+            np.minimum.at(out, (h & np.uint64(0xFFFF)).astype(np.int64) % t, value)
+        elif out[i - t] == full:
+            out[i - t] = value.min()
+        if not (out == full).any():
             return out
     return out
 
@@ -121,17 +119,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.filter(check("ta", "tb")).select("a", "b")
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the least node reachable, for the nodes of ``edges`` ``(a, b)``.
 
     Large-star and small-star steps by turns; each moves every node to the least node it sees, so the
     edges become stars around the components' least nodes. Minima combine on the map side and every
-    step is stored, so a hot centre or a lost executor costs little.
+    step is stored, so a hot centre or a lost executor costs little. Steps go on until none changes an edge:
+    labels only fall, so that comes, after some logarithm of the longest path.
     """
     flipped = lambda e: e.select(F.col("b").alias("a"), F.col("a").alias("b"))
     edges = materialize(edges.filter("a <> b").distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(flipped(edges))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -145,8 +144,6 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
