@@ -397,3 +397,40 @@ def test_lemmas_by_table_and_rule(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = [r[0] for r in df.select(text.singular(F.col("w"))).collect()]
     assert got == ["woman", "knife", "movie", "berry", "dish", "glass", "menus", "boss", "always", "fireman", "species"]
+
+
+def test_clusters_lead_queries_to_few_cells(spark, monkeypatch):
+    """Indicators of many groups: distances to pivots are alike, the boxes of the cells are not."""
+    from venuekit.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "INDEX_BLOCK", 40)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(1200):
+        hot = np.zeros(90)
+        hot[[i % 30, 30 + i % 30, 60 + i % 30]] = 1.0
+        rows.append((i, f"g{i % 30}", [float(v) for v in [*rng.normal(size=2), *hot]]))
+    df = spark.createDataFrame(rows, "id long, name string, vec array<double>")
+    stats = {}
+    search = lambda **more: neighbors.nearest(df.filter("id % 7 = 0"), df.filter("id % 7 <> 0"), "id", "vec", "id", "vec", 7, **more)
+    got = sorted(map(tuple, search(broadcast_cells=0, cluster=["name"], stats=stats).collect()))
+    assert got == sorted(map(tuple, search().collect()))
+    assert stats["searched"] < 0.4 * stats["pairs"]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_best_pairs_score_few_pairs_exactly(monkeypatch, metric):
+    """The product decides which pairs are scored; ties go to the first column, whatever the part it is in."""
+    from venuekit.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "_FIRST_COLUMNS", 64)
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-2, 3, size=(900, 6)).astype(float)
+    queries, scored, exact = vectors[:50] * 1.5, [], neighbors._paired_scores
+    monkeypatch.setattr(neighbors, "_paired_scores", lambda a, b, m: scored.append(len(a)) or exact(a, b, m))
+    rows, cols, scores = neighbors._best_pairs(queries, vectors, 9, metric, np.full(50, np.inf))
+    full = neighbors._scores(queries, vectors, metric)
+    want = np.argsort(full, axis=1, kind="stable")[:, :9]
+    assert cols.reshape(50, 9).tolist() == want.tolist()
+    assert np.allclose(scores.reshape(50, 9), np.take_along_axis(full, want, 1), atol=2e-9)
+    assert sum(scored) < 0.3 * full.size

@@ -1,11 +1,11 @@
 """Exact nearest neighbours and top-k vector search.
 
-Distances are computed on blocks with numpy inside Spark tasks; a task hands on at most
+Scores are computed on blocks with numpy inside Spark tasks: a matrix product finds the
+pairs that can be among the best, and those are scored exactly. A task hands on at most
 ``k`` candidates per query, never all pairs. A query set of checked size is broadcast to
-the partitions of the index. A larger one is cut into blocks that meet blocks of the
-index in a co-grouped join, each pair of blocks in its own task. Blocks hold vectors of
-like distance to a pivot; once a first block has given every query ``k`` neighbours, the
-triangle inequality shows which other blocks cannot hold a closer one, and they are skipped.
+the partitions of the index. Otherwise the index is cut into cells of like rows; each query
+meets the cell of the nearest centre, and then the cells whose box and ranges of distances
+to pivots leave room for a closer neighbour.
 """
 
 from __future__ import annotations
@@ -17,12 +17,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from venuekit.operators.ranking import ranked, row_hash, top_k
-from venuekit.session import materialize
+from venuekit.session import materialize, spread
 
 BROADCAST_CELLS = 4_000_000
-QUERY_BLOCK = 4_096
-INDEX_BLOCK = 32_768
+BROADCAST_ROWS = 65_536  # queries that meet every row; more are led to cells
+QUERY_BLOCK = 16_384
+INDEX_BLOCK = 8_192
+MAX_CELLS = 4_096
 PIVOTS = 32
+_QUERY_SLICE = 512
+_FIRST_COLUMNS = 1_024
 _CHUNK_CELLS = 4_000_000
 DIGITS = 9
 
@@ -53,20 +57,95 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(scores, axis=1, kind="stable")[:, :k]
 
 
+def _paired_scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of the rows of ``a`` with the same rows of ``b``."""
+    if metric == "cosine":
+        an, bn = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+        return np.round(-np.einsum("ij,ij->i", a, b) / (np.where(an > 0, an, 1.0) * np.where(bn > 0, bn, 1.0)), DIGITS)
+    return np.round(np.sqrt(np.einsum("ij,ij->i", a - b, a - b)), DIGITS)
+
+
+def _first_of_rows(rows: np.ndarray, cols: np.ndarray, scores: np.ndarray, k: int):
+    """The ``k`` least scores of each row, ties by column."""
+    order = np.lexsort((cols, scores, rows))
+    rows, cols, scores = rows[order], cols[order], scores[order]
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
+    place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
+    return rows[place < k], cols[place < k], scores[place < k], place[place < k]
+
+
+def _best_pairs(queries: np.ndarray, vectors: np.ndarray, k: int, metric: str, worst: np.ndarray):
+    """``(rows, cols, scores)`` of the ``k`` best columns per row with scores up to ``worst``, ties by column.
+
+    Columns pass in growing parts. A matrix product orders them up to rounding; only those that can beat the ``k``-th best
+    so far are scored exactly.
+    """
+    if metric == "cosine":
+        qn, vn = np.linalg.norm(queries, axis=1, keepdims=True), np.linalg.norm(vectors, axis=1, keepdims=True)
+        left, right = -queries / np.where(qn > 0, qn, 1.0), vectors / np.where(vn > 0, vn, 1.0)
+        own, square, error = np.zeros(len(queries)), np.zeros(len(vectors)), np.full(len(queries), 1e-12)
+    else:
+        centre = vectors.mean(0)
+        left, right = queries - centre, vectors - centre
+        own, square = (left**2).sum(1), (right**2).sum(1)
+        left, error = -2 * left, 1e-12 * (own + square.max())
+
+    def bound(score: np.ndarray) -> np.ndarray:
+        """Greatest product of a pair whose score is at most ``score``."""
+        return score + error if metric == "cosine" else np.where(score < 0, -np.inf, np.maximum(score, 0) ** 2 * (1 + 1e-12) - own + error)
+
+    half = 0.6 * 10.0**-DIGITS  # scores are rounded
+    limit = bound(worst + half)
+    rows, cols, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    at, width = 0, max(_FIRST_COLUMNS, 2 * k)
+    while at < len(vectors):
+        product = left @ right[at : at + width].T + square[at : at + width]
+        if not np.isfinite(product).all():  # missing or infinite numbers: every pair in full
+            full = _scores(queries, vectors, metric)
+            picked = np.array(_best(full, k))
+            every = np.repeat(np.arange(len(picked)), picked.shape[1])
+            return every, picked.reshape(-1), full[every, picked.reshape(-1)]
+        hits = product <= limit[:, None]
+        if product.shape[1] > k and np.count_nonzero(hits) > 8 * k * len(queries):
+            kth = np.partition(product, k - 1, axis=1)[:, k - 1]
+            apart = kth if metric == "cosine" else np.sqrt(np.maximum(kth + own + error, 0))
+            hits &= product <= np.maximum(bound(apart + 2 * half), kth + 2 * error)[:, None]
+        r, c = np.nonzero(hits)
+        step = max(1, _CHUNK_CELLS // max(1, vectors.shape[1]))
+        found = [_paired_scores(queries[r[i : i + step]], vectors[at + c[i : i + step]], metric) for i in range(0, len(r), step)]
+        if found:
+            merged = np.r_[rows, r], np.r_[cols, at + c], np.r_[scores, np.concatenate(found)]
+            rows, cols, scores, place = _first_of_rows(*merged, k)
+            full_rows = place == k - 1
+            # a later column must have a lower score
+            limit[rows[full_rows]] = np.minimum(limit, bound(_spread_over(scores[full_rows], rows[full_rows], len(limit)) - half * 2 / 3))[rows[full_rows]]
+        at += width
+        width = max(_FIRST_COLUMNS, min(2 * width, _CHUNK_CELLS // len(queries)))
+    return rows, cols, scores
+
+
+def _spread_over(values: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(n, np.inf)
+    out[places] = values
+    return out
+
+
 def _local_top(qids: np.ndarray, queries: np.ndarray, block: pd.DataFrame, k: int, metric: str,
-               payload: Sequence[str], skip_self: bool) -> pd.DataFrame:
-    """The best of a block for every query, by slices of queries: a task holds ``_CHUNK_CELLS`` scores at a time."""
+               payload: Sequence[str], skip_self: bool, worst: np.ndarray | None = None) -> pd.DataFrame:
+    """The best of a block for every query, by slices of queries: a task holds ``_CHUNK_CELLS`` products at a time.
+
+    ``worst`` is the score that a query's neighbours need to reach.
+    """
     block = block.sort_values("_id", kind="stable")
     ids = block["_id"].to_numpy()
     vectors = np.stack(block["_vec"].to_numpy()).astype(float)
-    step = max(1, _CHUNK_CELLS // len(block))
+    worst = np.full(len(qids), np.inf) if worst is None else worst
     found = []
-    for start in range(0, len(qids), step):
-        some = slice(start, start + step)
-        scores = _scores(queries[some], vectors, metric)
-        picked = _best(scores, k + 1 if skip_self else k)  # one spare for the query itself
-        rows, cols = np.repeat(np.arange(len(picked)), picked.shape[1]), picked.reshape(-1)
-        part = pd.DataFrame({"_qid": qids[some][rows], "_id": ids[cols], "_score": scores[rows, cols]})
+    for start in range(0, len(qids), _QUERY_SLICE):
+        some = slice(start, start + _QUERY_SLICE)
+        # one spare for the query itself
+        rows, cols, scores = _best_pairs(queries[some], vectors, k + 1 if skip_self else k, metric, worst[some])
+        part = pd.DataFrame({"_qid": qids[some][rows], "_id": ids[cols], "_score": scores})
         for c in payload:
             part[c] = block[c].to_numpy()[cols]
         found.append(part[part["_qid"] != part["_id"]] if skip_self else part)
@@ -75,23 +154,25 @@ def _local_top(qids: np.ndarray, queries: np.ndarray, block: pd.DataFrame, k: in
 
 def nearest(queries: DataFrame, index: DataFrame, query_id: str, query_vec: str, index_id: str, index_vec: str,
             k: int, metric: str = "l2", payload: Sequence[str] = (), skip_self: bool = False,
-            broadcast_cells: int = BROADCAST_CELLS, stats: dict | None = None) -> DataFrame:
+            broadcast_cells: int = BROADCAST_CELLS, stats: dict | None = None, cluster: Sequence[str] = ()) -> DataFrame:
     """``(query_id, index_id, score, payload..., rank)``, the exact ``k`` best per query, ties by id.
 
-    ``score`` is the distance for ``l2`` and the similarity for ``cosine``. ``stats`` receives the numbers of block
-    ``pairs`` and of those that were ``searched``.
+    ``score`` is the distance for ``l2`` and the similarity for ``cosine``. ``cluster`` names columns of the index whose
+    equal values make rows alike; they place rows in cells and change no result. ``stats`` receives the numbers of
+    ``pairs`` of a query and a cell, and of those that were ``searched``.
     """
     q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).cast("array<double>").alias("_qvec"))
-    x = index.select(F.col(index_id).alias("_id"), F.col(index_vec).cast("array<double>").alias("_vec"), *payload)
+    x = index.select(F.col(index_id).alias("_id"), F.col(index_vec).cast("array<double>").alias("_vec"), *payload,
+                     (F.xxhash64(*cluster) if cluster else F.lit(0).cast("long")).alias("_c"))
     out_type = T.StructType(
         [T.StructField("_qid", q.schema["_qid"].dataType), T.StructField("_id", x.schema["_id"].dataType),
          T.StructField("_score", T.DoubleType()), *[x.schema[c] for c in payload]]
     )
     size = q.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("_qvec")), F.lit(0)).alias("d")).first()
-    if size["n"] * max(1, size["d"]) <= broadcast_cells:
-        local = _with_broadcast_queries(q, x, k, metric, payload, skip_self, out_type)
+    if size["n"] <= BROADCAST_ROWS and size["n"] * max(1, size["d"]) <= broadcast_cells:
+        local = _with_broadcast_queries(q, spread(x.drop("_c")), k, metric, payload, skip_self, out_type)
     else:
-        local = _with_blocks(q, x, k, metric, payload, skip_self, out_type, stats)
+        local = _with_cells(q, x, k, metric, payload, skip_self, out_type, bool(cluster), stats)
     best = top_k(local, ["_qid"], [F.asc("_score"), F.asc("_id")], k)
     score = F.col("_score") if metric == "l2" else -F.col("_score")
     return best.select(
@@ -113,7 +194,11 @@ def _with_broadcast_queries(q, x, k, metric, payload, skip_self, out_type) -> Da
         for batch in batches:
             if batch.empty:
                 continue
-            found = _local_top(qids, vectors, batch, k, metric, payload, skip_self)
+            worst = None
+            if best is not None:
+                held_scores = best.groupby("_qid")["_score"].agg(["size", "max"]).reindex(qids)
+                worst = np.where(held_scores["size"] >= k, held_scores["max"], np.inf)
+            found = _local_top(qids, vectors, batch, k, metric, payload, skip_self, worst)
             best = found if best is None else pd.concat([best, found])
             best = best.sort_values(["_qid", "_score", "_id"], kind="stable").groupby("_qid", sort=False).head(k)
         if best is not None:
@@ -133,83 +218,140 @@ def _placed(vectors: np.ndarray, metric: str, side: int) -> np.ndarray:
     return np.column_stack([vectors / np.where(length > 0, length, 1.0), extra])
 
 
-def _pivoted(rows: DataFrame, vec: str, pivots: np.ndarray, metric: str, side: int, block_rows: int, name: str) -> DataFrame:
-    """Rows with a block number ``<name>`` and ``_d``, their distances to all pivots; stored.
+def _measures(vectors: np.ndarray, pivots: np.ndarray, metric: str, side: int) -> np.ndarray:
+    """Places and, behind them, distances to all pivots."""
+    spots = _placed(vectors, metric, side)
+    apart = np.sqrt(np.maximum(0, (spots**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * spots @ pivots.T))
+    return np.column_stack([spots, apart])
 
-    Rows are dealt out by nearest pivot and distance to it, so that a block covers a small range.
-    """
-    fields = [*rows.schema.fields, T.StructField("_p", T.IntegerType()), T.StructField("_far", T.DoubleType()),
-              T.StructField("_d", T.ArrayType(T.DoubleType()))]
+
+def _cells(x: DataFrame, pivots: np.ndarray, metric: str, clustered: bool) -> DataFrame:
+    """Index rows with a cell number ``_cell``, stored. Cells hold neighbours in the order of cluster, nearest pivot and
+    distance to it; without clusters they end with their pivot."""
+    fields = [*x.schema.fields, T.StructField("_p", T.IntegerType()), T.StructField("_far", T.DoubleType())]
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if frame.empty:
-                continue
-            spots = _placed(np.stack(frame[vec].to_numpy()).astype(float), metric, side)
-            apart = np.sqrt(np.maximum(0, (spots**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * spots @ pivots.T))
-            yield frame.assign(_p=apart.argmin(1), _far=apart.min(1), _d=list(apart))
-
-    measured = rows.mapInPandas(measure, T.StructType(fields))
-    placed = materialize(ranked(measured, [F.col("_p"), F.col("_far"), F.col(rows.columns[0])], "_at"), "pivoted")
-    # blocks end with their pivot: a row per pivot tells where its rows and its blocks begin
-    first, blocks, start = placed.groupBy("_p").agg(F.min("_at").alias("at"), F.count("*").alias("n")).orderBy("_p").collect(), 0, {}
+            if not frame.empty:
+                apart = _measures(np.stack(frame["_vec"].to_numpy()).astype(float), pivots, metric, 0)[:, -len(pivots) :]
+                yield frame.assign(_p=0 if clustered else apart.argmin(1), _far=apart.min(1))
+
+    measured = spread(x).mapInPandas(measure, T.StructType(fields))
+    placed = materialize(ranked(measured, [F.col(c) for c in ("_c", "_p", "_far", "_id")], "_at"), "placed")
+    # a row per pivot tells where its rows and its cells begin
+    first, cells, start = placed.groupBy("_p").agg(F.min("_at").alias("at"), F.count("*").alias("n")).orderBy("_p").collect(), 0, {}
+    size = max(INDEX_BLOCK, -(-sum(r["n"] for r in first) // MAX_CELLS))
     for row in first:
-        start[row["_p"]] = (blocks, row["at"])
-        blocks += -(-row["n"] // block_rows)
+        start[row["_p"]] = (cells, row["at"])
+        cells += -(-row["n"] // size)
     number = F.lit(None).cast("int")
-    for p, (block, at) in start.items():
-        number = F.when(F.col("_p") == p, block + F.floor((F.col("_at") - at) / block_rows)).otherwise(number)
-    return placed.withColumn(name, number.cast("int")).drop("_p", "_far", "_at")
-
+    for p, (cell, at) in start.items():
+        number = F.when(F.col("_p") == p, cell + F.floor((F.col("_at") - at) / size)).otherwise(number)
+    return placed.withColumn("_cell", number.cast("int")).drop("_c", "_p", "_far", "_at")
 
-def _ranges(rows: DataFrame, name: str, n_pivots: int, prefix: str) -> DataFrame:
-    """Least and greatest distance to every pivot, a row per block."""
-    spans = [f(F.col("_d")[i]).alias(f"{prefix}{side}{i}") for i in range(n_pivots) for side, f in (("lo", F.min), ("hi", F.max))]
-    return rows.groupBy(name).agg(*spans)
 
+def _boxes(xc: DataFrame, pivots: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least, greatest and mean measures of each cell, at most about ``MAX_CELLS`` rows."""
 
-def _with_blocks(q, x, k, metric, payload, skip_self, out_type, stats=None) -> DataFrame:
+    def bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = {}
+        for frame in frames:
+            if frame.empty:
+                continue
+            seen = _measures(np.stack(frame["_vec"].to_numpy()).astype(float), pivots, metric, 0)
+            cells = frame["_cell"].to_numpy()
+            for cell in np.unique(cells):
+                part = seen[cells == cell]
+                low, high, total, n = part.min(0), part.max(0), part.sum(0), len(part)
+                if cell in held:
+                    old = held[cell]
+                    low, high, total, n = np.minimum(low, old[0]), np.maximum(high, old[1]), total + old[2], n + old[3]
+                held[cell] = (low, high, total, n)
+        if held:
+            yield pd.DataFrame([(c, *v) for c, v in held.items()], columns=["cell", "low", "high", "total", "n"])
+
+    partial = xc.select("_vec", "_cell").mapInPandas(bound, "cell int, low array<double>, high array<double>, total array<double>, n long").toPandas()
+    low, high, mean = [], [], []
+    for _, group in partial.sort_values("cell").groupby("cell"):
+        low.append(np.min(np.stack(group["low"].to_numpy()), 0))
+        high.append(np.max(np.stack(group["high"].to_numpy()), 0))
+        mean.append(np.sum(np.stack(group["total"].to_numpy()), 0) / group["n"].sum())
+    return np.array(low), np.array(high), np.array(mean)
+
+
+def _with_cells(q, x, k, metric, payload, skip_self, out_type, clustered, stats=None) -> DataFrame:
     sample = x.select("_vec", row_hash("_id").alias("h")).orderBy("h").limit(PIVOTS).toPandas()["_vec"]
     if not len(sample):
         return x.sparkSession.createDataFrame([], out_type)
+    spark = x.sparkSession
     pivots = _placed(np.stack(sample.to_numpy()).astype(float), metric, 0)
-    qb = _pivoted(q, "_qvec", pivots, metric, 1, QUERY_BLOCK, "_qb")
-    xb = _pivoted(x, "_vec", pivots, metric, 0, INDEX_BLOCK, "_xb")
-    left, right = _ranges(qb, "_qb", len(pivots), "q"), _ranges(xb, "_xb", len(pivots), "x")
-    n_blocks = xb.agg(F.max("_xb")).first()[0] + 1
-    # a row of numbers for each pair of blocks
-    pairs = left.withColumn("_xb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(right, "_xb")
-    gaps = [F.greatest(F.col(f"qlo{i}") - F.col(f"xhi{i}"), F.col(f"xlo{i}") - F.col(f"qhi{i}"), F.lit(0.0)) for i in range(len(pivots))]
-    reach = [F.greatest(F.abs(F.col(f"qhi{i}") - F.col(f"xlo{i}")), F.abs(F.col(f"xhi{i}") - F.col(f"qlo{i}"))) for i in range(len(pivots))]
-    pairs = materialize(pairs.select("_qb", "_xb", F.greatest(F.lit(0.0), *gaps).alias("_gap"), F.greatest(F.lit(0.0), *reach).alias("_reach")), "pairs")
-    nearest_pair = pairs.groupBy("_qb").agg(F.min_by("_xb", F.struct("_reach", "_xb")).alias("_xb"))
-    first = materialize(_meet(qb, xb, nearest_pair, k, metric, payload, skip_self, out_type), "first-block")
-    # the k-th distance found so far; queries with fewer keep every block
-    counted = first.groupBy("_qid").agg(F.count("*").alias("n"), F.max("_score").alias("worst"))
-    worst = F.col("worst") if metric == "l2" else F.sqrt(F.greatest(2 + 2 * F.col("worst"), F.lit(0.0)))
-    limit = F.max(F.when(F.col("n") >= k, worst).otherwise(F.lit(float("inf")))).alias("_limit")
-    reached = qb.select("_qid", "_qb").join(counted, "_qid", "left").groupBy("_qb").agg(limit)
-    open_pairs = pairs.join(reached, "_qb").join(nearest_pair, ["_qb", "_xb"], "left_anti")
-    slack = 1e-8 * (1 + F.col("_gap") * F.col("_gap"))  # scores are rounded
-    open_pairs = materialize(open_pairs.filter(F.col("_gap") * F.col("_gap") <= F.col("_limit") * F.col("_limit") + slack).select("_qb", "_xb"), "open-pairs")
+    xc = _cells(x, pivots, metric, clustered)
+    boxes = spark.sparkContext.broadcast(_boxes(xc, pivots, metric))
+    q = materialize(spread(q), "queries")
+    id_type = q.schema["_qid"]
+    pair_type = T.StructType([id_type, T.StructField("_worst", T.DoubleType()), T.StructField("_cell", T.IntegerType())])
+
+    def homes(seen: np.ndarray) -> np.ndarray:
+        d, mean = seen.shape[1] - len(pivots), boxes.value[2]
+        return ((mean[:, :d] ** 2).sum(1)[None] - 2 * seen[:, :d] @ mean[:, :d].T).argmin(1)
+
+    def go_home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not frame.empty:
+                seen = _measures(np.stack(frame["_qvec"].to_numpy()).astype(float), pivots, metric, 1)
+                yield pd.DataFrame({"_qid": frame["_qid"], "_worst": np.inf, "_cell": homes(seen)})
+
+    def go_on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The other cells that can hold a neighbour closer than the ``k``-th of the first cell."""
+        low, high, _ = boxes.value
+        step = max(1, _CHUNK_CELLS // low.size)
+        for frame in frames:
+            for start in range(0, len(frame), step):
+                part = frame.iloc[start : start + step]
+                seen = _measures(np.stack(part["_qvec"].to_numpy()).astype(float), pivots, metric, 1)
+                gap = np.maximum(np.maximum(low[None] - seen[:, None], seen[:, None] - high[None]), 0)
+                d, home = seen.shape[1] - len(pivots), homes(seen)
+                least = np.maximum((gap[:, :, :d] ** 2).sum(2), gap[:, :, d:].max(2) ** 2)
+                worst = part["_worst"].to_numpy(dtype=float)
+                reach = worst**2 if metric == "l2" else np.maximum(2 + 2 * worst, 0)
+                open_ = ~(least > reach[:, None] + 1e-8 * (1 + least))  # scores are rounded
+                open_[np.arange(len(part)), home] = False
+                rows, cells = np.nonzero(open_)
+                yield pd.DataFrame({"_qid": part["_qid"].to_numpy()[rows], "_worst": worst[rows], "_cell": cells})
+
+    def search(pairs: DataFrame) -> DataFrame:
+        return _meet(pairs, q, xc, k, metric, payload, skip_self, out_type)
+
+    own = materialize(q.mapInPandas(go_home, pair_type), "home-cells")
+    first = materialize(search(own), "first-cell")
+    reached = first.groupBy("_qid").agg(F.count("*").alias("n"), F.max("_score").alias("w"))
+    limit = F.when(F.col("n") >= k, F.col("w")).otherwise(F.lit(float("inf"))).alias("_worst")
+    bounded = q.join(reached, "_qid", "left").select(*q.columns, limit)
+    others = materialize(bounded.mapInPandas(go_on, pair_type), "open-cells")
     if stats is not None:
-        stats.update(pairs=pairs.count(), searched=nearest_pair.count() + open_pairs.count())
-    return first.unionByName(_meet(qb, xb, open_pairs, k, metric, payload, skip_self, out_type))
+        n = own.count()
+        stats.update(pairs=n * len(boxes.value[0]), searched=n + others.count())
+    return first.unionByName(search(others))
 
 
-def _meet(qb, xb, pairs, k, metric, payload, skip_self, out_type) -> DataFrame:
-    """The best of each pair of blocks."""
+def _meet(pairs, q, xc, k, metric, payload, skip_self, out_type) -> DataFrame:
+    """The best of each query in each cell it is paired with. The queries of a cell are dealt over slices, which bounds a
+    task; a cell is sent once to each of its slices."""
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({f.name: pd.Series(dtype=object) for f in out_type.fields})
         vectors = np.stack(left["_qvec"].to_numpy()).astype(float)
-        found = _local_top(left["_qid"].to_numpy(), vectors, right, k, metric, payload, skip_self)
+        found = _local_top(left["_qid"].to_numpy(), vectors, right, k, metric, payload, skip_self, left["_worst"].to_numpy())
         found = found.sort_values(["_qid", "_score", "_id"], kind="stable")
         return found.groupby("_qid", sort=False).head(k)
 
-    queries = qb.drop("_d").join(pairs, "_qb").groupBy("_qb", "_xb")
-    index = xb.drop("_d").join(pairs, "_xb").groupBy("_qb", "_xb")
+    slices = pairs.groupBy("_cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("_slices"))
+    slices = F.broadcast(slices)  # a row per cell
+    dealt = pairs.join(slices, "_cell").withColumn("_slice", F.pmod(F.xxhash64("_qid"), F.col("_slices")).cast("int")).drop("_slices")
+    queries = dealt.join(q, "_qid").groupBy("_cell", "_slice")
+    copies = F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice")
+    index = xc.join(slices, "_cell").select(*xc.columns, copies).groupBy("_cell", "_slice")
     return queries.cogroup(index).applyInPandas(meet, out_type)
 
 

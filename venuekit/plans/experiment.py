@@ -22,6 +22,7 @@ FOLDS = 5
 NUMERIC = ["votes", "cost"]
 CATEGORICAL = ["online_order", "book_table", "category", "listing"]
 LISTS = ["tags", "kinds"]
+CLUSTER = ["category", "listing"]  # rows that agree here are searched first
 TARGETS = ["rate_class", "rate_tier"]
 
 
@@ -72,7 +73,7 @@ def tune(train: DataFrame, target: str, labels: Sequence, imputed: bool) -> Data
     for i in range(FOLDS):
         ready = fitted_features(train, F.col("fold") != i, imputed)
         held, rest = ready.filter(F.col("fold") == i), ready.filter(F.col("fold") != i)
-        near = nearest(held, rest, "row_id", "features", "row_id", "features", max(NEIGHBOR_GRID), payload=[target])
+        near = nearest(held, rest, "row_id", "features", "row_id", "features", max(NEIGHBOR_GRID), payload=[target], cluster=CLUSTER)
         near = near.withColumnRenamed(target, "voted").withColumn("fold", F.lit(i))
         found = near if found is None else found.unionByName(near)
     found = materialize(found, "neighbors")
@@ -106,7 +107,7 @@ def compare_variants(clean: DataFrame, target: str, labels: Sequence) -> DataFra
         ready = fitted_features(rows, ~F.col("is_test"), imputed)
         fit_rows = ready.filter(~F.col("is_test"))
         test = ready.filter("is_test") if imputed else ready.filter("is_test AND is_complete")
-        found = nearest(test, fit_rows, "row_id", "features", "row_id", "features", k, payload=[target])
+        found = nearest(test, fit_rows, "row_id", "features", "row_id", "features", k, payload=[target], cluster=CLUSTER)
         truth = test.select(F.col("row_id").alias("query_id"), F.col(target).alias("actual"), "is_complete")
         pairs = materialize(vote(found, target, weights).join(truth, "query_id"), "votes")
         record = {"k": F.lit(k), "weights": F.lit(weights), "search_f1": F.lit(score), "n_train": F.lit(train.count())}
