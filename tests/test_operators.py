@@ -434,3 +434,16 @@ def test_best_pairs_score_few_pairs_exactly(monkeypatch, metric):
     assert cols.reshape(50, 9).tolist() == want.tolist()
     assert np.allclose(scores.reshape(50, 9), np.take_along_axis(full, want, 1), atol=2e-9)
     assert sum(scored) < 0.3 * full.size
+
+
+def test_tfidf_scores_stay_with_their_documents(spark, monkeypatch):
+    """Rows of one key are one document, texts do not run together, and the scores need no exchange."""
+    rows = [(1, "big red bus"), (1, "bus stop"), (2, None), (3, "red bus"), (None, "stop stop sign"), (4, "")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    near = keywords.tfidf(df, ["id"], "t", max_df=1.0)
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+    got = {(r["id"], r["term"]): (r["tf"], r["df"], round(r["score"], 9)) for r in near.collect()}
+    assert got[(1, "bus")][:2] == (2, 2) and (1, "bus bus") not in got and got[(None, "stop stop")][:2] == (1, 1)
+    monkeypatch.setattr(keywords, "BROADCAST_TERMS", 0)
+    joined = {(r["id"], r["term"]): (r["tf"], r["df"], round(r["score"], 9)) for r in keywords.tfidf(df, ["id"], "t", max_df=1.0).collect()}
+    assert got == joined
