@@ -32,7 +32,10 @@ def bent_loss(excess: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray,
 
 def fourier_features(x: np.ndarray, waves: np.ndarray, shifts: np.ndarray) -> np.ndarray:
     """Random Fourier features and a column of ones."""
-    return np.column_stack([np.sqrt(2.0 / len(shifts)) * np.cos(x @ waves.T + shifts), np.ones(len(x))])
+    out = np.ones((len(x), len(shifts) + 1))
+    np.cos(x @ waves.T + shifts, out=out[:, :-1])
+    out[:, :-1] *= np.sqrt(2.0 / len(shifts))
+    return out
 
 
 class FourierRegressionModel(Model, HasInputCols, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -51,13 +54,14 @@ class FourierRegressionModel(Model, HasInputCols, HasPredictionCol, DefaultParam
         waves, shifts = fourier_waves(len(names), self.getOrDefault(self.gamma), len(weights) - 1)
 
         @F.pandas_udf(DoubleType())
-        def predict(points: pd.Series) -> pd.Series:
-            return pd.Series(fourier_features(np.stack(points.to_numpy()), waves, shifts) @ weights if len(points) else np.zeros(0))
+        def predict(points: pd.DataFrame) -> pd.Series:
+            return pd.Series(fourier_features(points.to_numpy(dtype=float), waves, shifts) @ weights)
 
         known = F.lit(True)
         for c in names:
             known = known & F.col(c).isNotNull()
-        point = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names])
+        # numbers side by side: an array a row would be unpacked one by one
+        point = F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(names)])
         return dataset.withColumn(self.getPredictionCol(), F.when(known, predict(point)))
 
 
