@@ -153,6 +153,32 @@ def test_near_duplicates_by_brute_force(docs, rows, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_a_family_of_edited_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    random = np.random.default_rng(3)
+    base = random.integers(0, 400, 150)
+    texts = []
+    for _ in range(300):
+        edited = random.random(150) < random.uniform(0.01, 0.16)
+        texts.append(" ".join(f"w{w}" for w in np.where(edited, random.integers(0, 400, 150), base)))
+    compared, verified = [], near_dedup._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "_verified", counted)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [near_dedup.shingle_set(t, 2) for t in texts]
+    root = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert got == dict(enumerate(root)) and 10 < len(set(root)) < 250
+    assert compared[1] < 3000
+
+
 def test_sketch_coordinates_agree_like_the_sets():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**63, 3000, dtype=np.int64).astype(np.uint64)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from venuekit.llm.common import ascii_lower, content_key, replace_columns, words
 from venuekit.session import materialize
@@ -94,6 +94,10 @@ def _sketched(size: int, bands: int, rows: int):
     return F.pandas_udf(run, "n_shingles long, set_code string, bands array<long>")
 
 
+def _word_codes(text_col: str) -> Column:
+    return F.transform(words(ascii_lower(F.col(text_col))), lambda w: F.xxhash64(w))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of class codes whose full shingle sets are similar enough.
 
@@ -148,6 +152,63 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _differences(rooted: DataFrame, centres: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``a, c, root, n, a_root, a_n, d``: what the set of each member ``c`` of a bucket and the set of its centre ``a`` do not share.
+
+    ``rooted`` holds ``c, band, root, n_shingles``, ``centres`` the buckets ``band`` in question and their centres ``a``.
+    """
+    classes = rooted.select("c", "root", F.col("n_shingles").alias("n")).distinct()
+    centre = classes.withColumnsRenamed({"c": "a", "root": "a_root", "n": "a_n"})
+    around = rooted.join(centres, "band").filter("c <> a").select("a", "c", "root", F.col("n_shingles").alias("n")).distinct()
+    coded = texts.select("c", _word_codes("text").alias("w"))
+    both = around.join(centre, "a").join(coded, "c").join(coded.withColumnsRenamed({"c": "a", "w": "wa"}), "a")
+
+    def apart(left: pd.Series, right: pd.Series) -> pd.Series:
+        last, known = None, np.empty(0, np.uint64)
+        out = []
+        for wa, w in zip(left, right):
+            if last is None or not np.array_equal(wa, last):
+                last, known = wa, shingle_codes(np.asarray(wa), size)
+            out.append(np.setxor1d(known, shingle_codes(np.asarray(w), size), assume_unique=True).view(np.int64))
+        return pd.Series(out)
+
+    difference = F.pandas_udf(apart, "array<long>")
+    return both.select("a", "c", "root", "n", "a_root", "a_n", difference("wa", "w").alias("d"))
+
+
+def _pairs_by_differences(away: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of members of one centre and different components that can be linked.
+
+    With ``p = percent / 100`` and ``k = (1 - p) / (1 + p)``, sets of ``n`` and ``m`` elements are linked if they differ in at
+    most ``k (n + m)``. Their differences from a common centre, ``d`` and ``e`` in number, share ``o`` elements, and the sets
+    differ in ``d + e - 2 o``. So ``2 o >= d + e - k (n + m)``. Where that asks for no common element, both are linked with the
+    centre and are in its component. All others meet in one of the rarest elements of their differences, by a prefix
+    and a positional filter as for set joins; elements that no other member has take no part.
+    """
+    k = (100.0 - percent) / (100.0 + percent)
+    items = away.select("a", "c", F.explode("d").alias("e"))
+    shared = items.groupBy("a", "e").agg(F.count("*").alias("times")).filter("times > 1")
+    common = items.join(shared, ["a", "e"]).groupBy("a", "c").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("s"))
+    sized = away.select("a", "c", "root", "n", "a_root", F.col("a_n"), F.size("d").alias("nd")).join(common, ["a", "c"])
+    # the least number of common elements with any partner; members of the centre's component only have partners outside it
+    any_partner = F.col("nd") - F.col("n") * (100.0 - percent) / percent
+    outside = (F.col("nd") + k * (F.col("a_n") - F.col("n"))) / 2
+    need = F.ceil(F.when(F.col("root") == F.col("a_root"), F.greatest(any_partner, outside)).otherwise(any_partner) - 1e-6)
+    length = (F.size("s") - F.greatest(need, F.lit(1)) + 1).cast("int")
+    head = F.slice("s", F.lit(1), F.greatest(length, F.lit(0)))
+    listed = sized.select("a", "c", "root", "a_root", "n", "nd", F.size("s").alias("ns"), F.posexplode(F.transform(head, lambda x: x["e"])).alias("i", "e"))
+    entries = materialize(listed, "difference-prefixes")
+
+    x = entries.filter("root <> a_root").drop("a_root").withColumnsRenamed({"c": "xc", "root": "xr", "n": "xn", "nd": "xd", "ns": "xs", "i": "xi"})
+    y = entries.withColumnsRenamed({"c": "yc", "root": "yr", "n": "yn", "nd": "yd", "ns": "ys", "i": "yi"})
+    other = (F.col("xr") < F.col("yr")) | ((F.col("yr") == F.col("a_root")) & (F.col("xr") != F.col("yr")))
+    alike = F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent
+    most = F.least("xi", "yi") + F.least(F.col("xs") - F.col("xi"), F.col("ys") - F.col("yi"))
+    enough = 2 * most >= F.col("xd") + F.col("yd") - k * (F.col("xn") + F.col("yn")) - 1e-6
+    met = x.join(y, ["a", "e"]).filter(other & alike & enough)
+    return met.select(F.least("xc", "yc").alias("a"), F.greatest("xc", "yc").alias("b")).distinct()
+
+
 def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT,
                       bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, key, n_shingles, set_code)`` of every document, and the verified links between its distinct sets.
@@ -155,25 +216,26 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Documents with equal shingle sets are one class from the start. Classes that share a band meet in
     its bucket. First each is compared with the bucket's most shared member only, which links almost
     all of a group of copies at the cost of one comparison each. Then pairs of one bucket that are
-    still in different components are compared, so that no link that joins components is lost.
+    still in different components are compared, but only those whose differences from that member
+    overlap far enough, so that no link that joins components is lost.
     """
     # word codes, not words, cross to Python
-    coded = F.transform(words(ascii_lower(F.col(text_col))), lambda w: F.xxhash64(w))
     sketched = docs.select(
-        F.col(id_col).alias("doc_id"), content_key(F.col(id_col), F.col(text_col)).alias("key"), _sketched(size, bands, rows)(coded).alias("s")
+        F.col(id_col).alias("doc_id"), content_key(F.col(id_col), F.col(text_col)).alias("key"),
+        _sketched(size, bands, rows)(_word_codes(text_col)).alias("s"),
     ).select("doc_id", "key", "s.*")
     table = materialize(sketched, "sketches")
     nodes = table.select("doc_id", "key", "n_shingles", "set_code")
 
-    one = table.filter(F.col("set_code").isNotNull()).groupBy("set_code").agg(F.min_by("bands", "key").alias("bands"), F.min("key").alias("key"))
-    classes = one.select(F.col("set_code").alias("c"), "bands", "key")
-    placed = classes.select("c", "key", F.explode("bands").alias("band"))
+    first = F.min_by(F.struct("bands", "n_shingles"), "key").alias("s")
+    one = table.filter(F.col("set_code").isNotNull()).groupBy("set_code").agg(first, F.min("key").alias("key"))
+    placed = one.select(F.col("set_code").alias("c"), "key", "s.n_shingles", F.explode("s.bands").alias("band"))
     sizes = placed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     met = materialize(placed.join(sizes, "band"), "buckets")
     shared = met.groupBy("c").agg(F.sum("n").alias("weight"))
     members = met.select("c", "band").join(shared, "c")
     # the member that meets most others leads its bucket; ties go to the least code
-    leaders = members.groupBy("band").agg(F.max(F.struct("weight", "c"))["c"].alias("a"))
+    leaders = materialize(members.groupBy("band").agg(F.max(F.struct("weight", "c"))["c"].alias("a")), "leaders")
     starred = met.select("c", "band").join(leaders, "band").filter("c <> a").select("a", F.col("c").alias("b")).distinct()
     stars = materialize(starred, "stars")
     wanted = met.select("c", "key").distinct()
@@ -182,17 +244,15 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     links = materialize(_verified(stars, texts, size, percent), "links")
     roots = components(links)
-    rooted = materialize(
-        met.select("c", "band").join(roots, F.col("c") == F.col("node"), "left").select("c", "band", F.coalesce("root", "c").alias("root")), "rooted"
-    )
+    labels = met.join(roots, F.col("c") == F.col("node"), "left").select("c", "band", "n_shingles", F.coalesce("root", "c").alias("root"))
+    rooted = materialize(labels, "rooted")
     split = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band")
-    apart = rooted.join(split, "band")
-    right = apart.select(F.col("band").alias("band_b"), F.col("c").alias("b"), F.col("root").alias("rb"))
-    left = apart.select("band", F.col("c").alias("a"), F.col("root").alias("ra"))
-    pairs = left.join(right, (F.col("band") == F.col("band_b")) & (F.col("ra") < F.col("rb"))).select("a", "b").distinct()
+    centres = leaders.join(split, "band")
+    away = materialize(_differences(rooted, centres, texts, size), "differences")
     seen = stars.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    fresh = pairs.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-    more = materialize(_verified(fresh, texts, size, percent), "links")
+    fresh = _pairs_by_differences(away, percent).join(seen, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
+    pairs = materialize(fresh, "pairs")
+    more = materialize(_verified(pairs, texts, size, percent), "links")
     return nodes, links.unionByName(more)
 
 
