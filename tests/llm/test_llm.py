@@ -398,6 +398,33 @@ def test_scores_equal_plain_counting(spark):
     assert lm_score.score_documents(frame, targets.limit(0)).count() == 8
 
 
+def test_losses_read_the_counts_once_for_both_models():
+    class Counts(list):
+        def __getitem__(self, n):
+            read.append(n)
+            return super().__getitem__(n)
+
+    rng, read = np.random.default_rng(5), []
+    ids = rng.integers(0, 30, 500)
+    slots = lm_score.ngram_slots(ids, 3, 10)
+    tables = rng.integers(0, 50, (3, 2**10, 2)) + sum(np.bincount(s, minlength=2**10) for s in slots)[None, :, None]
+    totals = tables[0].sum(0).astype(float)
+    for own in (False, True):
+        read.clear()
+        got = lm_score.mean_losses(slots, Counts(tables.astype(float)), 30, totals, own)
+        assert read == [0, 1, 2]
+        for model in (0, 1):
+            left = [tables[n, :, model] - (np.bincount(slots[n], minlength=2**10) if own else 0) for n in range(3)]
+            bits = []
+            for i in range(500):
+                p = (left[0][slots[0][i]] + 1) / (totals[model] - 500 * own + 31)
+                for n in (1, 2):
+                    context = left[n - 1][slots[n - 1][i - 1]] if i else 0
+                    p = (min(left[n][slots[n][i]], context) + lm_score.SMOOTHING * p) / (context + lm_score.SMOOTHING)
+                bits.append(-np.log2(p))
+            assert abs(got[model] - np.mean(bits)) < 1e-9
+
+
 def test_sketches_by_plain_rounds():
     rng = np.random.default_rng(3)
     for n in (1, 2, 7, 60, 900):

@@ -28,13 +28,15 @@ def characters(text: str) -> np.ndarray:
 
 def ngram_slots(ids: np.ndarray, order: int, bits: int = SLOT_BITS) -> list[np.ndarray]:
     """For n = 1 to ``order`` the slot of the n-gram that ends at each place; the text is preceded by begin signs."""
+    padded = np.concatenate([np.zeros(order - 1, np.uint64), ids.astype(np.uint64)])
     codes = np.zeros(len(ids), np.uint64)
     out = []
     for n in range(order):
-        earlier = np.concatenate([np.zeros(min(n, len(ids)), np.uint64), ids[: len(ids) - n].astype(np.uint64)]) if n else ids.astype(np.uint64)
-        codes = (codes + earlier + np.uint64(1)) * _ODD
+        codes += padded[order - 1 - n : len(padded) - n]
+        codes += np.uint64(1)
+        codes *= _ODD
         codes ^= codes >> np.uint64(31)
-        out.append((((codes + np.uint64(n)) * _ODD) >> np.uint64(64 - bits)).astype(np.int64))
+        out.append((((codes + np.uint64(n)) * _ODD) >> np.uint64(64 - bits)).view(np.int64))
     return out
 
 
@@ -60,6 +62,17 @@ def to_ids(points: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[at] == points, at + 1, 0)
 
 
+def id_table(known: np.ndarray) -> np.ndarray:
+    """The id of every code point, white space as one sign, so that a text's ids are one lookup."""
+    points = np.arange(0x110000, dtype=np.uint32)
+    points[_SPACES] = 32
+    return to_ids(points, known).astype(np.uint32)
+
+
+def text_ids(text: str, table: np.ndarray) -> np.ndarray:
+    return table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
 def likely_among(ids: DataFrame, column: str, bits: int) -> np.ndarray:
     """Bits set at the hashes of all ids, gathered as words of 32 bits: a Bloom filter of fixed size."""
     placed = ids.select(_place(F.col(column), bits).alias("at"))
@@ -101,6 +114,7 @@ def count_ngrams(docs: DataFrame, text_col: str, known: np.ndarray, order: int =
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros((order, 2**SLOT_BITS), np.int64)
+        ids = id_table(known)
         held: list[list[np.ndarray]] = [[] for _ in range(order)]
         waiting = 0
 
@@ -113,7 +127,7 @@ def count_ngrams(docs: DataFrame, text_col: str, known: np.ndarray, order: int =
         for batch in batches:
             for text in batch["t"]:
                 if text:
-                    found = ngram_slots(to_ids(characters(text), known), order)
+                    found = ngram_slots(text_ids(text, ids), order)
                     waiting += len(found[0])
                     for slots, more in zip(held, found):
                         slots.append(more)
@@ -129,30 +143,38 @@ def count_ngrams(docs: DataFrame, text_col: str, known: np.ndarray, order: int =
     return counted.groupBy("n", "slot").agg(F.sum("times").alias("times"))
 
 
-def log_probabilities(slots: list[np.ndarray], counts: np.ndarray, size: int, total: float, without_own: bool = False) -> np.ndarray:
-    """Bits of each character: every order is smoothed with ``SMOOTHING`` counts of the next lower one.
+def log_probabilities(held: list[np.ndarray], size: int, totals: np.ndarray) -> np.ndarray:
+    """Bits of each character in each model: every order is smoothed with ``SMOOTHING`` counts of the next lower one.
 
-    ``without_own`` takes the text's own n-grams off the counts, for a text that was counted itself.
+    ``held[n]`` has the counts of the n-gram that ends at each place, a column for each model; the context of
+    a character is the n-gram that ends before it.
     """
-
-    def held(n: int, at: np.ndarray) -> np.ndarray:
-        found = counts[n, at].astype(np.float64)
-        if without_own:
-            used, times = np.unique(slots[n], return_counts=True)
-            place = np.minimum(np.searchsorted(used, at), len(used) - 1)
-            found -= np.where(used[place] == at, times[place], 0)
-        return np.maximum(found, 0)
-
-    p = (held(0, slots[0]) + 1.0) / (total - without_own * len(slots[0]) + size + 1)
-    for n in range(1, len(slots)):
-        before = np.concatenate([[0], slots[n - 1][:-1]])
-        context = held(n - 1, before)
-        context[0] = 0
-        joint = np.minimum(held(n, slots[n]), context)
-        p = (joint + SMOOTHING * p) / (context + SMOOTHING)
+    p = (held[0] + 1.0) / (totals + size + 1)
+    for n in range(1, len(held)):
+        context = np.zeros_like(p)
+        context[1:] = held[n - 1][:-1]
+        p *= SMOOTHING
+        p += np.minimum(held[n], context)
+        context += SMOOTHING
+        p /= context
     return np.log2(p)
 
 
+def mean_losses(slots: list[np.ndarray], counts: np.ndarray, size: int, totals: np.ndarray, without_own: bool = False) -> list[float]:
+    """Mean loss in bits in each model. ``counts`` holds the counts of all models of a slot side by side.
+
+    ``without_own`` takes the text's own n-grams off the counts, for a text that was counted itself.
+    """
+    held = [counts[n].take(at, axis=0) for n, at in enumerate(slots)]
+    if without_own:
+        for found, at in zip(held, slots):
+            _, place, times = np.unique(at, return_inverse=True, return_counts=True)
+            found -= times[place][:, None]
+            np.maximum(found, 0, out=found)
+        totals = totals - len(slots[0])
+    return (-np.ascontiguousarray(log_probabilities(held, size, totals).T).mean(1)).tolist()
+
+
 def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Every document with ``score, n_tokens, target_bits, background_bits``; columns of those names are replaced.
 
@@ -168,17 +190,18 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
     base = replace_columns(docs, "n_tokens", "target_bits", "background_bits", "score", "_s", "_id")
     chosen = materialize(target_ids.select(F.col(id_col).alias("_id")).filter(F.col("_id").isNotNull()).distinct(), "targets")
     known = vocabulary(base, text_col)
-    tables = np.zeros((2, order, 2**SLOT_BITS), np.int64)
+    # target and background side by side; whole numbers up to 2^53 are exact
+    tables = np.zeros((order, 2**SLOT_BITS, 2))
     # at most order * 2^SLOT_BITS rows each
-    for place, rows in enumerate((base, of_targets(base.select(id_col, text_col), chosen, id_col))):
+    for place, rows in enumerate((of_targets(base.select(id_col, text_col), chosen, id_col), base)):
         for part in materialize(count_ngrams(rows, text_col, known, order), "ngrams").toPandas().itertuples(index=False):
-            tables[place, part.n, part.slot] = part.times
-    totals = tables[:, 0].sum(1).tolist()
+            tables[part.n, part.slot, place] = part.times
+    totals = tables[0].sum(0)
     model = docs.sparkSession.sparkContext.broadcast(tables)
     among = docs.sparkSession.sparkContext.broadcast(likely_among(chosen, "_id", FILTER_BITS))
 
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        background, target = model.value
+        counts, ids = model.value, id_table(known)
         for texts, places in batches:
             rows = []
             at = places.to_numpy()
@@ -187,9 +210,8 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
                 if not text:
                     rows.append((None, None, None, None, 0))
                     continue
-                slots = ngram_slots(to_ids(characters(text), known), order)
-                losses = [-log_probabilities(slots, c, len(known), n, own).mean() for own in ([False, True] if check else [False])
-                          for c, n in ((target, totals[1]), (background, totals[0]))]
+                slots = ngram_slots(text_ids(text, ids), order)
+                losses = [loss for own in ([False, True] if check else [False]) for loss in mean_losses(slots, counts, len(known), totals, own)]
                 rows.append((*losses, *[None] * (4 - len(losses)), len(slots[0])))
             yield pd.DataFrame(rows, columns=["t", "b", "own_t", "own_b", "n"])
 
