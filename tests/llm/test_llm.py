@@ -96,6 +96,37 @@ def test_lines_of_odd_rows(spark, docs, rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def earlier_alike(lines, size):
+    """Numbers of the lines that are like an earlier one, by plain comparison."""
+    runs = [set(zip(*[line.split()[i:] for i in range(size)])) for line in lines]
+    return {i for i, s in enumerate(runs) if s and any(9 * len(s & e) >= 4 * (len(s) + len(e)) for e in runs[:i])}
+
+
+@pytest.mark.parametrize("size", [1, 3])
+def test_lines_that_share_rare_words_are_no_candidates(spark, monkeypatch, size):
+    """Unlike lines with common rare words and, in a family of near copies, lines that are like others than its first."""
+    rng = random.Random(5)
+    common = ["rare-a rare-b rare-c " + " ".join(words(2000 + i, 30, 10**6)) for i in range(120)]
+    base, family = words(77, 40, 10**6), []
+    for i in range(80):
+        copy = list(base)
+        for at in rng.sample(range(40), 1 if i % 2 else 5):
+            copy[at] = f"{at}-{rng.randrange(2)}"
+        family.append(" ".join(copy))
+    lines = common + family
+    tried, similar = [], line_dedup._similar
+
+    def counted(pairs, *args):
+        tried.append(pairs.count())
+        return similar(pairs, *args)
+
+    monkeypatch.setattr(line_dedup, "_similar", counted)
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.dedup_lines(docs, size=size).filter("n_removed > 0").collect()}
+    assert got == earlier_alike(lines, size) and len(got) > 5
+    assert sum(tried) < 10 * len(lines)
+
+
 def test_contamination_by_brute_force(spark, docs, rows, empty):
     items = [(1, " ".join(words(100 + 3, 33, 3000))[:-1]), (2, "word"), (3, None), (None, " ".join(words(105, 20, 3000)))]
     bench = spark.createDataFrame(items, "item_id long, text string")
