@@ -106,7 +106,7 @@ def earlier_alike(lines, size):
 def test_lines_that_share_rare_words_are_no_candidates(spark, monkeypatch, size):
     """Unlike lines with common rare words and, in a family of near copies, lines that are like others than its first."""
     rng = random.Random(5)
-    common = ["rare-a rare-b rare-c " + " ".join(words(2000 + i, 30, 10**6)) for i in range(120)]
+    common = [" ".join(f"rare{i % 4}-{j}" for j in range(7)) + " " + " ".join(words(2000 + i, 30, 60)) for i in range(240)]
     base, family = words(77, 40, 10**6), []
     for i in range(80):
         copy = list(base)
