@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -13,7 +15,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from venuekit.functions import scalars as S
 from venuekit.operators.ranking import sorted_codes
@@ -21,6 +23,7 @@ from venuekit.operators.relational import lookup_code
 from venuekit.session import materialize, scratch_path
 
 MISSING_LABEL = "nan"
+MAP_LABELS = 100_000  # labels that every task may hold
 
 
 def label_codes(df: DataFrame, column: str, code: str | None = None) -> DataFrame:
@@ -49,19 +52,63 @@ def one_hot_long(df: DataFrame, train: DataFrame, key: str, columns: Sequence[st
     return rows.join(materialize(known, "categories"), ["column", "value"]).select(key, "column", "value")
 
 
-def label_lists(df: DataFrame, key: str, column: str, codes: DataFrame) -> DataFrame:
+def label_lists(df: DataFrame, key: str, column: str, codes: DataFrame, keep: Sequence[str] | None = None,
+                by: str | None = None) -> DataFrame:
     """``key, codes``: sorted codes of the known elements of an array column; rows without any are left out.
 
     Elements meet the code table by a join, so neither the table nor a row has a limit; a row gathers its own list only.
+    With ``keep``, all rows come with these columns, and one without known elements has an empty list; while the table
+    has at most ``MAP_LABELS`` rows, each task then looks the elements up and no row moves. With ``by`` (whole numbers
+    from 0) the codes are those of the row's own number.
     """
-    elements = df.select(key, F.explode(F.array_distinct(F.col(column).cast("array<string>"))).alias("label"))
-    return elements.join(codes, "label").groupBy(key).agg(F.array_sort(F.collect_list("code")).alias("codes"))
-
-
-def label_table(df: DataFrame, column: str, path: str) -> DataFrame:
-    """Code table of the distinct elements of an array column in byte order, written to ``path``."""
-    labels = df.select(F.explode(F.col(column).cast("array<string>")).alias("label")).filter(F.col("label").isNotNull()).distinct()
-    sorted_codes(labels, "label").write.mode("overwrite").parquet(path)
+    by_key = [by] if by else []
+    if keep is not None and codes.limit(MAP_LABELS + 1).count() <= MAP_LABELS:
+        return _mapped_lists(df, column, codes, keep, by)
+    elements = df.select(key, *by_key, F.explode(F.array_distinct(F.col(column).cast("array<string>"))).alias("label"))
+    lists = elements.join(codes, ["label", *by_key]).groupBy(key, *by_key).agg(F.array_sort(F.collect_list("code")).alias("codes"))
+    if keep is None:
+        return lists
+    rows = df.join(lists, [key, *by_key], "left")
+    return rows.select(*keep, F.coalesce("codes", F.array().cast("array<int>")).alias("codes"))
+
+
+def _mapped_lists(df: DataFrame, column: str, codes: DataFrame, keep: Sequence[str], by: str | None) -> DataFrame:
+    known = codes.select((F.col(by) if by else F.lit(0)).cast("int").alias("part"), "label", "code").toPandas()
+    labels = sorted(set(known["label"]))
+    at = {label: i for i, label in enumerate(labels)}
+    cells = np.full((int(known["part"].max()) + 1 if len(known) else 1, len(labels) + 1), -1, np.int32)
+    cells[known["part"], known["label"].map(at).astype(int)] = known["code"]
+    rows = df.select(*keep, F.col(column).cast("array<string>").alias("_list"), (F.col(by) if by else F.lit(0)).cast("int").alias("_part"))
+    kept = list(keep)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, names = cells, pa.array(labels, pa.string())
+        for batch in batches:
+            lists = batch["_list"]
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), sizes)
+            place = pc.fill_null(pc.index_in(lists.flatten(), value_set=names, skip_nulls=True), len(labels)).to_numpy(zero_copy_only=False)
+            part = batch["_part"].to_numpy()
+            found = np.where(part < len(table), part, 0)
+            code = np.where((part < len(table))[owner], table[found[owner], place], -1)
+            owner, code = owner[code >= 0], code[code >= 0]
+            order = np.lexsort((code, owner))
+            owner, code = owner[order], code[order]
+            first = np.r_[True, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])][: len(owner)]
+            owner, code = owner[first], code[first]
+            ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=batch.num_rows))].astype(np.int32)
+            out = pa.ListArray.from_arrays(pa.array(ends), pa.array(code.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], out], [*kept, "codes"])
+
+    out_type = T.StructType([*[rows.schema[c] for c in kept], T.StructField("codes", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(look_up, out_type)
+
+
+def label_table(df: DataFrame, column: str, path: str, by: str | None = None) -> DataFrame:
+    """Code table of the distinct elements of an array column (per ``by``) in byte order, written to ``path``."""
+    keys = [by] if by else []
+    elements = df.select(*keys, F.explode(F.col(column).cast("array<string>")).alias("label"))
+    sorted_codes(elements.filter(F.col("label").isNotNull()).distinct(), "label", by=keys).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -108,15 +155,23 @@ class MultiLabelEncoder(Estimator, HasInputCol, HasOutputCol):
         return MultiLabelModel(inputCol=self.column, outputCol=self.out, keyCol=self.key, path=path, size=size)
 
 
-def scale_statistics(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row ``stats``: mean and population deviation per column."""
+def scale_statistics(train: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
+    """One row ``stats`` (per ``by``): mean and population deviation per column."""
     parts = [F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns]
-    return train.agg(F.struct(*parts).alias("stats"))
+    return train.groupBy(*([by] if by else [])).agg(F.struct(*parts).alias("stats"))
 
 
-def standardize(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(x - mean) / std`` with train statistics; a constant column is only centred."""
-    marked = df.withColumn("_s", scale_statistics(train, columns).scalar())
+def standardize(df: DataFrame, train: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
+    """``(x - mean) / std`` with train statistics; a constant column is only centred.
+
+    With ``by`` (a few values) the statistics are those of the train rows with the row's own value.
+    """
+    if by:
+        # stored, so that the real size decides how they are joined
+        stats = materialize(scale_statistics(train, columns, by).withColumnRenamed("stats", "_s"), "scales")
+        marked = df.join(stats, by, "left")
+    else:
+        marked = df.withColumn("_s", scale_statistics(train, columns).scalar())
 
     def scaled(c: str) -> Column:
         std = F.col(f"_s.{c}.std")

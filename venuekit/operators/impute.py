@@ -49,8 +49,15 @@ def fill_constants(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return df.fillna(dict(values))
 
 
-def impute_fitted(df: DataFrame, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """Medians and modes learned on the train rows, applied to all rows; all columns share the passes."""
+def impute_fitted(df: DataFrame, train: DataFrame | Sequence[Column], numeric: Sequence[str], categorical: Sequence[str],
+                  part: str = "part") -> DataFrame:
+    """Medians and modes learned on the train rows, applied to all rows; all columns share the passes.
+
+    ``train`` may be a list of conditions, each for the train rows of one part. All parts share the passes too; every row
+    then comes once per part, filled by what the part's train rows tell, with the place of the condition in ``part``.
+    """
+    if not isinstance(train, DataFrame):
+        return _impute_parts(df, train, numeric, categorical, part)
     medians = {r["column"]: r["q0"] for r in quantiles_by_column(train, numeric, [0.5]).collect()} if numeric else {}
     fills = {c: F.coalesce(F.col(c), F.lit(medians.get(c))) for c in numeric}
     if categorical:
@@ -58,3 +65,23 @@ def impute_fitted(df: DataFrame, train: DataFrame, numeric: Sequence[str], categ
         df = df.withColumn("_modes", table.select(F.struct(*categorical)).scalar())
         fills |= {c: F.coalesce(F.col(c), F.col(f"_modes.{c}")) for c in categorical}
     return df.withColumns(fills).drop("_modes")
+
+
+def _impute_parts(df: DataFrame, fits: Sequence[Column], numeric: Sequence[str], categorical: Sequence[str], part: str) -> DataFrame:
+    parts = range(len(fits))
+    split = lambda rows, columns, flags: rows.select("*", *[F.when(flags[i], F.col(c)).alias(f"_{i}_{c}") for i in parts for c in columns])
+    names = lambda columns: [f"_{i}_{c}" for i in parts for c in columns]
+    learned: dict[str, object] = {}
+    if numeric:
+        learned |= {r["column"]: r["q0"] for r in quantiles_by_column(split(df, numeric, fits), names(numeric), [0.5]).collect()}
+    if categorical:
+        counts = df.groupBy(*[f.alias(f"_fit{i}") for i, f in enumerate(fits)], *categorical).agg(F.count("*").alias("_n"))
+        cells = split(counts, categorical, [F.col(f"_fit{i}") for i in parts])
+        learned |= modes_by_column(cells, names(categorical), "_n").first().asDict()
+    copies = df.withColumn(part, F.explode(F.array(*[F.lit(i) for i in parts])))
+
+    def filled(c: str) -> Column:
+        kind = "double" if c in numeric else df.schema[c].dataType
+        return F.coalesce(F.col(c), F.array(*[F.lit(learned.get(f"_{i}_{c}")).cast(kind) for i in parts])[F.col(part)])
+
+    return copies.withColumns({c: filled(c) for c in [*numeric, *categorical]})

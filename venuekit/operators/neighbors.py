@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from venuekit.operators.ranking import ranked, row_hash, top_k
 from venuekit.session import materialize, spread
@@ -154,13 +154,18 @@ def _local_top(qids: np.ndarray, queries: np.ndarray, block: pd.DataFrame, k: in
 
 def nearest(queries: DataFrame, index: DataFrame, query_id: str, query_vec: str, index_id: str, index_vec: str,
             k: int, metric: str = "l2", payload: Sequence[str] = (), skip_self: bool = False,
-            broadcast_cells: int = BROADCAST_CELLS, stats: dict | None = None, cluster: Sequence[str] = ()) -> DataFrame:
+            broadcast_cells: int = BROADCAST_CELLS, stats: dict | None = None, cluster: Sequence[str] = (),
+            ones: str | None = None, by: str | None = None) -> DataFrame:
     """``(query_id, index_id, score, payload..., rank)``, the exact ``k`` best per query, ties by id.
 
     ``score`` is the distance for ``l2`` and the similarity for ``cosine``. ``cluster`` names columns of the index whose
     equal values make rows alike; they place rows in cells and change no result. ``stats`` receives the numbers of
-    ``pairs`` of a query and a cell, and of those that were ``searched``.
+    ``pairs`` of a query and a cell, and of those that were ``searched``. ``ones`` names a column of both tables with the
+    sorted positions of indicators that are one; they count as if each were a number 0 or 1 of the vectors (``l2`` only).
+    With ``by``, whole numbers from 0, a query then meets the rows of its own number only.
     """
+    if ones:
+        return _with_indicators(queries, index, (query_id, query_vec, index_id, index_vec), k, metric, payload, skip_self, stats, cluster, ones, by)
     q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).cast("array<double>").alias("_qvec"))
     x = index.select(F.col(index_id).alias("_id"), F.col(index_vec).cast("array<double>").alias("_vec"), *payload,
                      (F.xxhash64(*cluster) if cluster else F.lit(0).cast("long")).alias("_c"))
@@ -180,6 +185,25 @@ def nearest(queries: DataFrame, index: DataFrame, query_id: str, query_vec: str,
     )
 
 
+def _with_indicators(queries, index, names, k, metric, payload, skip_self, stats, cluster, ones, by) -> DataFrame:
+    from venuekit.operators.indicator_neighbors import nearest_sets
+
+    if metric != "l2":
+        raise ValueError("indicators have Euclidean distances only")
+    query_id, query_vec, index_id, index_vec = names
+    part = (F.col(by) if by else F.lit(0)).cast("long").alias("_by")
+    typed = lambda vec, v, o: (F.col(vec).cast("array<double>").alias(v), F.col(ones).cast("array<int>").alias(o), part)
+    q = queries.select(F.col(query_id).alias("_qid"), *typed(query_vec, "_qvec", "_qones"))
+    x = index.select(F.col(index_id).alias("_id"), *typed(index_vec, "_vec", "_ones"), *payload, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(cluster)])
+    out_type = T.StructType(
+        [T.StructField("_qid", q.schema["_qid"].dataType), T.StructField("_id", x.schema["_id"].dataType),
+         T.StructField("_score", T.DoubleType()), *[x.schema[c] for c in payload]]
+    )
+    found = nearest_sets(q, x, k, payload, skip_self, out_type, [f"_c{i}" for i in range(len(cluster))], stats)
+    best = top_k(found, ["_qid"], [F.asc("_score"), F.asc("_id")], k)
+    return best.select(F.col("_qid").alias("query_id"), F.col("_id").alias("index_id"), F.col("_score").alias("score"), *payload, "rank")
+
+
 def _with_broadcast_queries(q, x, k, metric, payload, skip_self, out_type) -> DataFrame:
     held = q.toPandas()  # at most broadcast_cells values, checked by the caller
     if held.empty:
@@ -371,6 +395,25 @@ def vote(neighbors: DataFrame, label: str, weights: str = "uniform", by: Sequenc
     return votes.groupBy(*by, "query_id").agg(best["y"].alias("prediction"))
 
 
+def vote_grid(neighbors: DataFrame, label: str, sizes: Sequence[int], weights: Sequence[str]) -> DataFrame:
+    """``(query_id, votes)``: the :func:`vote` of each number of neighbours and kind of weights, as an array of ``k``,
+    ``weights`` and ``prediction``. Neighbours are counted once for the whole grid."""
+    zero, within = F.col("score") == 0, lambda k: F.col("rank") <= k
+    counted = neighbors.groupBy("query_id", label).agg(
+        *[F.count_if(within(k)).alias(f"_n{k}") for k in sizes],
+        *[F.count_if(within(k) & zero).alias(f"_exact{k}") for k in sizes],
+        *[F.sum(F.when(within(k) & ~zero, 1.0 / F.col("score")).otherwise(0.0)).alias(f"_near{k}") for k in sizes],
+    )
+
+    def best(k: int, kind: str) -> Column:
+        exact, weight = (F.lit(0).cast("long"), F.col(f"_n{k}").cast("double")) if kind == "uniform" else (F.col(f"_exact{k}"), F.col(f"_near{k}"))
+        order = F.struct((-exact).alias("e"), (-F.round(weight, DIGITS)).alias("v"), F.col(label).alias("y"))
+        chosen = F.min(F.when(F.col(f"_n{k}") > 0, order))
+        return F.struct(F.lit(k).alias("k"), F.lit(kind).alias("weights"), chosen["y"].alias("prediction"))
+
+    return counted.groupBy("query_id").agg(F.array(*[best(k, w) for k in sizes for w in weights]).alias("votes"))
+
+
 def knn_classify(train: DataFrame, test: DataFrame, key: str, features: str, label: str, k: int,
                  weights: str = "uniform") -> DataFrame:
     """``(query_id, prediction)`` for every test row."""

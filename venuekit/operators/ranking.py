@@ -204,14 +204,18 @@ def modes(df: DataFrame, column: str, by: Sequence[str] = (), name: str = "mode"
     return counts.groupBy(*by).agg(best.alias(name))
 
 
-def modes_by_column(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with the mode of every column under its name, counted in one pass; ties and missing as in :func:`modes`."""
+def modes_by_column(df: DataFrame, columns: Sequence[str], count: str | None = None) -> DataFrame:
+    """One row with the mode of every column under its name, counted in one pass; ties and missing as in :func:`modes`.
+
+    A column ``count`` tells how many rows each row stands for.
+    """
     typed = [
         F.struct(F.lit(i).alias("i"), *[(F.col(c) if i == j else F.lit(None).cast(df.schema[c].dataType)).alias(f"v{j}") for j, c in enumerate(columns)])
         for i in range(len(columns))
     ]
-    cells = df.select(F.explode(F.array(*typed)).alias("s")).select("s.*")
-    counts = cells.groupBy("i", *[f"v{j}" for j in range(len(columns))]).agg(F.count("*").alias("n"))
+    weight = F.col(count) if count else F.lit(1)
+    cells = df.select(F.explode(F.array(*typed)).alias("s"), weight.cast("long").alias("w")).select("s.*", "w")
+    counts = cells.groupBy("i", *[f"v{j}" for j in range(len(columns))]).agg(F.sum("w").alias("n"))
     best = [
         F.min_by(f"v{j}", F.when((F.col("i") == j) & F.col(f"v{j}").isNotNull(), F.struct(-F.col("n"), F.col(f"v{j}")))).alias(c)
         for j, c in enumerate(columns)
