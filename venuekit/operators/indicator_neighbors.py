@@ -28,7 +28,7 @@ MAP_BITS = 256
 _SORT_CODES = 12
 _QUERY_SLICE = 512
 _CHUNK = 2_000_000
-_TURNS = (2, 8, None)  # leaves a query meets before its reach is narrowed again
+_TURNS = (2, 8, 32, None)  # leaves a query meets before its reach is narrowed again
 
 
 class Rows:
@@ -115,7 +115,8 @@ class Leaves:
 
     def __init__(self, rows: Rows, queries: Rows, ids: np.ndarray):
         known, places = np.unique(rows.codes, return_inverse=True)
-        frequent = np.argsort(-np.bincount(places, minlength=len(known)), kind="stable")
+        counts = np.bincount(places, minlength=len(known))
+        frequent = np.argsort(-counts, kind="stable")
         rank = np.empty(len(known) + 1, np.int64)
         rank[frequent], rank[-1] = np.arange(len(known)), -1
         at = np.searchsorted(known, queries.codes)
@@ -128,8 +129,12 @@ class Leaves:
         self.exact = len(known) <= 64 * self.words
         ranks = rank[places]
 
-        sort_codes = rows.padded(rows.codes, -1, _SORT_CODES)
-        order = np.lexsort([*rows.numbers.T[::-1], *sort_codes.T[::-1]]) if len(rows) else np.zeros(0, int)
+        # the rarest codes that fill a leaf come first: rows that share them are close
+        turn = np.empty(len(known), np.int64)
+        turn[np.lexsort((counts, counts < LEAF_ROWS))] = np.arange(len(known))
+        turns = turn[places]
+        sort_codes = rows.padded(turns[np.lexsort((turns, rows.owners))], len(known), _SORT_CODES)
+        order = np.lexsort([*rows.numbers.T[::-1], *sort_codes.T[::-1]])
         self.n, self.leaves = len(rows), max(1, -(-len(rows) // LEAF_ROWS))
         full = np.r_[order, np.full(self.leaves * LEAF_ROWS - len(order), order[-1])]
         self.rows, self.ids = full, ids[full]
